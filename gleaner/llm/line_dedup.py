@@ -175,4 +175,5 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     at = [c.lower() for c in docs.columns].index(text_col.lower())
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    joined = joined.toDF(*(f"c{k}" for k in range(len(joined.columns))))  # names with dots do not get past mapInArrow
     return joined.mapInArrow(_rewritten(at, out_schema.names, to_arrow_schema(out_schema), min_chars), out_schema)

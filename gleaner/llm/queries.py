@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import line_dedup
+from gleaner.llm import line_dedup, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.simhash_components(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 LINE_DEDUP_SQL = r"""
 WITH lines AS (
   SELECT rowid AS doc, doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
@@ -38,6 +43,7 @@ GROUP BY k.doc, k.doc_id
 """
 
 QUERIES = {
+    "op6_simhash": op6_simhash,
     "op10_line_dedup": op10_line_dedup,
 }
 
