@@ -167,6 +167,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shared = spark.sparkContext.broadcast(twice)
     suspects = written(slim.mapInArrow(_suspects(shared, bits, min_chars), "id long, key binary"), "suspect-lines")
     confirmed = suspects.groupBy("key").agg(F.count("*").alias("n"), F.max("id").alias("keeper")).filter(F.col("n") >= min_docs)
+    confirmed = written(confirmed, "repeated-lines")  # a join of its own: Spark can split a hot key's rows there
     gone = suspects.join(confirmed, "key").filter(F.col("id") < F.col("keeper"))
     gone = written(gone.groupBy("id").agg(F.collect_set("key").alias("__gone")), "dropped-lines")
     gone = gone.withColumnRenamed("id", "__gone_id")
