@@ -1,6 +1,8 @@
 import os
 import sys
 
+os.environ.setdefault("OMP_NUM_THREADS", "1")  # small matrices: threads only get in each other's way
+
 import pytest
 from pyspark.sql import SparkSession
 
