@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import langid, line_dedup, packing, simhash
+from gleaner.llm import html_main, langid, line_dedup, packing, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.extract_main_text(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def tokenizer_files() -> dict:
     """Where the installed public tokenizer files are; parameters of the operators that need them."""
     import public_tokenizers as public
@@ -60,6 +64,7 @@ GROUP BY k.doc, k.doc_id
 """
 
 QUERIES = {
+    "op1_html": op1_html,
     "op2_packing": op2_packing,
     "op3_langid": op3_langid,
     "op6_simhash": op6_simhash,
