@@ -51,7 +51,7 @@ NOISE = re.compile(
 )
 NOISE_ROLE = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
 GOOD = re.compile(r"(?:^|[^a-z])(?:article|content|entry|post|story|main|body|text)(?:$|[^a-z])")
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>\x00]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>\x00]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*(?=>|$)|[^>]*)(?:>|$)", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|itemprop|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 END_OF = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in RAW}
 SPACE = re.compile(r"\s+")
@@ -126,6 +126,7 @@ class Page:
                 node = self._leave(node)
         while node.up is not None:
             node = self._leave(node)
+        self.root.end = len(pieces)
 
     def _open(self, up: Node, tag: str, attributes: str) -> Node:
         noise, good, step = up.noise or tag in DROPPED, tag in ("article", "main"), tag
