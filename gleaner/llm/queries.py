@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import html_main, langid, line_dedup, packing, simhash
+from gleaner.llm import html_main, langid, line_dedup, packing, simhash, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +44,23 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk.search(vectors, vectors.filter(F.col("vec_id") % 20 == 0))
+
+
+TOPK_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id
+)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score
+FROM scored QUALIFY rank <= 20
+"""
+
 LINE_DEDUP_SQL = r"""
 WITH lines AS (
   SELECT rowid AS doc, doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
@@ -68,9 +85,11 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op3_langid": op3_langid,
     "op6_simhash": op6_simhash,
+    "op8_topk": op8_topk,
     "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLES = {
+    "op8_topk": TOPK_SQL,
     "op10_line_dedup": LINE_DEDUP_SQL,
 }
