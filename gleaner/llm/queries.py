@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import html_main, langid, line_dedup, packing, simhash, topk
+from gleaner.llm import html_main, langid, licenses, line_dedup, mixing, packing, simhash, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,18 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", langid.held_out().alias("held_out"), "text"), model).drop("text")
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    return out.select(
+        "doc_id", F.coalesce("source", F.lit(mixing.NONE)).alias("source"), F.coalesce("lang", F.lit(mixing.NONE)).alias("lang"), F.col("mix_topic").alias("topic"),
+        F.col("mix_tokens").alias("tokens"), F.round("mix_weight", 6).alias("weight"), F.round("mix_chance", 6).alias("chance"), F.col("mix_kept").alias("kept"),
+    )
+
+
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.simhash_components(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -84,12 +96,16 @@ QUERIES = {
     "op1_html": op1_html,
     "op2_packing": op2_packing,
     "op3_langid": op3_langid,
+    "op4_mixing": op4_mixing,
     "op6_simhash": op6_simhash,
     "op8_topk": op8_topk,
+    "op9_licenses": op9_licenses,
     "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLES = {
+    "op4_mixing": mixing.mix_sql(),
+    "op9_licenses": licenses.scan_sql(),
     "op8_topk": TOPK_SQL,
     "op10_line_dedup": LINE_DEDUP_SQL,
 }
