@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import html_main, langid, licenses, line_dedup, mixing, packing, simhash, topk
+from gleaner.llm import html_main, langid, licenses, line_dedup, mixing, packing, simhash, spotsigs, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +56,16 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spotsigs.fingerprint_edits(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    sigs, changed, following = F.col("sigs"), F.col("edited_sigs"), F.col("next_sigs")
+    return rows.select(
+        "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited_text", 256).alias("edited_sha256"),
+        spotsigs.digest(sigs).alias("fingerprint"), spotsigs.digest(changed).alias("edited_fingerprint"),
+        spotsigs.likeness(sigs, changed).alias("near_edited"), spotsigs.likeness(sigs, following).alias("near_next"),
+    )
+
+
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return topk.search(vectors, vectors.filter(F.col("vec_id") % 20 == 0))
@@ -98,6 +108,7 @@ QUERIES = {
     "op3_langid": op3_langid,
     "op4_mixing": op4_mixing,
     "op6_simhash": op6_simhash,
+    "op7_spotsigs": op7_spotsigs,
     "op8_topk": op8_topk,
     "op9_licenses": op9_licenses,
     "op10_line_dedup": op10_line_dedup,
