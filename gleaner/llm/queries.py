@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import html_main, langid, licenses, line_dedup, mixing, packing, simhash, spotsigs, topk
+from gleaner.llm import html_main, langid, licenses, line_dedup, mixing, packing, passages, simhash, spotsigs, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +56,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.shared_passages(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spotsigs.fingerprint_edits(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     sigs, changed, following = F.col("sigs"), F.col("edited_sigs"), F.col("next_sigs")
@@ -107,6 +111,7 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op3_langid": op3_langid,
     "op4_mixing": op4_mixing,
+    "op5_passages": op5_passages,
     "op6_simhash": op6_simhash,
     "op7_spotsigs": op7_spotsigs,
     "op8_topk": op8_topk,
