@@ -293,3 +293,62 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     named = each.groupBy("label").agg(F.min("least").alias("component_id"))
     of = each.join(named, "label").select(F.col("fp").alias("of"), "component_id")
     return prints.join(of, F.col("fp") == F.col("of")).select("id", "fp", "component_id")
+
+
+def _classes(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 512):
+                part = batch.slice(k, 512)
+                texts = [x or b"" for x in part.column(1).cast(pa.binary()).to_pylist()]
+                fp = np.array([fingerprint(x, words) for x in texts], np.uint64).view(np.int64)
+                same = np.array([xxhash.xxh64_intdigest(shingle_spans(x, words)[0], 1) for x in texts], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp), pa.array(same)], names=["id", "fp", "same"])
+
+    return run
+
+
+def _shingle_sets(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, found = None, b""
+        for batch in batches:
+            sets = []
+            for x in batch.column("text").cast(pa.binary()).to_pylist():
+                if x != last or not sets:
+                    last, found = x, np.unique(shingle_hashes(x or b"", words)).tobytes()
+                sets.append(found)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(sets, pa.binary())], names=["a", "b", "shingles"])
+
+    return run
+
+
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            out.append(both / max(1, len(x) + len(y) - both))
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out, pa.float64())], names=["a", "b", "likeness"])
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 10, least: float = 0.8) -> DataFrame:
+    """(id, keeper) of every id but the smallest of its group. Groups are linked by a Jaccard likeness of at
+    least `least` over shingles of `words` words; the pairs compared are those of the bit-sliced search within
+    `radius`: what connects a cell, and two nearest neighbours of each fingerprint besides. Texts without any
+    word are one group. Null ids are in no group."""
+    slim = docs.select(q(id_col).cast("long").alias("id"), q(text_col).alias("text")).filter("id is not null")
+    rows = written(slim.mapInArrow(_classes(words), "id long, fp long, same long"), "shingle-classes")
+    classes = written(rows.groupBy("fp", "same").agg(F.min("id").alias("rep")), "classes")
+    each = classes.groupBy("fp").agg(F.min("rep").alias("rep"))
+    near_fps = written(links(each.select("fp"), radius, extra=2), "near-fingerprints")
+    pairs = near_fps.join(each.toDF("a", "ra"), "a").join(each.toDF("b", "rb"), "b").select("ra", "rb")
+    twins = classes.join(each.select(F.col("fp"), F.col("rep").alias("ra")), "fp").filter("rep <> ra").select("ra", F.col("rep").alias("rb"))
+    pairs = written(pairs.union(twins).select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).filter("a <> b").distinct(), "candidate-pairs")
+    reps = slim.join(pairs.select("a").union(pairs.select("b")).distinct().toDF("id"), "id", "left_semi")
+    sets = [pairs.join(reps, F.col(side) == F.col("id")).select("a", "b", "text").mapInArrow(_shingle_sets(words), "a long, b long, shingles binary") for side in ("a", "b")]
+    both = sets[0].toDF("a", "b", "x").join(sets[1].toDF("a", "b", "y"), ["a", "b"]).select("a", "b", "x", "y")
+    linked = written(both.mapInArrow(_alike, "a long, b long, likeness double").filter(F.col("likeness") >= least).select("a", "b").distinct(), "linked-pairs")
+    label = components(linked)
+    of = written(classes.join(label, classes.rep == label.node, "left").select("fp", "same", F.coalesce("label", "rep").alias("keeper")), "keepers")
+    return rows.join(of, ["fp", "same"]).filter("id <> keeper").select("id", "keeper").distinct()
