@@ -1,6 +1,768 @@
-"""All queries of the engine by name, and the SQL that gives the same rows."""
+"""All queries of the engine by name, and the SQL that gives the same rows.
+
+The captured tables have no responses, health logs or caches of their own; where a query needs one it is
+derived from them by rules that stand on both sides: `events` as an access log (user as key, props as
+payload, errors as failures), `pages` as search results of their host, `conversations` as runs.
+"""
 
 from __future__ import annotations
 
+import re
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from gleaner.functions import quality, text, urls
+from gleaner.operators import cache, evaluate, focus, health, html, search
+from gleaner.sources.captured import pretty_json
+from gleaner.sources.tables import table
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+# Inputs that the tables lack, dealt to rows by their id.
+REASONS = ["SSL connect error", "CAPTCHA challenge", "too many requests", "parsing error", "Suspended: access denied", "timeout", "recaptcha required", "cloudflare captcha", "HTTP 503", "proxy saturated", "weird answer"]
+TITLES = ["A plain title", "404 Not Found", "Just a moment...", "Error 525: SSL handshake failed", "Access denied - site", "503 Service Unavailable", "On captchas and blocks", "Attention Required! | Cloudflare", "Page doesn't exist", "Forbidden", "The 4040 club", ""]
+CONTENTS = ["Waiting for JavaScript", "Please enable JavaScript to view this.", "Loading...", "Title\nJust a moment...", "An article about how you need to enable javascript to run this app, long ago.", "Plain words here.", "", "  ", "checking your browser", "verify you are human now please", "web server is down at the origin", "one\ntwo\nLoading"]
+STATUSES = [200, 404, None, 403, 500, 200, 429]
+WARNINGS = [[], ["content_truncated:5>3:http"], ["suspected_error_page:soft_404"], ["browser_recommended:empty_app_shell"], ["note:x"], ["text_decoding_lossy"], ["browser_result_rejected:incomplete_or_error"]]
+RETRIES = ["5", " 0.2 ", "", "soon", "inf", "120", "Wed, 21 Oct 2026 07:28:00 GMT", "Mon, 01 Jan 2024 00:01:30 GMT", "nan", "-4"]
+TIMINGS = ["total_0_alpha;dur=12.5, total_1_beta engine;dur=7", "total_0_alpha;dur=1, total_3_alpha;dur=9.25", "load_0_x;dur=3", "total_0_a;dur=1.2.3, total_1_b;dur=.5", "", "total_x_a;dur=1, total_2_c;dur=0"]
+LISTS = ["alpha, Beta ,alpha,,ALPHA", "", " , ", "one", "a,b,A,B,c", "x , x,X"]
+RANGES = ["day", " Month ", "YEAR", "week", "", "d ay"]
+KINDS = ["text/html; charset=utf-8", "application/pdf", "application/ld+json", "image/gif", "", "text/plain", "application/rss+xml", "APPLICATION/JSON", "application/octet-stream"]
+HEADS = ["<!DOCTYPE html><p>", "%PDF-1.7", " <html>", "{\"a\": 1}", "plain"]
+BODIES = ['{"results": []}', '{"results": 5}', "[1]", "{broken", "<p>Just a moment</p>", '{"other": 1}', "Attention Required cf-chl"]
+ROUTES = [(0, "clown|idiot"), (1, "^the "), (2, "tion the"), (3, "[0-9]{4}"), (4, "la |le ")]
+QUERY = "the that thing with"
+AS_OF = 1706486400.0  # 2024-01-29 00:00:00 UTC
+ENGINES = ["alpha", "beta", "gamma", "delta", "epsilon"]
+
+
+def s(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def lit_sql(value) -> str:
+    if value is None:
+        return "NULL"
+    if isinstance(value, list):
+        return "[" + ", ".join(map(lit_sql, value)) + "]" + ("::VARCHAR[]" if not value else "")
+    return s(value) if isinstance(value, str) else str(value)
+
+
+def pick_sql(values: list, at: str) -> str:
+    return "([" + ", ".join(map(lit_sql, values)) + f"])[({at}) % {len(values)} + 1]"
+
+
+def pick(values: list, at: Column, kind: str = "string") -> Column:
+    lits = [F.array(*map(F.lit, v)).cast(kind) if isinstance(v, list) else F.lit(v).cast(kind) for v in values]
+    return F.element_at(F.array(*lits), (at % len(values) + 1).cast("int"))
+
+
+def sql_regex(pattern: str) -> str:
+    """A Java pattern for RE2."""
+    return s(pattern)
+
+
+def query(name: str, oracle: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if oracle:
+            ORACLES[name] = oracle
+        return f
+
+    return add
+
+
+# --- URLs ------------------------------------------------------------------------------------------
+
+_URL = s(urls.PARTS)
+
+
+def _part_sql(url: str, k: int) -> str:
+    return f"regexp_extract({url}, {_URL}, {k})"
+
+
+def _host_sql(url: str) -> str:
+    return f"lower(regexp_replace(regexp_replace({_part_sql(url, 2)}, '^.*@', ''), ':[0-9]*$', ''))"
+
+
+def _port_sql(url: str) -> str:
+    return f"TRY_CAST(nullif(regexp_extract({_part_sql(url, 2)}, ':([0-9]+)$', 1), '') AS INT)"
+
+
+def canonical_sql(url: str) -> str:
+    scheme, port = f"lower({_part_sql(url, 1)})", _port_sql(url)
+    return (
+        f"CASE WHEN {_part_sql(url, 1)} <> '' AND NOT contains({_part_sql(url, 2)}, '@') THEN {scheme} || '://' || {_host_sql(url)} || "
+        f"CASE WHEN {port} IS NULL OR {port} = 0 OR ({scheme} = 'http' AND {port} = 80) OR ({scheme} = 'https' AND {port} = 443) THEN '' ELSE ':' || {port} END || "
+        f"CASE WHEN {_part_sql(url, 3)} = '' THEN '/' ELSE {_part_sql(url, 3)} END || CASE WHEN {_part_sql(url, 4)} = '?' THEN '' ELSE {_part_sql(url, 4)} END END"
+    )
+
+
+# Each page's URL and variants of it that exercise the rules.
+_VARIANTS_SQL = """(SELECT page_id, unnest(['as_is', 'port', 'upper', 'user', 'ip', 'local', 'ftp', 'bare']) AS variant, unnest([url,
+  regexp_replace(url, '^(https?://[^/]*)', '\\1:' || [80, 443, 8080][page_id % 3 + 1]), upper(regexp_extract(url, '^[^/]*//[^/]*')) || '#top',
+  regexp_replace(url, '//', '//me:pw@'), 'http://' || page_id % 256 || '.' || (page_id * 7) % 256 || '.' || page_id % 3 || '.' || page_id % 300 || '/x',
+  'http://LocalHost.:80?', regexp_replace(url, '^https?', 'ftp'), 'no url']) AS url FROM pages)"""
+
+
+def _variants(spark, d: str) -> DataFrame:
+    url, i = F.col("url"), F.col("page_id")
+    quad = F.concat(F.lit("http://"), i % 256, F.lit("."), (i * 7) % 256, F.lit("."), i % 3, F.lit("."), i % 300, F.lit("/x"))
+    made = {
+        "as_is": url, "port": F.regexp_replace(url, "^(https?://[^/]*)", F.concat(F.lit("$1:"), pick(["80", "443", "8080"], i))),
+        "upper": F.concat(F.upper(F.regexp_extract(url, "^[^/]*//[^/]*", 0)), F.lit("#top")), "user": F.regexp_replace(url, "//", "//me:pw@"), "ip": quad,
+        "local": F.lit("http://LocalHost.:80?"), "ftp": F.regexp_replace(url, "^https?", "ftp"), "bare": F.lit("no url"),
+    }
+    pairs = F.array(*(F.struct(F.lit(k).alias("variant"), v.alias("url")) for k, v in made.items()))
+    return table(spark, d, "pages").select("page_id", F.explode(pairs).alias("v")).select("page_id", "v.variant", "v.url")
+
+
+@query("url_canonicalize", f"SELECT page_id, variant, {canonical_sql('url')} AS canonical FROM {_VARIANTS_SQL}")
+def url_canonicalize(spark, d):
+    return _variants(spark, d).select("page_id", "variant", urls.canonical_url(F.col("url")).alias("canonical"))
+
+
+def _safety_sql() -> str:
+    name = f"regexp_replace({_host_sql('url')}, '\\.+$', '')"
+    octet = [f"TRY_CAST(regexp_extract({name}, {s(urls.IPV4)}, {k}) AS BIGINT)" for k in range(1, 5)]
+    number = f"CASE WHEN greatest({', '.join(octet)}) <= 255 THEN {octet[0]} * 16777216 + {octet[1]} * 65536 + {octet[2]} * 256 + {octet[3]} END"
+    special = " OR ".join(f"n BETWEEN {a} AND {b}" for a, b in urls.ipv4_ranges())
+    return f"""SELECT page_id, variant, CASE WHEN lower({_part_sql('url', 1)}) NOT IN ('http', 'https') THEN 'scheme' WHEN name = '' THEN 'no_host'
+      WHEN contains({_part_sql('url', 2)}, '@') THEN 'credentials' WHEN name = 'localhost' OR name LIKE '%.localhost' THEN 'localhost'
+      WHEN {special} THEN 'non_public_address' END AS reason, lower({_part_sql('url', 1)}) IN ('http', 'https') AND NOT contains({_part_sql('url', 2)}, '@') AS wire_allowed
+      FROM (SELECT *, {name} AS name, {number} AS n FROM {_VARIANTS_SQL})"""
+
+
+@query("url_safety_reason", _safety_sql())
+def url_safety_reason(spark, d):
+    url = F.col("url")
+    return _variants(spark, d).select("page_id", "variant", urls.safety_reason(url).alias("reason"), urls.wire_allowed(url).alias("wire_allowed"))
+
+
+@query(
+    "url_same_origin_pairs",
+    f"""WITH u AS (SELECT page_id, lower({_part_sql('url', 1)}) AS scheme, {_host_sql('url')} AS host FROM pages)
+    SELECT a.page_id AS a, b.page_id AS b FROM u a JOIN u b ON a.scheme = b.scheme AND a.host = b.host AND a.page_id % 25 = 0 AND b.page_id <> a.page_id""",
+)
+def url_same_origin_pairs(spark, d):
+    """Pages of the same origin as every 25th page."""
+    pages = table(spark, d, "pages").select("page_id", "url")
+    key = lambda u, n: [urls.scheme(u).alias("s" + n), urls.host(u).alias("h" + n), urls.effective_port(u).alias("p" + n)]
+    a = pages.filter("page_id % 25 = 0").select(F.col("page_id").alias("a"), *key(F.col("url"), "a"))
+    b = pages.select(F.col("page_id").alias("b"), *key(F.col("url"), "b"))
+    return a.join(b, (F.col("sa") == F.col("sb")) & (F.col("ha") == F.col("hb")) & F.col("pa").eqNullSafe(F.col("pb"))).filter("a <> b").select("a", "b")
+
+
+@query(
+    "url_titles",
+    f"SELECT page_id, variant, coalesce(nullif(regexp_extract(regexp_replace({_part_sql('url', 3)}, '/+$', ''), '([^/]*)$', 1), ''), nullif({_host_sql('url')}, ''), url) AS title FROM {_VARIANTS_SQL}",
+)
+def url_titles(spark, d):
+    return _variants(spark, d).select("page_id", "variant", urls.title_from_url(F.col("url")).alias("title"))
+
+
+@query("url_port_rule", f"SELECT page_id, variant, coalesce({_port_sql('url')}, CASE lower({_part_sql('url', 1)}) WHEN 'https' THEN 443 WHEN 'http' THEN 80 END) = CASE lower({_part_sql('url', 1)}) WHEN 'https' THEN 443 ELSE 80 END AS allowed FROM {_VARIANTS_SQL}")
+def url_port_rule(spark, d):
+    return _variants(spark, d).select("page_id", "variant", urls.port_allowed(F.col("url")).alias("allowed"))
+
+
+# --- Text ------------------------------------------------------------------------------------------
+
+_TOKENS = f"list_distinct(regexp_extract_all(lower(text), {s(text.WORD)}))"
+_COMPACT = f"trim(regexp_replace(text, {s(text.SPACE)}, ' ', 'g'))"
+
+
+def _docs(spark, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", "text")
+
+
+@query("text_tokens", f"SELECT doc_id, len({_TOKENS})::INT AS n_tokens, md5(array_to_string(list_sort({_TOKENS}), ' ')) AS digest FROM documents")
+def text_tokens(spark, d):
+    found = text.tokens(F.col("text"))
+    return _docs(spark, d).select("doc_id", F.size(found).alias("n_tokens"), F.md5(F.array_join(F.array_sort(found), " ").cast("binary")).alias("digest"))
+
+
+@query(
+    "text_jaccard_pairs",
+    f"""WITH t AS (SELECT doc_id, {_TOKENS} AS w FROM documents) SELECT a.doc_id, round(CASE WHEN len(a.w) > 0 AND len(b.w) > 0 THEN
+    len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)))::DOUBLE ELSE 0 END, 9) AS jaccard FROM t a JOIN t b ON b.doc_id = a.doc_id + 1""",
+)
+def text_jaccard_pairs(spark, d):
+    """Likeness of each document to the one of the next id."""
+    rows = _docs(spark, d).select("doc_id", text.tokens(F.col("text")).alias("w"))
+    after = rows.select((F.col("doc_id") - 1).alias("doc_id"), F.col("w").alias("v"))
+    return rows.join(after, "doc_id").select("doc_id", F.round(text.jaccard(F.col("w"), F.col("v")), 9).alias("jaccard"))
+
+
+@query("text_compact", f"SELECT doc_id, md5({_COMPACT}) AS digest, regexp_matches(text, '[\\p{{L}}\\p{{N}}]') AS meaningful FROM documents")
+def text_compact(spark, d):
+    return _docs(spark, d).select("doc_id", F.md5(text.compact(F.col("text")).cast("binary")).alias("digest"), text.meaningful(F.col("text")).alias("meaningful"))
+
+
+@query("text_cap_warning", "SELECT doc_id, length(text[:1000])::INT AS kept, CASE WHEN length(text) > 1000 THEN 'content_truncated:' || length(text) || '>1000:http' END AS warning FROM documents")
+def text_cap_warning(spark, d):
+    return _docs(spark, d).select("doc_id", F.length(text.capped(F.col("text"), 1000)).alias("kept"), text.cap_warning(F.col("text"), 1000, "http").alias("warning"))
+
+
+@query(
+    "page_window",
+    """SELECT doc_id, start::INT AS start, least(length(text), start + 1000)::INT AS stop, start + 1000 < length(text) AS has_more, md5(substr(text, start + 1, 1000)) AS digest
+    FROM (SELECT doc_id, text, doc_id % 4 * 700 AS start FROM documents) WHERE start <= length(text)""",
+)
+def page_window(spark, d):
+    rows = _docs(spark, d).withColumn("page", text.window(F.col("text"), (F.col("doc_id") % 4 * 700).cast("int"), 4000, 1000)).filter("page is not null")
+    return rows.select("doc_id", "page.start", F.col("page.end").alias("stop"), "page.has_more", F.md5(F.col("page.content").cast("binary")).alias("digest"))
+
+
+@query(
+    "page_chunks",
+    """SELECT doc_id, chunk_no::INT AS chunk_no, md5(substr(text, chunk_no * 1000 + 1, 1000)) AS digest
+    FROM (SELECT doc_id, text, unnest(range(0, greatest(length(text) - 1, 0) // 1000 + 1)) AS chunk_no FROM documents)""",
+)
+def page_chunks(spark, d):
+    return text.chunks(_docs(spark, d), "text", 1000).select("doc_id", "chunk_no", F.md5(F.col("chunk").cast("binary")).alias("digest"))
+
+
+@query("text_comma_list", f"""SELECT event_id, array_to_string(list_filter(p, lambda x, i: list_position(list_transform(p, lambda y: lower(y)), lower(x)) = i), '|') AS engines
+    FROM (SELECT event_id, list_filter(list_transform(string_split({pick_sql(LISTS, 'event_id')}, ','), lambda x: trim(x)), lambda x: x <> '') AS p FROM events WHERE event_id % 100 = 0)""")
+def text_comma_list(spark, d):
+    """Engine lists as they come in requests (every 100th event stands for one)."""
+    rows = table(spark, d, "events").filter("event_id % 100 = 0")
+    return rows.select("event_id", F.array_join(text.comma_list(pick(LISTS, F.col("event_id"))), "|").alias("engines"))
+
+
+@query("time_range", f"SELECT event_id, CASE WHEN lower(trim(r)) IN ('day', 'month', 'year') THEN lower(trim(r)) END AS time_range FROM (SELECT event_id, {pick_sql(RANGES, 'event_id')} AS r FROM events)")
+def time_range(spark, d):
+    return table(spark, d, "events").select("event_id", text.time_range(pick(RANGES, F.col("event_id"))).alias("time_range"))
+
+
+@query(
+    "retry_after",
+    f"""SELECT event_id, round(CASE WHEN isfinite(w) THEN greatest(w, 1.0) END, 3) AS seconds FROM (
+    SELECT event_id, coalesce(TRY_CAST(trim(v) AS DOUBLE), epoch(try_strptime(v, '%a, %d %b %Y %H:%M:%S GMT')) - 1704067200.0) AS w
+    FROM (SELECT event_id, {pick_sql(RETRIES, 'event_id')} AS v FROM events))""",
+)
+def retry_after(spark, d):
+    return table(spark, d, "events").select("event_id", F.round(text.retry_after(pick(RETRIES, F.col("event_id")), F.lit(1704067200.0)), 3).alias("seconds"))
+
+
+@query(
+    "server_timing",
+    f"""WITH p AS (SELECT event_id, unnest(string_split(v, ',')) AS x, unnest(range(len(string_split(v, ',')))) AS i FROM (SELECT event_id, {pick_sql(TIMINGS, 'event_id')} AS v FROM events))
+    SELECT event_id, engine, arg_max(ms, i) AS ms FROM (SELECT event_id, i, regexp_extract(x, '^\\s*total_[0-9]+_(.+?);dur=([0-9.]+)\\s*$', 1) AS engine,
+    TRY_CAST(regexp_extract(x, '^\\s*total_[0-9]+_(.+?);dur=([0-9.]+)\\s*$', 2) AS DOUBLE) AS ms FROM p) WHERE engine <> '' AND ms IS NOT NULL GROUP BY event_id, engine""",
+)
+def server_timing(spark, d):
+    rows = table(spark, d, "events").select("event_id", text.server_timing(pick(TIMINGS, F.col("event_id"))).alias("m"))
+    return rows.select("event_id", F.explode("m").alias("engine", "ms"))
+
+
+@query("published_dates")
+def published_dates(spark, d):
+    """Dates in the forms that pages give them, normalised."""
+    t = F.col("ts").cast("timestamp")
+    forms = F.array(F.date_format(t, "yyyy"), F.date_format(t, "yyyy-MM"), F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.date_format(t, "dd MMM yyyy HH:mm:ss +0000"), F.date_format(t, "yyyy/MM/dd"), F.lit(" "))
+    rows = table(spark, d, "events").select("event_id", F.element_at(forms, (F.col("event_id") % 6 + 1).cast("int")).alias("raw"))
+    return rows.select("event_id", "raw", text.published_at(F.col("raw")).alias("published_at"))
+
+
+_WIN, _STEP = 500, 250
+_Q_SQL = "list_distinct(regexp_extract_all(" + s(QUERY) + f", {s(text.WORD)}))"
+
+
+@query(
+    "focus_best_window",
+    f"""WITH w AS (SELECT doc_id, start, list_distinct(regexp_extract_all(lower(regexp_replace(substr(text, start + 1, {_WIN}), '\\[([^\\]]*)\\]\\([^)]*\\)', '\\1', 'g')), {s(text.WORD)})) AS t
+      FROM (SELECT doc_id, text, unnest(range(0, length(text), {_STEP})) AS start FROM documents WHERE length(text) > 1000)),
+    m AS (SELECT doc_id, start, len(list_intersect({_Q_SQL}, t)) AS matched, len(t) AS n FROM w),
+    b AS (SELECT doc_id, arg_max(struct_pack(start := start, matched := matched), struct_pack(m := matched, d := matched / greatest(n, 1)::DOUBLE, f := -start)) AS b FROM m GROUP BY doc_id)
+    SELECT doc_id, (CASE WHEN b.matched > 0 THEN b.start ELSE 0 END)::INT AS best_start, b.matched::INT AS matched FROM b""",
+)
+def focus_best_window(spark, d):
+    return focus.best_windows(_docs(spark, d), "doc_id", "text", F.lit(QUERY), 1000)
+
+
+@query("focus_start")
+def focus_start(spark, d):
+    return focus.focus_start(_docs(spark, d), "doc_id", "text", F.lit(QUERY), 1000).select("doc_id", "focus_start")
+
+
+# --- HTML ------------------------------------------------------------------------------------------
+
+
+def _documents_of_pages(spark, d: str) -> DataFrame:
+    return html.with_document(table(spark, d, "pages"))
+
+
+_UNESCAPE = "replace(replace(replace(replace(replace({0}, '&quot;', '\"'), '&lt;', '<'), '&gt;', '>'), '&#x27;', ''''), '&amp;', '&')"
+_TITLE = "trim(regexp_replace(regexp_replace(" + _UNESCAPE.format(_UNESCAPE.format("regexp_extract(html, '<title>([^<]*)</title>', 1)")) + f", '&amp$', '&'), {s(text.SPACE)}, ' ', 'g'))"
+
+
+@query("html_title", f"SELECT page_id, {_TITLE} AS title FROM pages")
+def html_title(spark, d):
+    return _documents_of_pages(spark, d).select("page_id", "document.title")
+
+
+@query(
+    "html_links",
+    """WITH l AS (SELECT page_id, list_transform(regexp_extract_all(html, '<a href="([^"]*)"', 1), lambda h: regexp_extract(url, '^([^/]*//[^/?#]*)', 1) || h) AS all_links FROM pages),
+    e AS (SELECT page_id, unnest(all_links) AS link, unnest(range(len(all_links))) AS i FROM l)
+    SELECT page_id, link, (dense_rank() OVER (PARTITION BY page_id ORDER BY i) - 1)::INT AS link_no FROM (SELECT page_id, link, min(i) AS i FROM e GROUP BY page_id, link)""",
+)
+def html_links(spark, d):
+    return _documents_of_pages(spark, d).select("page_id", F.posexplode("document.links").alias("link_no", "link"))
+
+
+@query("html_text")
+def html_text(spark, d):
+    return _documents_of_pages(spark, d).select("page_id", "document.text", "document.published_at", "document.published_at_source", "document.attribution")
+
+
+@query("html_quality")
+def html_quality(spark, d):
+    """Whether a page needs rendering, and its diagnostics."""
+    doc = F.col("document")
+    rows = _documents_of_pages(spark, d).withColumn("q", quality.html_quality(doc["probe"], doc["title"], doc["text"], pick(STATUSES, F.col("page_id"), "int")))
+    return rows.select("page_id", "q.browser_reasons", "q.diagnostics", F.size("document.controls").alias("controls"))
+
+
+# --- Rules -----------------------------------------------------------------------------------------
+
+
+def _re(pattern: str, subject: str) -> str:
+    return f"regexp_matches({subject}, {s('(?i)' + pattern)})"
+
+
+def _diagnostics_sql() -> str:
+    body = f"trim(regexp_replace(substr(content, 1, 4000), {s(text.SPACE)}, ' ', 'g'))"
+    prompt = _re(quality.CHALLENGE_PROMPT, f"ltrim(regexp_replace({body}, '^[# *]+', ''))")
+    both = f"lower(title || ' ' || {body})"
+    edge = " OR ".join(f"contains({both}, '{t}')" for t in ("cloudflare", "ssl handshake failed", "web server", "origin"))
+    return f"""SELECT page_id, array_to_string(list_filter([CASE WHEN status >= 400 THEN 'http_' || status END,
+      CASE WHEN {_re(quality.CHALLENGE_TITLE, 'title')} OR (length(content) < 2000 AND {prompt}) THEN 'bot_challenge' END,
+      CASE WHEN regexp_matches(title, {s(quality.CLOUDFLARE_ERROR)}) AND ({edge}) THEN 'cloudflare_' || regexp_extract(title, {s(quality.CLOUDFLARE_ERROR)}, 1)
+           WHEN {_re(quality.SOFT_NOT_FOUND, 'title')} THEN 'soft_404' WHEN {_re(quality.SERVER_ERROR, 'title')} THEN 'server_error'
+           WHEN {_re(quality.ACCESS_DENIED, 'title')} THEN 'access_denied' END], lambda x: x IS NOT NULL), '|') AS reasons
+      FROM (SELECT page_id, {pick_sql(TITLES, 'page_id')} AS title, {pick_sql(CONTENTS, 'page_id // 12')} AS content, {pick_sql(STATUSES, 'page_id')} AS status FROM pages)"""
+
+
+def _cases(spark, d: str) -> DataFrame:
+    i = F.col("page_id")
+    made = {"title": pick(TITLES, i), "content": pick(CONTENTS, F.floor(i / 12)), "status": pick(STATUSES, i, "int"), "warnings": pick(WARNINGS, i, "array<string>")}
+    return table(spark, d, "pages").select("page_id", *(c.alias(n) for n, c in made.items()))
+
+
+@query("page_diagnostics", _diagnostics_sql())
+def page_diagnostics(spark, d):
+    return _cases(spark, d).select("page_id", F.array_join(quality.page_diagnostics(F.col("title"), F.col("content"), F.col("status")), "|").alias("reasons"))
+
+
+def _signals_sql() -> str:
+    whole = f"trim(regexp_replace(content, {s(text.SPACE)}, ' ', 'g'))"
+    return f"""SELECT page_id, CASE WHEN whole = '' THEN '' ELSE array_to_string(list_filter([CASE WHEN {_re(quality.JAVASCRIPT_REQUIRED, 'whole')} THEN 'javascript_required' END,
+      CASE WHEN {_re(quality.LOADING_PLACEHOLDER, 'alone')} THEN 'loading_placeholder' END, CASE WHEN {_re(quality.BROWSER_CHECK, 'alone')} THEN 'browser_check_interstitial' END], lambda x: x IS NOT NULL), '|') END AS signals
+      FROM (SELECT *, CASE WHEN len(lines) = 2 THEN lines[2] ELSE whole END AS alone FROM (SELECT page_id, {whole} AS whole,
+      list_filter(list_transform(string_split(content, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS lines FROM (SELECT page_id, {pick_sql(CONTENTS, 'page_id // 12')} AS content FROM pages)))"""
+
+
+@query("rendering_signals", _signals_sql())
+def rendering_signals(spark, d):
+    return _cases(spark, d).select("page_id", F.array_join(quality.rendering_signals(F.col("content")), "|").alias("signals"))
+
+
+def _prefix_sql(prefixes: list[str]) -> str:
+    return "len(list_filter(warnings, lambda w: regexp_matches(w, '^(?:" + "|".join(prefixes) + ")'))) > 0"
+
+
+@query(
+    "page_status",
+    f"""SELECT page_id, CASE WHEN coalesce(status >= 400, false) OR {_prefix_sql(['suspected_error_page:'])} THEN 'suspected_error' WHEN {_prefix_sql(quality.INCOMPLETE_WARNINGS)} THEN 'incomplete' ELSE 'ok' END AS page_status
+    FROM (SELECT page_id, {pick_sql(STATUSES, 'page_id')} AS status, {pick_sql(WARNINGS, 'page_id')} AS warnings FROM pages)""",
+)
+def page_status(spark, d):
+    return _cases(spark, d).select("page_id", quality.page_status(F.col("status"), F.col("warnings")).alias("page_status"))
+
+
+@query("page_routing")
+def page_routing(spark, d):
+    """Cacheability, and which of two readings of a page is kept."""
+    rows = _cases(spark, d)
+    http = F.struct("title", "content", F.col("status").alias("status_code"), "warnings")
+    plain = F.struct(F.lit("Rendered").alias("title"), F.lit("Words of the page").alias("content"), F.lit(200).alias("status_code"), F.array().cast("array<string>").alias("warnings"))
+    needs = quality.needs_rendering(F.col("title"), F.col("content"), F.col("warnings"))
+    kept = quality.route("auto", needs, http, F.when(F.col("page_id") % 3 > 0, plain))
+    return rows.select("page_id", needs.alias("needs_rendering"), quality.cacheable(F.col("title"), F.col("content"), F.col("status"), F.col("warnings")).alias("cacheable"), (kept["title"] == "Rendered").alias("rendered"))
+
+
+def _terms_sql(subject: str, terms: list[str]) -> str:
+    return "(" + " OR ".join(f"contains({subject}, '{t}')" for t in terms) + ")"
+
+
+def delay_sql(reason: str) -> str:
+    r = f"lower({reason})"
+    w = quality.WAITS
+    return (
+        f"CASE WHEN {_terms_sql(r, quality.LOCAL_FAULT_TERMS)} THEN {w['local']} WHEN contains({r}, 'recaptcha') THEN {w['recaptcha']} "
+        f"WHEN contains({r}, 'cloudflare') AND contains({r}, 'captcha') THEN {w['cloudflare captcha']} WHEN {_terms_sql(r, quality.QUOTA_TERMS)} THEN {w['quota']} "
+        f"WHEN {_terms_sql(r, quality.DENIAL_TERMS)} THEN {w['denial']} WHEN {_terms_sql(r, quality.CONNECTION_TERMS)} THEN {w['connection']} ELSE {w['other']} END"
+    )
+
+
+@query(
+    "failure_delay",
+    f"""SELECT event_id, {delay_sql('reason')}::INT AS delay, {_terms_sql('lower(reason)', quality.LOCAL_FAULT_TERMS)} AS local_fault, {_terms_sql('lower(reason)', quality.UPSTREAM_WAIT_TERMS)} AS declared
+    FROM (SELECT event_id, {pick_sql(REASONS, 'event_id')} AS reason FROM events)""",
+)
+def failure_delay(spark, d):
+    reason = pick(REASONS, F.col("event_id"))
+    return table(spark, d, "events").select("event_id", quality.failure_delay(reason).alias("delay"), quality.local_fault(reason).alias("local_fault"), quality.upstream_declared_wait(reason).alias("declared"))
+
+
+@query(
+    "content_kind",
+    f"""SELECT event_id, CASE WHEN k = 'application/pdf' OR starts_with(head, '%PDF-') OR k IN ('image/png', 'image/jpeg', 'image/webp') THEN 'binary'
+      WHEN k IN ('text/html', 'application/xhtml+xml') OR (k = '' AND (starts_with(lower(ltrim(head)), '<!doctype html') OR starts_with(lower(ltrim(head)), '<html'))) THEN 'html'
+      WHEN k = 'application/json' OR ends_with(k, '+json') THEN 'json' WHEN starts_with(k, 'text/') OR k IN ('', 'application/xml') OR ends_with(k, '+xml') THEN 'text' ELSE 'unsupported' END AS kind
+      FROM (SELECT event_id, lower(trim(string_split({pick_sql(KINDS, 'event_id')}, ';')[1])) AS k, {pick_sql(HEADS, 'event_id // 9')} AS head FROM events)""",
+)
+def content_kind(spark, d):
+    i = F.col("event_id")
+    return table(spark, d, "events").select("event_id", quality.content_kind(pick(KINDS, i), pick(HEADS, F.floor(i / 9)), F.lit("/x")).alias("kind"))
+
+
+@query(
+    "response_problem",
+    f"""SELECT event_id, CASE WHEN status IN (429, 503) THEN 'rate_limited_' || status WHEN status = 403 THEN 'access_denied' WHEN status >= 400 THEN 'http_' || status
+      WHEN event_id % 5 = 0 THEN 'non_json' WHEN NOT json_valid(body) THEN 'malformed_json' WHEN NOT starts_with(body, '{{') THEN 'not_an_object'
+      WHEN json_type(CASE WHEN json_valid(body) THEN body END, '$.results') IS DISTINCT FROM 'ARRAY' THEN 'no_results_array' END AS problem,
+      coalesce({", ".join(f"CASE WHEN contains(lower(body), '{m}') THEN '{m}' END" for m in quality.CHALLENGE_MARKERS)}, '') AS marker
+      FROM (SELECT event_id, {pick_sql(STATUSES, 'event_id')} AS status, {pick_sql(BODIES, 'event_id // 7')} AS body FROM events)""",
+)
+def response_problem(spark, d):
+    i = F.col("event_id")
+    body, kind = pick(BODIES, F.floor(i / 7)), F.when(i % 5 == 0, "text/html").otherwise("application/json")
+    return table(spark, d, "events").select("event_id", quality.response_problem(pick(STATUSES, i, "int"), kind, body).alias("problem"), quality.challenge_marker(body).alias("marker"))
+
+
+# --- Search ----------------------------------------------------------------------------------------
+
+# Each host is a query; its pages are the results, with the path cut to a few so that some coincide.
+_RESULTS_SQL = f"""(SELECT host, rank, url, engines, {canonical_sql('url')} AS canonical FROM (
+  SELECT {_host_sql('url')} AS host, row_number() OVER (PARTITION BY {_host_sql('url')} ORDER BY page_id) AS rank,
+    regexp_extract(url, '^([^/]*//[^/?#]*)', 1) || '/' || page_id % 5 || CASE WHEN page_id % 2 = 0 THEN '#x' ELSE '' END AS url,
+    CASE page_id % 3 WHEN 0 THEN ['alpha', 'beta'] WHEN 1 THEN ['gamma'] ELSE [] END AS engines FROM pages))"""
+
+
+def _responses(spark, d: str) -> DataFrame:
+    """Captured responses as JSON bodies, one a host."""
+    pages = table(spark, d, "pages").select("page_id", "url")
+    i = F.col("page_id")
+    made = F.concat(F.regexp_extract("url", "^([^/]*//[^/?#]*)", 1), F.lit("/"), (i % 5).cast("string"), F.when(i % 2 == 0, "#x").otherwise(""))
+    engines = F.when(i % 3 == 0, F.array(F.lit("alpha"), F.lit("beta"))).when(i % 3 == 1, F.array(F.lit("gamma"))).otherwise(F.array().cast("array<string>"))
+    rows = pages.select(urls.host(F.col("url")).alias("host"), F.struct(i.alias("page_id"), made.alias("url"), engines.alias("engines")).alias("r"))
+    return rows.groupBy("host").agg(F.to_json(F.struct(F.transform(F.array_sort(F.collect_list("r")), lambda r: F.struct(r["url"].alias("url"), r["engines"].alias("engines"))).alias("results"))).alias("body"))
+
+
+def _results(spark, d: str) -> DataFrame:
+    return search.parse_results(_responses(spark, d), "host", "body")
+
+
+@query(
+    "search_dedupe_rank",
+    f"""SELECT host, rank::INT AS rank, url FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY rank) AS n FROM (
+    SELECT *, row_number() OVER (PARTITION BY host, canonical ORDER BY rank) AS k FROM {_RESULTS_SQL}) WHERE k = 1) WHERE n <= 5""",
+)
+def search_dedupe_rank(spark, d):
+    return search.first_wins(_results(spark, d), "host", 5).select("host", "rank", "url")
+
+
+@query("engine_result_counts", f"SELECT engine, count(*) AS results FROM (SELECT unnest(engines) AS engine FROM {_RESULTS_SQL}) GROUP BY engine")
+def engine_result_counts(spark, d):
+    return search.engine_counts(_results(spark, d))
+
+
+@query(
+    "engine_coverage",
+    f"""WITH a AS (SELECT host, list_distinct(flatten(list(engines))) AS answered FROM {_RESULTS_SQL} GROUP BY host)
+    SELECT host, array_to_string(list_filter({ENGINES}, lambda e: list_contains(answered, e)), '|') AS answered,
+    array_to_string(list_filter({ENGINES}, lambda e: NOT list_contains(answered, e) AND e <> 'delta'), '|') AS silent, len(answered) > 0 AS attributed FROM a""",
+)
+def engine_coverage(spark, d):
+    """Per host: the engines that answered and those that did not, `delta` waiting."""
+    rows = _results(spark, d).groupBy("host").agg(F.array_distinct(F.flatten(F.collect_list("engines"))).alias("answered"))
+    asked = F.array(*map(F.lit, ENGINES))
+    rows = rows.withColumn("c", search.coverage(asked, F.col("answered"), F.array(F.lit("delta"))))
+    return rows.select("host", F.array_join("c.answered", "|").alias("answered"), F.array_join("c.silent", "|").alias("silent"), "c.attributed")
+
+
+_INVENTORY_SQL = "(SELECT DISTINCT 'e' || user_id AS engine, user_id % 7 <> 0 AS enabled, user_id % 3 <> 0 AS paging, user_id % 4 <> 0 AS time_range_support FROM events WHERE user_id % 5 <> 0)"
+
+
+def _engines_of(spark, d: str) -> DataFrame:
+    return table(spark, d, "events").select("user_id").distinct()
+
+
+@query(
+    "inventory_filter",
+    f"""SELECT r.engine, CASE WHEN i.engine IS NULL THEN 'missing' WHEN NOT enabled THEN 'disabled' WHEN NOT paging THEN 'paging_unsupported' WHEN NOT time_range_support THEN 'time_filter_unsupported' END AS skipped
+    FROM (SELECT DISTINCT 'e' || user_id AS engine FROM events) r LEFT JOIN {_INVENTORY_SQL} i ON r.engine = i.engine""",
+)
+def inventory_filter(spark, d):
+    """Which engines (the users) can serve page 2 with a time range."""
+    users = _engines_of(spark, d)
+    u = F.col("user_id")
+    name = F.concat(F.lit("e"), u.cast("string")).alias("engine")
+    inventory = users.filter(u % 5 != 0).select(name, (u % 7 != 0).alias("enabled"), (u % 3 != 0).alias("paging"), (u % 4 != 0).alias("time_range_support"))
+    return search.inventory_check(users.select(name), inventory, F.lit(2), F.lit("day"))
+
+
+@query(
+    "fixture_routing",
+    f"""SELECT doc_id, coalesce(min(route), -1)::INT AS route FROM documents LEFT JOIN (VALUES {", ".join(f"({a}, {s(b)})" for a, b in ROUTES)}) r(route, pattern)
+    ON regexp_matches(text, '(?i)' || pattern) GROUP BY doc_id""",
+)
+def fixture_routing(spark, d):
+    routes = spark.createDataFrame(ROUTES, "route int, pattern string")
+    return search.fixture_route(_docs(spark, d), routes, "text").select("doc_id", "route")
+
+
+@query("request_keys", """SELECT page_id, sha256('["' || url || '","' || page_id % 3 || '",""]') AS key FROM pages""")
+def request_keys(spark, d):
+    return table(spark, d, "pages").select("page_id", search.request_key(F.col("url"), F.col("page_id") % 3, F.lit(None)).alias("key"))
+
+
+# --- Caches ----------------------------------------------------------------------------------------
+
+_LOG_SQL = "(SELECT event_id, user_id, event_type, epoch_us(ts) / 1e6 AS stored_at, props AS payload FROM events)"
+
+
+def _log(spark, d: str) -> DataFrame:
+    at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    return table(spark, d, "events").select("event_id", "user_id", "event_type", at.alias("stored_at"), F.col("props").alias("payload"))
+
+
+_LATEST_SQL = f"(SELECT user_id, arg_max(event_id, (stored_at, event_id)) AS event_id, max(stored_at) AS stored_at FROM {_LOG_SQL} WHERE event_type = 'purchase' GROUP BY user_id)"
+
+
+@query("cache_latest_wins", f"SELECT * FROM {_LATEST_SQL}")
+def cache_latest_wins(spark, d):
+    return cache.latest(_log(spark, d).filter("event_type = 'purchase'"), ["user_id"], ["stored_at", "event_id"]).select("user_id", "event_id", "stored_at")
+
+
+@query("cache_ttl_lookup", f"SELECT r.user_id, e.event_id, e.user_id IS NOT NULL AS hit FROM (SELECT DISTINCT user_id FROM events) r LEFT JOIN (SELECT * FROM {_LATEST_SQL} WHERE stored_at >= {AS_OF} - 86400) e ON r.user_id = e.user_id")
+def cache_ttl_lookup(spark, d):
+    entries = cache.latest(_log(spark, d).filter("event_type = 'purchase'"), ["user_id"], ["stored_at", "event_id"]).select("user_id", "event_id", "stored_at")
+    return cache.lookup(_engines_of(spark, d), entries, "user_id", F.lit(AS_OF), 86400).select("user_id", "event_id", "hit")
+
+
+@query(
+    "cache_asof_lookup",
+    f"""WITH w AS (SELECT user_id, stored_at, max(event_id) AS event_id FROM {_LOG_SQL} WHERE event_type = 'purchase' GROUP BY user_id, stored_at)
+    SELECT r.event_id, CASE WHEN r.stored_at - w.stored_at <= 21600 THEN w.event_id END AS found_id
+    FROM (SELECT * FROM {_LOG_SQL} WHERE event_type = 'click') r ASOF LEFT JOIN w ON r.user_id = w.user_id AND r.stored_at >= w.stored_at""",
+)
+def cache_asof_lookup(spark, d):
+    log = _log(spark, d)
+    out = cache.lookup_as_of(log.filter("event_type = 'click'"), log.filter("event_type = 'purchase'"), "user_id", "stored_at", 21600.0, "event_id")
+    return out.select("event_id", "found_id")
+
+
+_EVICT_SQL = f"""SELECT l.event_id, CASE WHEN stored_at < {AS_OF} - 864000 THEN 'expired' WHEN length(payload) > 22 THEN 'oversized' WHEN k.event_id IS NULL THEN 'row_ceiling' END AS evict_reason
+  FROM {_LOG_SQL} l LEFT JOIN (SELECT event_id FROM {_LOG_SQL} WHERE stored_at >= {AS_OF} - 864000 AND length(payload) <= 22 ORDER BY stored_at DESC, event_id LIMIT 500) k ON l.event_id = k.event_id"""
+
+
+@query("cache_evict_reason", _EVICT_SQL)
+def cache_evict_reason(spark, d):
+    return cache.evict_reason(_log(spark, d), F.lit(AS_OF), 864000, 22, 500, "event_id").select("event_id", "evict_reason")
+
+
+@query("cache_pruned_counts", f"SELECT evict_reason, count(*) AS n FROM ({_EVICT_SQL}) WHERE evict_reason IS NOT NULL GROUP BY evict_reason")
+def cache_pruned_counts(spark, d):
+    return cache_evict_reason(spark, d).filter("evict_reason is not null").groupBy("evict_reason").agg(F.count("*").alias("n"))
+
+
+@query(
+    "snapshot_prune_bytes",
+    f"""SELECT event_id, running_bytes FROM (SELECT event_id, (sum(strlen(payload)) OVER (ORDER BY stored_at DESC, event_id ROWS UNBOUNDED PRECEDING))::BIGINT AS running_bytes FROM {_LOG_SQL}) WHERE running_bytes <= 32000""",
+)
+def snapshot_prune_bytes(spark, d):
+    return cache.keep_bytes(_log(spark, d), 32000, "event_id").select("event_id", "running_bytes")
+
+
+@query("cache_stats", f"SELECT event_type, count(*) AS rows, sum(length(payload))::BIGINT AS chars, max(length(payload))::INT AS longest FROM {_LOG_SQL} GROUP BY event_type")
+def cache_stats(spark, d):
+    return cache.stats(_log(spark, d), "event_type")
+
+
+@query(
+    "cookie_touch",
+    f"SELECT event_id, coalesce(stored_at - lag(stored_at) OVER (PARTITION BY user_id ORDER BY stored_at, event_id) < 3600, false) AS alive FROM {_LOG_SQL}",
+)
+def cookie_touch(spark, d):
+    return cache.touch_sessions(_log(spark, d), "user_id", "stored_at", 3600.0, "event_id").select("event_id", "alive")
+
+
+# A fold in which what is granted depends on what was granted before.
+def _claims_sql(seconds: float, where: str) -> str:
+    return f"""WITH RECURSIVE n AS (SELECT event_id, user_id, stored_at, row_number() OVER (PARTITION BY user_id ORDER BY stored_at, event_id) AS k FROM {_LOG_SQL} WHERE {where}),
+    f AS (SELECT event_id, user_id, k, stored_at + {seconds} AS until, true AS granted FROM n WHERE k = 1
+      UNION ALL SELECT n.event_id, n.user_id, n.k, CASE WHEN n.stored_at < f.until THEN f.until ELSE n.stored_at + {seconds} END, n.stored_at >= f.until
+      FROM f JOIN n ON n.user_id = f.user_id AND n.k = f.k + 1)
+    SELECT event_id, granted FROM f"""
+
+
+@query("lease_claims", _claims_sql(43200, "event_type = 'error'"))
+def lease_claims(spark, d):
+    """Exclusive probes of half a day: which failure events would get the lease."""
+    return health.claims(_log(spark, d).filter("event_type = 'error'"), "user_id", "stored_at", 43200.0, "event_id").select("event_id", "granted")
+
+
+@query("coalesced_requests", _claims_sql(7200, "event_type <> 'error'").replace("SELECT event_id, granted FROM f", "SELECT event_id, granted AS leader FROM f"))
+def coalesced_requests(spark, d):
+    """Which requests start a call of two hours and which join one in flight."""
+    return health.claims(_log(spark, d).filter("event_type <> 'error'"), "user_id", "stored_at", 7200.0, "event_id", "leader").select("event_id", "leader")
+
+
+@query("cache_hits", _claims_sql(86400, "event_type = 'view'").replace("SELECT event_id, granted FROM f", "SELECT event_id, NOT granted AS hit FROM f"))
+def cache_hits(spark, d):
+    """Which views a cache of one day answers; hits do not renew."""
+    return health.claims(_log(spark, d).filter("event_type = 'view'"), "user_id", "stored_at", 86400.001, "event_id", "miss").select("event_id", (~F.col("miss")).alias("hit"))
+
+
+# --- Health ----------------------------------------------------------------------------------------
+
+_HEALTH_SQL = f"(SELECT event_id, user_id AS engine, epoch_us(ts) / 1e6 AS at_, event_type = 'error' AS failed, {pick_sql(REASONS, 'event_id')} AS reason FROM events)"
+_TRANSITIONS_SQL = f"""SELECT *, CASE WHEN failed THEN max(at_ + delay_seconds) OVER (PARTITION BY engine, island ORDER BY at_, event_id ROWS UNBOUNDED PRECEDING) ELSE 0 END AS expires_at FROM (
+  SELECT *, CASE WHEN failed THEN least(base * pow(2, least(n - 1, {health.MAX_DOUBLINGS})), CASE WHEN local THEN {health.LOCAL_CEILING}
+      WHEN declared OR island > 0 THEN greatest(base, {health.WEEK}) ELSE least(greatest(base, {health.WEEK}), {health.UNVERIFIED_CEILING}) END)::DOUBLE END AS delay_seconds FROM (
+    SELECT *, CASE WHEN failed THEN (sum((failed AND NOT echo)::INT) OVER w + coalesce(first(CASE WHEN failed THEN echo::INT END IGNORE NULLS) OVER w, 0))::BIGINT ELSE 0 END AS n,
+      {delay_sql('reason')} AS base, {_terms_sql('lower(reason)', quality.LOCAL_FAULT_TERMS)} AS local, {_terms_sql('lower(reason)', quality.UPSTREAM_WAIT_TERMS)} AS declared
+    FROM (SELECT *, sum((NOT failed)::INT) OVER (PARTITION BY engine ORDER BY at_, event_id ROWS UNBOUNDED PRECEDING) AS island, failed AND contains(lower(reason), 'suspended') AS echo FROM {_HEALTH_SQL})
+    WINDOW w AS (PARTITION BY engine, island ORDER BY at_, event_id ROWS UNBOUNDED PRECEDING)))"""
+
+
+def _transitions(spark, d: str) -> DataFrame:
+    at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    log = table(spark, d, "events").select("event_id", F.col("user_id").alias("engine"), at.alias("at"), (F.col("event_type") == "error").alias("failed"), pick(REASONS, F.col("event_id")).alias("reason"))
+    return health.transitions(log)
+
+
+@query("health_backoff", f"SELECT event_id, n AS consecutive_failures, delay_seconds, round(expires_at, 3) AS expires_at FROM ({_TRANSITIONS_SQL})")
+def health_backoff(spark, d):
+    return _transitions(spark, d).select("event_id", "consecutive_failures", "delay_seconds", F.round("expires_at", 3).alias("expires_at"))
+
+
+@query(
+    "health_snapshot",
+    f"""WITH t AS (SELECT * FROM ({_TRANSITIONS_SQL}) WHERE at_ <= {AS_OF}),
+    l AS (SELECT engine, arg_max(struct_pack(n := n, e := expires_at), struct_pack(a := at_, i := event_id)) AS z, max(at_) FILTER (NOT failed) AS ok, count(*) FILTER (failed) AS failures FROM t GROUP BY engine)
+    SELECT engine, failures, z.n AS consecutive_failures, CASE WHEN z.e > {AS_OF} THEN 'cooling_down' WHEN z.n > 0 THEN 'recovery_due' WHEN ok IS NULL THEN 'untested' WHEN {AS_OF} - ok <= 86400 THEN 'working' ELSE 'unverified' END AS status FROM l""",
+)
+def health_snapshot(spark, d):
+    return health.snapshot(_transitions(spark, d), F.lit(AS_OF)).select("engine", "failures", "consecutive_failures", "status")
+
+
+@query(
+    "engine_anti_cooling",
+    f"""WITH l AS (SELECT engine, arg_max(expires_at, struct_pack(a := at_, i := event_id)) AS e FROM ({_TRANSITIONS_SQL}) WHERE at_ <= {AS_OF} GROUP BY engine)
+    SELECT DISTINCT 'E' || user_id AS engine FROM events WHERE user_id NOT IN (SELECT engine FROM l WHERE e > {AS_OF})""",
+)
+def engine_anti_cooling(spark, d):
+    """Engines without a cooldown in force, compared whatever their case."""
+    cooling = health.snapshot(_transitions(spark, d), F.lit(AS_OF)).filter("status = 'cooling_down'").select(F.concat(F.lit("e"), F.col("engine").cast("string")).alias("engine"))
+    return search.not_cooling(_engines_of(spark, d).select(F.concat(F.lit("E"), F.col("user_id").cast("string")).alias("engine")), cooling)
+
+
+# --- Evaluation ------------------------------------------------------------------------------------
+
+_NORMAL = f"lower({_COMPACT})"
+
+
+@query("citation_match", f"SELECT item_id, doc_id FROM (SELECT item_id, {_NORMAL} AS q FROM benchmark) b JOIN (SELECT doc_id, {_NORMAL} AS p FROM documents) d ON contains(p, q)")
+def citation_match(spark, d):
+    return evaluate.citation_match(table(spark, d, "benchmark"), table(spark, d, "documents"), "item_id", "text", "doc_id", "text")
+
+
+def _run(spark, d: str, drop: int) -> DataFrame:
+    rows = table(spark, d, "conversations").filter((F.col("turn") == 0) & (F.col("conv_id") % 5 != drop))
+    c = F.col("conv_id")
+    arguments = F.when((c % 7 == 0) & F.lit(drop == 1), "changed").otherwise(F.concat(F.lit("args"), (c % 3).cast("string")))
+    return rows.select(c.alias("id"), (c % 2).cast("string").alias("tool"), arguments.alias("arguments"), (F.length("text") * (drop + 1)).cast("double").alias("elapsed_ms"), F.octet_length("text").cast("long").alias("output_bytes"), (F.length("text") % 2 == 0).alias("passed"))
+
+
+_RUN_SQL = """(SELECT conv_id AS id, conv_id % 2 AS tool, CASE WHEN conv_id % 7 = 0 AND {0} = 1 THEN 'changed' ELSE 'args' || conv_id % 3 END AS arguments, (length(text) * ({0} + 1))::DOUBLE AS elapsed_ms,
+  strlen(text) AS output_bytes, length(text) % 2 = 0 AS passed FROM conversations WHERE turn = 0 AND conv_id % 5 <> {0})"""
+
+
+@query(
+    "run_compare",
+    f"""SELECT c.id, p.id IS NOT NULL AND c.tool = p.tool AND c.arguments = p.arguments AS comparable, CASE WHEN p.id IS NULL THEN 'new case' WHEN c.tool <> p.tool OR c.arguments <> p.arguments THEN 'request changed' END AS reason,
+    CASE WHEN c.arguments = p.arguments THEN c.elapsed_ms - p.elapsed_ms END AS elapsed_ms_delta, CASE WHEN c.arguments = p.arguments THEN c.output_bytes - p.output_bytes END AS output_bytes_delta,
+    CASE WHEN c.arguments = p.arguments THEN p.passed END AS previous_checks_passed, CASE WHEN c.arguments = p.arguments THEN c.passed END AS current_checks_passed
+    FROM {_RUN_SQL.format(1)} c LEFT JOIN {_RUN_SQL.format(0)} p ON c.id = p.id""",
+)
+def run_compare(spark, d):
+    return evaluate.compare_runs(_run(spark, d, 1), _run(spark, d, 0))
+
+
+@query(
+    "run_summary",
+    f"""SELECT tool::VARCHAR AS tool, count(*) AS cases, count(*) FILTER (NOT passed OR id % 4 = 0) AS failed_cases, median(elapsed_ms) AS median_elapsed_ms, median(CASE WHEN id % 2 = 0 THEN elapsed_ms / 2 END) AS median_cache_elapsed_ms,
+    sum(output_bytes)::BIGINT AS output_bytes, array_to_string(list_sort(list(id) FILTER (id % 6 = 0 OR id % 10 = 3)), '|') AS limited FROM {_RUN_SQL.format(0)} GROUP BY tool""",
+)
+def run_summary(spark, d):
+    i = F.col("id")
+    cases = _run(spark, d, 0).select(
+        "id", "tool", F.create_map(F.lit("passed"), F.col("passed"), F.lit("other"), i % 4 != 0).alias("checks"), "elapsed_ms", F.when(i % 2 == 0, F.col("elapsed_ms") / 2).alias("cache_elapsed_ms"),
+        "output_bytes", (i % 6 == 0).alias("is_error"), F.lit(None).cast("string").alias("outcome"), F.when(i % 10 == 3, "incomplete").otherwise("ok").alias("page_status"),
+    )
+    out = evaluate.run_summary(cases, "tool")
+    return out.withColumn("limited", F.array_join(F.transform("access_limited_cases", lambda x: x.cast("string")), "|")).drop("access_limited_cases")
+
+
+@query(
+    "score_calls",
+    """SELECT conv_id, count(*) AS tool_calls, count(DISTINCT CASE WHEN role <> 'system' AND length(text) % 3 > 0 THEN turn // 2 END) AS unique_read_urls,
+    count(*) - count(DISTINCT role || '/' || turn % 3) AS exact_repeat_calls, bool_and(role <> 'system' AND length(text) % 3 > 0) AS passed FROM conversations GROUP BY conv_id""",
+)
+def score_calls(spark, d):
+    t = F.col("turn")
+    calls = table(spark, d, "conversations").select(
+        "conv_id", F.col("role").alias("tool"), (t % 3).cast("string").alias("arguments"), F.floor(t / 2).cast("string").alias("url"),
+        (F.col("role") == "system").alias("is_error"), F.when(F.length("text") % 3 > 0, "ok").otherwise("incomplete").alias("page_status"),
+    )
+    return evaluate.score_calls(calls, "conv_id")
+
+
+@query("report_recovery")
+def report_recovery(spark, d):
+    """Reports wrapped in prose, dealt to every third conversation."""
+    wrapped = F.concat(F.lit('Here it is: {"findings": {"turn": '), F.col("turn").cast("string"), F.lit('}} and {"kind": "sufficient", "reason": "done"}'))
+    rows = table(spark, d, "conversations").withColumn("text", F.when(F.col("conv_id") % 3 == 0, wrapped).otherwise(F.col("text")))
+    return evaluate.recover_reports(rows, "conv_id", "turn", "role", "text")
+
+
+@query("json_documents")
+def json_documents(spark, d):
+    """JSON payloads as documents: pretty where they parse."""
+    return table(spark, d, "events").select("event_id", pretty_json(F.col("props")).alias("content"))
+
+
+@query(
+    "page_report",
+    f"""SELECT page_id, {canonical_sql('url')} AS canonical, {_TITLE} AS title, len(list_distinct(regexp_extract_all(lower({_TITLE}), {s(text.WORD)})))::INT AS title_tokens,
+    CASE WHEN {_re(quality.SOFT_NOT_FOUND, _TITLE)} OR {_re(quality.SERVER_ERROR, _TITLE)} THEN 'suspected_error' ELSE 'ok' END AS page_status FROM pages""",
+)
+def page_report(spark, d):
+    """The flagship: identity, title and status of every captured page, from one read of its HTML."""
+    rows = _documents_of_pages(spark, d).select("page_id", "url", "document")
+    title = F.col("document.title")
+    found = quality.page_diagnostics(title, F.col("document.text"), F.lit(200))
+    warnings = F.transform(found, lambda r: F.concat(F.lit("suspected_error_page:"), r))
+    return rows.select("page_id", urls.canonical_url(F.col("url")).alias("canonical"), title.alias("title"), F.size(text.tokens(title)).alias("title_tokens"), quality.page_status(F.lit(200), warnings).alias("page_status"))
+
+
+assert all(re.fullmatch(r"[a-z0-9_]+", name) for name in QUERIES)
