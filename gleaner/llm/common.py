@@ -22,11 +22,23 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dirs[app]
 
 
+BATCH_ROWS = 1024
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_ROWS rows in this session: a row here can be a long text, and a task
+    holds a batch several times over."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """df written to the shared folder and read again: lineage is cut, and lost executors cost
     nothing that was written. Its file size is known to the planner, so a later join broadcasts
     it only if it is under spark.sql.autoBroadcastJoinThreshold and shuffles it otherwise."""
     spark = df.sparkSession
+    bounded_batches(spark)
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleaner.llm.common import q, without
+from gleaner.llm.common import bounded_batches, q, without
 
 BUCKETS = 1 << 15
 MAX_FIT = 6000
@@ -156,6 +156,7 @@ def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 def train(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str = "lang", max_fit: int = MAX_FIT) -> Model:
     """A model from the rows of docs where `learn` holds and the label is not null."""
+    bounded_batches(docs.sparkSession)
     rows = docs.filter(learn & q(lang_col).isNotNull()).select(q(text_col).alias("text"), q(lang_col).alias("lang"))
     counted = rows.select("text").mapInArrow(_document_counts, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
     counts = {r.bucket: r.n for r in counted}  # at most BUCKETS + 1 rows
@@ -187,6 +188,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     """docs with lang_pred and score (replacing columns of these names)."""
     text = q(text_col).alias("__text")
     docs = without(docs, "lang_pred", "score")
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*docs.schema, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     flat = docs.select("*", text).toDF(*(f"c{k}" for k in range(len(docs.columns) + 1)))

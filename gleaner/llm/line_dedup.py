@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleaner.llm.common import q, without, written
+from gleaner.llm.common import bounded_batches, q, without, written
 
 BITS_PER_LINE = 16
 MIN_FILTER_BITS = 1 << 20
@@ -160,6 +160,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     everywhere except in the documents of the largest id that holds it. A null text stays null.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     docs = without(docs, "n_lines", "n_dropped")
     ids = F.coalesce(q(id_col).cast("long"), F.lit(NO_ID))
     slim = docs.select(ids.alias("id"), q(text_col).alias("text"))
