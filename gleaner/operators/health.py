@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from gleaner.functions.quality import failure_delay, local_fault, upstream_declared_wait
 
@@ -87,22 +89,28 @@ def epochs(log: DataFrame, key: str, config: str, at: str, id_col: str) -> DataF
     return log.withColumn("__c", changed.cast("int")).withColumn("epoch", F.sum("__c").over(by.rowsBetween(W.unboundedPreceding, 0))).drop("__c")
 
 
-def fold(log: DataFrame, key: str, order: list[str], step: Callable, out: str, schema: str, span: Column | None = None) -> DataFrame:
+def fold(log: DataFrame, key: str, order: list[str], step: Callable, out: str, kind: T.DataType, span: str | None = None) -> DataFrame:
     """log with a column made by a fold over each key's rows in order; step(state, row) -> (state, value), rows as
-    named tuples, state None at first. Where acceptance depends on earlier acceptances no window can express it.
-    `span` splits a key into stretches that are independent of each other, so that a hot key spreads."""
-    cols = [f"{f.name} {f.dataType.simpleString()}" for f in log.schema]
-    part = [F.col(key)] if span is None else [F.col(key), span]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        state, values = None, []
-        for row in pdf.itertuples(index=False):
-            state, value = step(state, row)
-            values.append(value)
-        return pdf.assign(**{out: values})
-
-    return log.groupBy(*part).applyInPandas(run, ", ".join([*cols, f"{out} {schema}"]))
+    dicts, state None at first. Where acceptance depends on earlier acceptances no window can express it. Rows
+    stream through sorted, so a key's history is never held; `span` names a column that splits a key into
+    stretches that are independent of each other, so that a hot key spreads over tasks."""
+    part = [key] if span is None else [key, span]
+    schema = T.StructType([*log.schema, T.StructField(out, kind)])
+    arrow_kind = to_arrow_type(kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = None, None
+        for batch in batches:
+            values = []
+            for row in batch.to_pylist():
+                group = tuple(row[c] for c in part)
+                if group != now:
+                    now, state = group, None
+                state, value = step(state, row)
+                values.append(value)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, arrow_kind)], names=[*batch.schema.names, out])
+
+    return log.repartition(*part).sortWithinPartitions(*part, *order).mapInArrow(run, schema)
 
 
 def gap_span(log: DataFrame, key: str, at: str, gap: float, id_col: str) -> DataFrame:
@@ -118,8 +126,8 @@ def claims(log: DataFrame, key: str, at: str, seconds: float, id_col: str, out:
     that writes; a hit does not renew)."""
 
     def step(until, row):
-        now = getattr(row, at)
+        now = row[at]
         return (until, False) if until is not None and now < until else (now + seconds, True)
 
     rows = gap_span(log, key, at, seconds, id_col)
-    return fold(rows, key, [at, id_col], step, out, "boolean", F.col("stretch")).drop("stretch")
+    return fold(rows, key, [at, id_col], step, out, T.BooleanType(), "stretch").drop("stretch")

@@ -145,13 +145,13 @@ def url_safety_reason(spark, d):
 @query(
     "url_same_origin_pairs",
     f"""WITH u AS (SELECT page_id, lower({_part_sql('url', 1)}) AS scheme, {_host_sql('url')} AS host FROM pages)
-    SELECT a.page_id AS a, b.page_id AS b FROM u a JOIN u b ON a.scheme = b.scheme AND a.host = b.host AND a.page_id % 25 = 0 AND b.page_id <> a.page_id""",
+    SELECT a.page_id AS a, b.page_id AS b FROM u a JOIN u b ON a.scheme = b.scheme AND a.host = b.host AND a.page_id % 5 = 0 AND b.page_id <> a.page_id""",
 )
 def url_same_origin_pairs(spark, d):
-    """Pages of the same origin as every 25th page."""
+    """Pages of the same origin as every fifth page."""
     pages = table(spark, d, "pages").select("page_id", "url")
     key = lambda u, n: [urls.scheme(u).alias("s" + n), urls.host(u).alias("h" + n), urls.effective_port(u).alias("p" + n)]
-    a = pages.filter("page_id % 25 = 0").select(F.col("page_id").alias("a"), *key(F.col("url"), "a"))
+    a = pages.filter("page_id % 5 = 0").select(F.col("page_id").alias("a"), *key(F.col("url"), "a"))
     b = pages.select(F.col("page_id").alias("b"), *key(F.col("url"), "b"))
     return a.join(b, (F.col("sa") == F.col("sb")) & (F.col("ha") == F.col("hb")) & F.col("pa").eqNullSafe(F.col("pb"))).filter("a <> b").select("a", "b")
 
