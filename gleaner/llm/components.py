@@ -14,13 +14,17 @@ from gleaner.llm.common import written
 
 
 def _nearest(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
+    """The smallest of each node and its neighbours; written, so that the join behind it is a stage of its own,
+    in which Spark can split a hub's edges."""
+    return written(edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), "nearest")
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, label) of every node in edges (a, b), label the smallest node it reaches."""
     edges = written(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a <> b").distinct(), "edges")
-    mark = None
+    mark = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    if not mark[0]:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
     for _ in range(max_rounds):
         both = edges.union(edges.select("b", "a"))
         star = both.join(_nearest(both), "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
