@@ -59,7 +59,10 @@ def shingle_hashes(text: bytes, words: int) -> np.ndarray:
 
 def fingerprint(text: bytes, words: int = 4) -> int:
     """Unsigned; a bit is 1 if it is set in over half of the shingle hashes."""
-    hashes = shingle_hashes(text, words)
+    return majority(shingle_hashes(text, words))
+
+
+def majority(hashes: np.ndarray) -> int:
     if not len(hashes):
         return 0
     bits = np.unpackbits(hashes.astype(">u8").view(np.uint8)).reshape(-1, 64)
@@ -295,15 +298,30 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return prints.join(of, F.col("fp") == F.col("of")).select("id", "fp", "component_id")
 
 
-def _classes(words: int):
+def remixed(hashes: np.ndarray, k: int) -> np.ndarray:
+    """The k-th of several hash functions over the same shingles; the 0-th is the hash itself."""
+    if k == 0 or not len(hashes):
+        return hashes
+    with np.errstate(over="ignore"):
+        h = (hashes ^ (hashes >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15 + 2 * k)
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        return h ^ (h >> np.uint64(32))
+
+
+def _classes(words: int, prints: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                part = batch.slice(k, 512)
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
                 texts = [x or b"" for x in part.column(1).cast(pa.binary()).to_pylist()]
-                fp = np.array([fingerprint(x, words) for x in texts], np.uint64).view(np.int64)
+                fps = []
+                for x in texts:
+                    hashes = shingle_hashes(x, words)
+                    fps.append([majority(remixed(hashes, j)) for j in range(prints)])
+                fps = np.array(fps, np.uint64).reshape(len(texts), prints).view(np.int64)
                 same = np.array([xxhash.xxh64_intdigest(shingle_spans(x, words)[0], 1) for x in texts], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp), pa.array(same)], names=["id", "fp", "same"])
+                cols = [part.column(0), pa.array(same), *(pa.array(np.ascontiguousarray(fps[:, j])) for j in range(prints))]
+                yield pa.RecordBatch.from_arrays(cols, names=["id", "same", *(f"fp{j}" for j in range(prints))])
 
     return run
 
@@ -311,7 +329,7 @@ def _classes(words: int):
 def _shingle_sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, found = None, b""
-        for batch in batches:
+        for batch in (whole.slice(k, 256) for whole in batches for k in range(0, whole.num_rows, 256)):
             sets = []
             for x in batch.column("text").cast(pa.binary()).to_pylist():
                 if x != last or not sets:
@@ -332,23 +350,31 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out, pa.float64())], names=["a", "b", "likeness"])
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 10, least: float = 0.8) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 10, least: float = 0.8, prints: int = 3) -> DataFrame:
     """(id, keeper) of every id but the smallest of its group. Groups are linked by a Jaccard likeness of at
-    least `least` over shingles of `words` words; the pairs compared are those of the bit-sliced search within
-    `radius`: what connects a cell, and two nearest neighbours of each fingerprint besides. Texts without any
-    word are one group. Null ids are in no group."""
+    least `least` over shingles of `words` words. The pairs compared come from `prints` fingerprints of
+    independent hashes, each searched bit-sliced within `radius`: what connects a cell, and the nearest
+    neighbour of each fingerprint besides. A pair at the least likeness differs in 10 of 64 bits on average, so
+    that one fingerprint finds three in four and three find nearly all. Texts without any word are one group.
+    Null ids are in no group."""
     slim = docs.select(q(id_col).cast("long").alias("id"), q(text_col).alias("text")).filter("id is not null")
-    rows = written(slim.mapInArrow(_classes(words), "id long, fp long, same long"), "shingle-classes")
-    classes = written(rows.groupBy("fp", "same").agg(F.min("id").alias("rep")), "classes")
-    each = classes.groupBy("fp").agg(F.min("rep").alias("rep"))
-    near_fps = written(links(each.select("fp"), radius, extra=2), "near-fingerprints")
-    pairs = near_fps.join(each.toDF("a", "ra"), "a").join(each.toDF("b", "rb"), "b").select("ra", "rb")
-    twins = classes.join(each.select(F.col("fp"), F.col("rep").alias("ra")), "fp").filter("rep <> ra").select("ra", F.col("rep").alias("rb"))
-    pairs = written(pairs.union(twins).select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).filter("a <> b").distinct(), "candidate-pairs")
+    names = [f"fp{j}" for j in range(prints)]
+    rows = written(slim.mapInArrow(_classes(words, prints), "id long, same long, " + ", ".join(f"{n} long" for n in names)), "shingle-classes")
+    classes = written(rows.groupBy("fp0", "same").agg(F.min("id").alias("rep"), *(F.any_value(n).alias(n) for n in names[1:])), "classes")
+    found = []
+    for n in names:
+        each = written(classes.groupBy(n).agg(F.min("rep").alias("rep")), "prints").toDF("fp", "rep")
+        near_fps = written(links(each.select("fp"), radius, extra=1), "near-fingerprints")
+        found.append(near_fps.join(each.toDF("a", "ra"), "a").join(each.toDF("b", "rb"), "b").select("ra", "rb"))
+        found.append(classes.join(each.toDF(n, "ra"), n).filter("rep <> ra").select("ra", F.col("rep").alias("rb")))
+    pairs = found[0]
+    for more in found[1:]:
+        pairs = pairs.union(more)
+    pairs = written(pairs.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).filter("a <> b").distinct(), "candidate-pairs")
     reps = slim.join(pairs.select("a").union(pairs.select("b")).distinct().toDF("id"), "id", "left_semi")
     sets = [pairs.join(reps, F.col(side) == F.col("id")).select("a", "b", "text").mapInArrow(_shingle_sets(words), "a long, b long, shingles binary") for side in ("a", "b")]
     both = sets[0].toDF("a", "b", "x").join(sets[1].toDF("a", "b", "y"), ["a", "b"]).select("a", "b", "x", "y")
     linked = written(both.mapInArrow(_alike, "a long, b long, likeness double").filter(F.col("likeness") >= least).select("a", "b").distinct(), "linked-pairs")
     label = components(linked)
-    of = written(classes.join(label, classes.rep == label.node, "left").select("fp", "same", F.coalesce("label", "rep").alias("keeper")), "keepers")
-    return rows.join(of, ["fp", "same"]).filter("id <> keeper").select("id", "keeper").distinct()
+    of = written(classes.join(label, classes.rep == label.node, "left").select("fp0", "same", F.coalesce("label", "rep").alias("keeper")), "keepers")
+    return rows.join(of, ["fp0", "same"]).filter("id <> keeper").select("id", "keeper").distinct()
