@@ -40,7 +40,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     bounded_batches(spark)
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
