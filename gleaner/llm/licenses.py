@@ -1,7 +1,7 @@
 """License scans by sentence rules, in DataFrame operations only.
 
 A text is cut into sentences, each is normalised, and those known from license texts get their
-identifier; the identifiers in order, with a blank for each run of other sentences, form a line of
+identifier; a sentence that is not known is tried line by line. The identifiers in order, with a blank for each run of other sentences, form a line of
 marks. Rules are ordered identifier sequences; the first rule that matches at a place names the
 license, so a whole text wins over its first sentence. Whole texts are read; a document without
 any of the CUES, one of which stands in every known sentence, is not cut up.
@@ -93,7 +93,7 @@ RULES = [
 # One of these stands in every known sentence.
 CUES = ("licen", "permission", "copyright", "warrant", "redistribut", "unencumbered", "rights reserved", "endorse or promote")
 
-SENTENCE_END = r"(?:[.!?;:]+[ \t\r]+)|(?:[.!?;:]*[ \t\r]*\n[ \t\r]*)"
+SENTENCE_END = r"[.!?]+[ \t\r\n]+|\n[ \t\r]*\n[ \t\r\n]*"
 CUE_PATTERN = r"(?i)" + "|".join(c.replace(" ", r"[^A-Za-z0-9]+") for c in CUES)
 MARK = {name: f"{k:02d}" for k, name in enumerate(SENTENCES)}
 RULE_PATTERN = "|".join("(" + "(?: --)?".join(f" {MARK[s]}" for s in ids) + ")" for _, _, ids in RULES)
@@ -107,8 +107,10 @@ def normalised(sentence: Column) -> Column:
 def marks(text: Column) -> Column:
     """The identifiers of a text's sentences in order; runs of other sentences are one blank."""
     known = F.create_map(*(F.lit(x) for name, all_ in SENTENCES.items() for s in all_ for x in (s, " " + MARK[name])))
-    parts = F.filter(F.transform(F.split(text, SENTENCE_END), normalised), lambda s: s != "")
-    return F.regexp_replace(F.array_join(F.transform(parts, lambda s: F.coalesce(F.try_element_at(known, s), F.lit(GAP))), ""), f"({GAP})+", GAP)
+    of = lambda x: F.try_element_at(known, normalised(x))
+    by_line = lambda x: F.array_join(F.transform(F.filter(F.split(x, "\n"), lambda y: normalised(y) != ""), lambda y: F.coalesce(of(y), F.lit(GAP))), "")
+    line = F.array_join(F.transform(F.split(text, SENTENCE_END), lambda x: F.coalesce(of(x), by_line(x))), "")
+    return F.regexp_replace(line, f"({GAP})+", GAP)
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -134,14 +136,19 @@ def scan_sql() -> str:
     for license_, status, ids in RULES:
         by.setdefault("".join(f" {MARK[s]}" for s in ids), (license_, status, len(ids)))
     rules = ", ".join(f"('{k}', '{a}', '{b}', {n})" for k, (a, b, n) in by.items())
+    norm = "trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'))"
     return rf"""
 WITH known(sentence, mark) AS (VALUES {known}), rules(marks, license, status, sentences) AS (VALUES {rules}),
 parts AS (SELECT row_number() OVER () AS doc, doc_id, string_split_regex(text, '{SENTENCE_END}') AS p FROM documents),
 cut AS (SELECT doc, doc_id, unnest(p) AS s, unnest(range(len(p))) AS place FROM parts),
-clean AS (SELECT doc, doc_id, place, trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')) AS s FROM cut),
+sentences AS (SELECT doc, doc_id, place, s, {norm.format('s')} AS n FROM cut),
+tried AS (SELECT doc, doc_id, place, unnest(string_split(s, chr(10))) AS y, unnest(range(len(string_split(s, chr(10))))) AS sub FROM sentences WHERE n NOT IN (SELECT sentence FROM known)),
+clean AS (
+  SELECT doc, doc_id, place, 0 AS sub, mark FROM sentences JOIN known ON n = sentence
+  UNION ALL SELECT doc, doc_id, place, sub, coalesce(mark, '{GAP}') FROM tried LEFT JOIN known ON {norm.format('y')} = sentence WHERE {norm.format('y')} <> ''
+),
 lines AS (
-  SELECT doc, doc_id, regexp_replace(string_agg(coalesce(mark, '{GAP}'), '' ORDER BY place), '({GAP})+', '{GAP}', 'g') AS marks
-  FROM clean LEFT JOIN known ON clean.s = known.sentence WHERE s <> '' GROUP BY doc, doc_id
+  SELECT doc, doc_id, regexp_replace(string_agg(mark, '' ORDER BY place, sub), '({GAP})+', '{GAP}', 'g') AS marks FROM clean GROUP BY doc, doc_id
 ), found AS (SELECT doc_id, regexp_extract_all(marks, '{RULE_PATTERN}') AS f FROM lines),
 hits AS (SELECT doc_id, unnest(f) AS m, unnest(range(len(f))) AS license_no FROM found)
 SELECT doc_id, license_no::INT AS license_no, license, status, sentences

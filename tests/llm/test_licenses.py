@@ -14,10 +14,12 @@ You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2
 def plain(text):
     known = {s: name for name, all_ in licenses.SENTENCES.items() for s in all_}
     ids = []
-    for part in re.split(licenses.SENTENCE_END, text or "", flags=re.A):
-        s = re.sub("[^a-z0-9]+", " ", part.lower()).strip()
-        if s:
-            ids.append(known.get(s))
+    norm = lambda x: re.sub("[^a-z0-9]+", " ", x.lower()).strip()
+    for part in re.split(licenses.SENTENCE_END, text or ""):
+        if norm(part) in known:
+            ids.append(known[norm(part)])
+        else:
+            ids += [known.get(norm(y)) for y in part.split("\n") if norm(y)]
     line = [x for k, x in enumerate(ids) if x or not k or ids[k - 1]]
     out, at = [], 0
     while at < len(line):
@@ -75,6 +77,6 @@ def test_each_sentence_is_normal_has_a_cue_and_a_rule(name):
 
 
 def test_a_notice_in_its_own_layout(spark):
-    joined = APACHE.replace(";\n", " ").replace("LICENSE-2.0.", "LICENSE-2.0")
-    got = licenses.scan(docs(spark, [(1, joined)])).collect()
-    assert got[0].license == "Apache-2.0"
+    wrapped = "def f():\n    pass\n\n" + APACHE.replace("except in", "except\n   in") + "\n\nmore text here"
+    got = licenses.scan(docs(spark, [(1, wrapped)])).collect()
+    assert [(r.license, r.status, r.sentences) for r in got] == [("Apache-2.0", "notice", 2)]
