@@ -53,3 +53,10 @@ def without(df: DataFrame, *names: str) -> DataFrame:
 def q(name: str) -> Column:
     """A column by its exact name, dots and all."""
     return F.col("`" + name.replace("`", "``") + "`")
+
+
+def discard(spark: SparkSession) -> None:
+    """Deletes all that `written` left for this application; frames that still read it break."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
+    path.getFileSystem(conf).delete(path, True)
