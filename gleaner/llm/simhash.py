@@ -333,9 +333,9 @@ def _shingle_sets(words: int):
             sets = []
             for x in batch.column("text").cast(pa.binary()).to_pylist():
                 if x != last or not sets:
-                    last, found = x, np.unique(shingle_hashes(x or b"", words)).tobytes()
+                    last, found = x, np.unique(shingle_hashes(x or b"", words).astype(np.uint32)).tobytes()
                 sets.append(found)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(sets, pa.binary())], names=["a", "b", "shingles"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "b", "side")), pa.array(sets, pa.binary())], names=["a", "b", "side", "shingles"])
 
     return run
 
@@ -344,7 +344,7 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
         for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
             both = len(np.intersect1d(x, y, assume_unique=True))
             out.append(both / max(1, len(x) + len(y) - both))
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out, pa.float64())], names=["a", "b", "likeness"])
@@ -371,9 +371,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     for more in found[1:]:
         pairs = pairs.union(more)
     pairs = written(pairs.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).filter("a <> b").distinct(), "candidate-pairs")
-    reps = slim.join(pairs.select("a").union(pairs.select("b")).distinct().toDF("id"), "id", "left_semi")
-    sets = [pairs.join(reps, F.col(side) == F.col("id")).select("a", "b", "text").mapInArrow(_shingle_sets(words), "a long, b long, shingles binary") for side in ("a", "b")]
-    both = sets[0].toDF("a", "b", "x").join(sets[1].toDF("a", "b", "y"), ["a", "b"]).select("a", "b", "x", "y")
+    sides = F.array(*(F.struct(F.lit(k).alias("side"), F.col(c).alias("wanted")) for k, c in enumerate(("a", "b"))))
+    ask = pairs.select("a", "b", F.explode(sides).alias("s")).select("a", "b", "s.side", "s.wanted")
+    ask = ask.join(slim.hint("merge"), F.col("wanted") == F.col("id")).select("a", "b", "side", "text")  # texts are shuffled once
+    sets = ask.mapInArrow(_shingle_sets(words), "a long, b long, side int, shingles binary")
+    both = sets.groupBy("a", "b").agg(*(F.max(F.when(F.col("side") == k, F.col("shingles"))).alias(n) for k, n in enumerate("xy")))
     linked = written(both.mapInArrow(_alike, "a long, b long, likeness double").filter(F.col("likeness") >= least).select("a", "b").distinct(), "linked-pairs")
     label = components(linked)
     of = written(classes.join(label, classes.rep == label.node, "left").select("fp0", "same", F.coalesce("label", "rep").alias("keeper")), "keepers")
