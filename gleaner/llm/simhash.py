@@ -36,6 +36,10 @@ QUERIES = 256
 BLOCK_WORDS = 1 << 13  # of a plane times queries: the counters stay in the cache
 TILE = 256
 SEED = 42
+BANDS, GROUP = 32, 4  # a pair of likeness 0.8 shares no key with a chance of (1 - 0.8 ** 4) ** 32, 5 in 10^8
+MULTIPLIERS = np.random.default_rng(SEED).integers(0, 2**63, BANDS * GROUP, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+FAR = 22  # bits a fingerprint, on average; 9.7 at a likeness of 0.8
+ROUNDS = (0, 2, 8, None)  # pairs a text and bucket; see apart_pairs
 ROW_COST, PAIR_COST = 6e-6, 2e-9  # seconds; only their ratio matters, for the choice of tables
 
 
@@ -308,20 +312,114 @@ def remixed(hashes: np.ndarray, k: int) -> np.ndarray:
         return h ^ (h >> np.uint64(32))
 
 
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """A key for each of BANDS groups of GROUP minima of the shingle hashes under multiplications; two texts share
+    a key where all its minima are equal, each with the chance of their Jaccard likeness."""
+    least = np.full(len(MULTIPLIERS), ~np.uint64(0))
+    with np.errstate(over="ignore"):
+        for k in range(0, len(hashes), 2048):
+            np.minimum(least, (hashes[k : k + 2048, None] * MULTIPLIERS[None, :]).min(axis=0), out=least)
+        keys = np.arange(1, BANDS + 1, dtype=np.uint64)
+        for part in least.reshape(BANDS, GROUP).T:
+            keys = (keys ^ part) * np.uint64(0x9E3779B97F4A7C15)
+            keys ^= keys >> np.uint64(29)
+    return keys
+
+
 def _classes(words: int, prints: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
                 texts = [x or b"" for x in part.column(1).cast(pa.binary()).to_pylist()]
-                fps = []
+                fps, keys = [], []
                 for x in texts:
                     hashes = shingle_hashes(x, words)
                     fps.append([majority(remixed(hashes, j)) for j in range(prints)])
+                    keys.append(band_keys(hashes))
                 fps = np.array(fps, np.uint64).reshape(len(texts), prints).view(np.int64)
+                keys = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * len(texts) + 1, BANDS), pa.int32()), pa.array(np.array(keys, np.uint64).reshape(-1).view(np.int64)))
                 same = np.array([xxhash.xxh64_intdigest(shingle_spans(x, words)[0], 1) for x in texts], np.uint64).view(np.int64)
-                cols = [part.column(0), pa.array(same), *(pa.array(np.ascontiguousarray(fps[:, j])) for j in range(prints))]
-                yield pa.RecordBatch.from_arrays(cols, names=["id", "same", *(f"fp{j}" for j in range(prints))])
+                cols = [part.column(0), pa.array(same), *(pa.array(np.ascontiguousarray(fps[:, j])) for j in range(prints)), keys]
+                yield pa.RecordBatch.from_arrays(cols, names=["id", "same", *(f"fp{j}" for j in range(prints)), "keys"])
+
+    return run
+
+
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The columns of each bucket of two rows and more; rows come sorted by the first column, the key."""
+    held: list[np.ndarray] | None = None
+    for batch in batches:
+        cols = [batch.column(k).to_numpy() for k in range(batch.num_columns)]
+        if not len(cols[0]):
+            continue
+        if held is not None and held[0][0][-1] == cols[0][0] == cols[0][-1]:  # a bucket over many batches is joined once
+            held = [h + [c] for h, c in zip(held, cols)]
+            continue
+        if held is not None:
+            cols = [np.concatenate([*h, c]) for h, c in zip(held, cols)]
+        bounds = [0, *(np.flatnonzero(cols[0][1:] != cols[0][:-1]) + 1).tolist()]
+        for a, b in itertools.pairwise(bounds):
+            if b - a > 1:
+                yield [c[a:b] for c in cols]
+        held = [[c[bounds[-1] :]] for c in cols]
+    if held is not None and sum(map(len, held[0])) > 1:
+        yield [np.concatenate(h) for h in held]
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows whose key another row has too."""
+    out, n = [], 0
+    for cols in _buckets(batches):
+        out.append(cols)
+        n += len(cols[0])
+        if n >= 4096:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["key", "rep"])
+            out, n = [], 0
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["key", "rep"])
+
+
+def apart_pairs(rep: np.ndarray, label: np.ndarray, links: np.ndarray, fps: np.ndarray, most: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a bucket that are in different components and not too far in all fingerprints together: all of
+    them, or of each row `most`, those first that have most links. With 0 each row's pair with the least."""
+    if (label == label[0]).all():
+        return
+    if most == 0:
+        at = int(rep.argmin())
+        far = np.bitwise_count(fps ^ fps[at]).sum(axis=1, dtype=np.int64) > FAR * fps.shape[1]
+        ask = np.flatnonzero(~far & (label != label[at]))
+        yield np.full(len(ask), rep[at]), rep[ask]
+        return
+    names, counts = np.unique(label, return_counts=True)
+    asking = np.flatnonzero(label != names[counts.argmax()])  # each pair has one outside the largest component
+    rank = np.zeros(len(rep), np.int64)
+    rank[asking] = np.arange(1, len(asking) + 1)
+    step = max(1, (1 << 20) // len(rep))
+    for k in range(0, len(asking), step):
+        rows = asking[k : k + step]
+        d = np.zeros((len(rows), len(rep)), np.int64)
+        for j in range(fps.shape[1]):
+            d += np.bitwise_count(fps[rows, None, j] ^ fps[None, :, j])
+        fits = (d <= FAR * fps.shape[1]) & (label[rows, None] != label[None, :])
+        if most is not None and most < len(rep):
+            d = np.where(fits, d - 256 * links[None, :], np.iinfo(np.int64).max)
+            near_ = np.argpartition(d, most - 1, axis=1)[:, :most]
+            row, col = np.repeat(np.arange(len(rows)), most), near_.ravel()
+            keep = fits[row, col]
+            row, col = row[keep], col[keep]
+        else:
+            row, col = np.nonzero(fits & (rank[None, :] < rank[rows, None]))  # each pair once
+        yield rep[rows[row]], rep[col]
+
+
+def _apart(most: int | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rep, label, links, *fps in _buckets(batches):
+            for a, b in apart_pairs(rep, label, links, np.stack(fps, axis=1).view(np.uint64), most):
+                for k in range(0, len(a), 1 << 16):
+                    x, y = a[k : k + (1 << 16)], b[k : k + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
     return run
 
@@ -350,33 +448,53 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out, pa.float64())], names=["a", "b", "likeness"])
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 10, least: float = 0.8, prints: int = 3) -> DataFrame:
-    """(id, keeper) of every id but the smallest of its group. Groups are linked by a Jaccard likeness of at
-    least `least` over shingles of `words` words. The pairs compared come from `prints` fingerprints of
-    independent hashes, each searched bit-sliced within `radius`: what connects a cell, and the nearest
-    neighbour of each fingerprint besides. A pair at the least likeness differs in 10 of 64 bits on average, so
-    that one fingerprint finds three in four and three find nearly all. Texts without any word are one group.
-    Null ids are in no group."""
-    slim = docs.select(q(id_col).cast("long").alias("id"), q(text_col).alias("text")).filter("id is not null")
-    names = [f"fp{j}" for j in range(prints)]
-    rows = written(slim.mapInArrow(_classes(words, prints), "id long, same long, " + ", ".join(f"{n} long" for n in names)), "shingle-classes")
-    classes = written(rows.groupBy("fp0", "same").agg(F.min("id").alias("rep"), *(F.any_value(n).alias(n) for n in names[1:])), "classes")
-    found = []
-    for n in names:
-        each = written(classes.groupBy(n).agg(F.min("rep").alias("rep")), "prints").toDF("fp", "rep")
-        near_fps = written(links(each.select("fp"), radius, extra=1), "near-fingerprints")
-        found.append(near_fps.join(each.toDF("a", "ra"), "a").join(each.toDF("b", "rb"), "b").select("ra", "rb"))
-        found.append(classes.join(each.toDF(n, "ra"), n).filter("rep <> ra").select("ra", F.col("rep").alias("rb")))
-    pairs = found[0]
-    for more in found[1:]:
-        pairs = pairs.union(more)
-    pairs = written(pairs.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).filter("a <> b").distinct(), "candidate-pairs")
+def _verified(pairs: DataFrame, slim: DataFrame, words: int, least: float) -> DataFrame:
+    """The pairs (a, b) of ids whose texts are at least so alike."""
     sides = F.array(*(F.struct(F.lit(k).alias("side"), F.col(c).alias("wanted")) for k, c in enumerate(("a", "b"))))
     ask = pairs.select("a", "b", F.explode(sides).alias("s")).select("a", "b", "s.side", "s.wanted")
     ask = ask.join(slim.hint("merge"), F.col("wanted") == F.col("id")).select("a", "b", "side", "text")  # texts are shuffled once
     sets = ask.mapInArrow(_shingle_sets(words), "a long, b long, side int, shingles binary")
     both = sets.groupBy("a", "b").agg(*(F.max(F.when(F.col("side") == k, F.col("shingles"))).alias(n) for k, n in enumerate("xy")))
-    linked = written(both.mapInArrow(_alike, "a long, b long, likeness double").filter(F.col("likeness") >= least).select("a", "b").distinct(), "linked-pairs")
-    label = components(linked)
+    return written(both.mapInArrow(_alike, "a long, b long, likeness double").filter(F.col("likeness") >= least).select("a", "b").distinct(), "linked-pairs")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, prints: int = 3) -> DataFrame:
+    """(id, keeper) of every id but the smallest of its group. Groups are linked by a Jaccard likeness of at
+    least `least` over shingles of `words` words. Texts that share one of BANDS keys of minima, and whose `prints`
+    fingerprints differ in at most FAR bits each on average, are candidates. ROUNDS go over the buckets of the keys:
+    candidates in different components are checked, and those alike join. The first rounds check a few a text, so that
+    large groups join soon; the last checks every candidate pair still in different components. No link is
+    taken or left unchecked. Texts without any word are one group. Null ids are in no group."""
+    slim = docs.select(q(id_col).cast("long").alias("id"), q(text_col).alias("text")).filter("id is not null")
+    names = [f"fp{j}" for j in range(prints)]
+    rows = written(slim.mapInArrow(_classes(words, prints), "id long, same long, " + ", ".join(f"{n} long" for n in names) + ", keys array<long>"), "shingle-classes")
+    classes = written(rows.groupBy("fp0", "same").agg(F.min("id").alias("rep"), F.min_by("keys", "id").alias("keys"), *(F.min_by(n, "id").alias(n) for n in names[1:])), "classes")
+    parts = max(2 * docs.sparkSession.sparkContext.defaultParallelism, classes.count() * BANDS // 500_000)
+    keyed = classes.select(F.explode("keys").alias("key"), "rep").repartition(parts, "key").sortWithinPartitions("key")
+    shared = written(keyed.mapInArrow(_shared, "key long, rep long"), "shared-keys")
+    nodes = classes.select("rep", *names).join(shared.select("rep").distinct(), "rep")
+    linked = tried = label = None
+    for most in ROUNDS:
+        if linked is None:
+            now = nodes.withColumns({"label": F.col("rep"), "links": F.lit(0).cast("long")})
+        else:
+            ends = linked.select("a").union(linked.select("b")).groupBy("a").agg(F.count("*").alias("links"))
+            now = nodes.join(label, nodes.rep == label.node, "left").join(ends, nodes.rep == ends.a, "left")
+            now = now.select("rep", *names, F.coalesce("label", "rep").alias("label"), F.coalesce("links", F.lit(0).cast("long")).alias("links"))
+        now = written(now, "nodes")
+        buckets = shared.join(now, "rep").select("key", "rep", "label", "links", *names).repartition(parts, "key").sortWithinPartitions("key")
+        pairs = buckets.mapInArrow(_apart(most), "a long, b long").distinct()
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        if most == 0:  # of the least ones that a text meets in its buckets the smallest and the largest
+            pairs = pairs.groupBy("b").agg(F.min("a").alias("x"), F.max("a").alias("y")).select(F.explode(F.array_distinct(F.array("x", "y"))).alias("a"), "b")
+        pairs = written(pairs, "candidate-pairs")
+        if not pairs.limit(1).count():
+            continue
+        more = _verified(pairs, slim, words, least)
+        linked, tried = (more, pairs) if linked is None else (linked.union(more), tried.union(pairs))
+        label = written(components(linked), "near-labels")
+    if label is None:
+        return rows.join(classes.select("fp0", "same", F.col("rep").alias("keeper")), ["fp0", "same"]).filter("id <> keeper").select("id", "keeper").distinct()
     of = written(classes.join(label, classes.rep == label.node, "left").select("fp0", "same", F.coalesce("label", "rep").alias("keeper")), "keepers")
     return rows.join(of, ["fp0", "same"]).filter("id <> keeper").select("id", "keeper").distinct()

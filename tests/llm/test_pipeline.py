@@ -77,3 +77,17 @@ def test_stages_keep_the_columns_and_clean_documents(spark, tmp_path):
 def test_empty_documents(spark, tmp_path):
     docs(spark, []).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_copies_of_one_text_that_are_unlike_each_other(spark):
+    rng = random.Random(5)
+    base = [f"v{rng.randrange(10**9)}" for _ in range(404)]
+    rows = [(500, " ".join(base))]
+    for i in range(300):
+        w = list(base)
+        for at in rng.sample(range(5, 395, 10), 8):
+            w[at] = f"e{rng.randrange(10**9)}"
+        rows.append((i, " ".join(w)))
+    assert all(jaccard(rows[0][1], x) >= 0.8 for _, x in rows) and jaccard(rows[1][1], rows[2][1]) < 0.8
+    got = {r.id: r.keeper for r in simhash.near_duplicates(docs(spark, rows)).collect()}
+    assert got == {i: 0 for i, _ in rows if i}
