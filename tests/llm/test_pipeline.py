@@ -2,6 +2,7 @@ import random
 from itertools import combinations
 
 import corpus_pipeline
+import numpy as np
 from gleaner.llm import simhash
 from pyspark.sql import functions as F
 
@@ -91,3 +92,14 @@ def test_copies_of_one_text_that_are_unlike_each_other(spark):
     assert all(jaccard(rows[0][1], x) >= 0.8 for _, x in rows) and jaccard(rows[1][1], rows[2][1]) < 0.8
     got = {r.id: r.keeper for r in simhash.near_duplicates(docs(spark, rows)).collect()}
     assert got == {i: 0 for i, _ in rows if i}
+
+
+def test_pairs_at_the_least_likeness_are_candidates():
+    rng = np.random.default_rng(8)
+    for n, other in ((8, 10), (40, 50), (320, 400)):
+        for _ in range(400):
+            y = rng.integers(0, 2**64, other, dtype=np.uint64)
+            x = y[:n]
+            assert (simhash.band_keys(x) == simhash.band_keys(y)).any()
+            apart = [(simhash.majority(simhash.remixed(x, j)) ^ simhash.majority(simhash.remixed(y, j))).bit_count() for j in range(3)]
+            assert sum(apart) <= 3 * simhash.FAR
