@@ -94,6 +94,13 @@ RULES = [
 CUES = ("licen", "permission", "copyright", "warrant", "redistribut", "unencumbered", "rights reserved", "endorse or promote")
 
 SENTENCE_END = r"[.!?]+[ \t\r\n]+|\n[ \t\r]*\n[ \t\r\n]*"
+# Layouts of published headers that would cut or join known sentences, and what they are read as: a line of comment
+# marks only is blank; "v." before a number; the Apache URL in a paragraph of its own. scan_sql knows none of these.
+LAYOUTS = [
+    (r"\n[ \t\r]*(?:#+|//+|\*+|;+|--+)[ \t\r]*(?=\n)", "\n"),
+    (r"(?i)\b(v)\.[^A-Za-z0-9\n]*\n?[^A-Za-z0-9\n]*(?=[0-9])", "$1 "),
+    (r"(?i)(a\s+copy\s+of\s+the\s+license\s+at)[^A-Za-z0-9]+https?(://www\.apache\.org/licenses/license-2\.0)(?![A-Za-z0-9]|\.[A-Za-z0-9])[^A-Za-z0-9]*", "$1 http$2. "),
+]
 CUE_PATTERN = r"(?i)" + "|".join(c.replace(" ", r"[^A-Za-z0-9]+") for c in CUES)
 MARK = {name: f"{k:02d}" for k, name in enumerate(SENTENCES)}
 RULE_PATTERN = "|".join("(" + "(?: --)?".join(f" {MARK[s]}" for s in ids) + ")" for _, _, ids in RULES)
@@ -109,6 +116,8 @@ def marks(text: Column) -> Column:
     known = F.create_map(*(F.lit(x) for name, all_ in SENTENCES.items() for s in all_ for x in (s, " " + MARK[name])))
     of = lambda x: F.try_element_at(known, normalised(x))
     by_line = lambda x: F.array_join(F.transform(F.filter(F.split(x, "\n"), lambda y: normalised(y) != ""), lambda y: F.coalesce(of(y), F.lit(GAP))), "")
+    for pattern, plain in LAYOUTS:
+        text = F.regexp_replace(text, pattern, plain)
     line = F.array_join(F.transform(F.split(text, SENTENCE_END), lambda x: F.coalesce(of(x), by_line(x))), "")
     return F.regexp_replace(line, f"({GAP})+", GAP)
 
@@ -130,7 +139,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def scan_sql() -> str:
-    """DuckDB SQL of scan(documents)."""
+    """DuckDB SQL of scan(documents), but for texts with LAYOUTS."""
     known = ", ".join(f"('{s}', ' {MARK[name]}')" for name, all_ in SENTENCES.items() for s in all_)
     by = {}
     for license_, status, ids in RULES:

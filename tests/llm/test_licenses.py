@@ -80,3 +80,29 @@ def test_a_notice_in_its_own_layout(spark):
     wrapped = "def f():\n    pass\n\n" + APACHE.replace("except in", "except\n   in") + "\n\nmore text here"
     got = licenses.scan(docs(spark, [(1, wrapped)])).collect()
     assert [(r.license, r.status, r.sentences) for r in got] == [("Apache-2.0", "notice", 2)]
+
+
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at http://mozilla.org/MPL/2.0/."""
+APACHE_HEADER = """Copyright 2020 A. Author
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+
+
+@pytest.mark.parametrize("mark", ["", "# ", " * ", "// "])
+def test_published_headers(spark, mark):
+    commented = lambda x: "\n".join((mark + y).rstrip(" ") for y in x.split("\n"))
+    rows = [(1, commented(MPL)), (2, commented(APACHE_HEADER)), (3, commented(APACHE_HEADER.replace("http:", "https:"))), (4, commented(MPL.replace("v. 2.0", "v. 1.1")))]
+    got = sorted((r.doc_id, r.license, r.status, r.sentences) for r in licenses.scan(docs(spark, rows)).collect())
+    assert got == [(1, "MPL-2.0", "notice", 1), (2, "Apache-2.0", "notice", 3), (3, "Apache-2.0", "notice", 3)]
