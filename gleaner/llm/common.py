@@ -12,10 +12,13 @@ _own_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; where it is unset (as in tests) a folder of our own."""
+    """The cluster's spark.checkpoint.dir. Where it is unset and driver and executors are one process (as in tests) a
+    folder of our own; on a cluster that would be another folder on every machine, so it is an error."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = tempfile.mkdtemp(prefix="gleaner-")
@@ -26,8 +29,8 @@ BATCH_ROWS = 1024
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches of at most BATCH_ROWS rows in this session: a row here can be a long text, and a task
-    holds a batch several times over."""
+    """Arrow batches of at most BATCH_ROWS rows in this session: a row here can be a long text, and a task holds a batch
+    several times over. spark.sql.execution.arrow.maxBytesPerBatch (64 MB by default) bounds their bytes."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
         spark.conf.set(key, BATCH_ROWS)
@@ -41,7 +44,29 @@ def written(df: DataFrame, label: str) -> DataFrame:
     bounded_batches(spark)
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables that `written` made and that nothing reads any more."""
+    for df in tables:
+        _delete(df.sparkSession, df._written_at)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh(prefix: str, *frames: DataFrame) -> str:
+    """A column name with this prefix that none of the frames has, whatever the case."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    name = prefix
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def without(df: DataFrame, *names: str) -> DataFrame:
@@ -57,6 +82,4 @@ def q(name: str) -> Column:
 
 def discard(spark: SparkSession) -> None:
     """Deletes all that `written` left for this application; frames that still read it break."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
-    path.getFileSystem(conf).delete(path, True)
+    _delete(spark, f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")

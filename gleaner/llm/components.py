@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import written
+from gleaner.llm.common import forget, written
 
 
 def _nearest(edges: DataFrame) -> DataFrame:
@@ -27,12 +27,14 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
     for _ in range(max_rounds):
         both = edges.union(edges.select("b", "a"))
-        star = both.join(_nearest(both), "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        first = _nearest(both)
+        star = both.join(first, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         star = star.filter("a <> b").distinct()
         down = star.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         near = _nearest(down)
         small = down.join(near, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(near.select("a", F.col("m").alias("b")))
-        edges = written(small.filter("a <> b").distinct(), "edges")
+        before, edges = edges, written(small.filter("a <> b").distinct(), "edges")
+        forget(before, first, near)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == mark or not now[0]:
             break

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import q, written
+from gleaner.llm.common import fresh, q, written
 from gleaner.llm.components import components
 
 CELL = 1 << 15
@@ -39,7 +39,10 @@ SEED = 42
 BANDS, GROUP = 32, 4  # a pair of likeness 0.8 shares no key with a chance of (1 - 0.8 ** 4) ** 32, 5 in 10^8
 MULTIPLIERS = np.random.default_rng(SEED).integers(0, 2**63, BANDS * GROUP, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 FAR = 22  # bits a fingerprint, on average; 9.7 at a likeness of 0.8
-ROUNDS = (0, 2, 8, None)  # pairs a text and bucket; see apart_pairs
+BINS = 512  # of a sketch, four bits each
+MARGIN = 0.08  # of a likeness that a sketch estimates with a deviation of 0.019 at most: over four of them
+PAIR_CELL = 1 << 12
+ROUNDS = (4, None)  # pairs a text; see near_duplicates
 ROW_COST, PAIR_COST = 6e-6, 2e-9  # seconds; only their ratio matters, for the choice of tables
 
 
@@ -106,7 +109,9 @@ def tables_for(n: int, radius: int) -> list[list[int]]:
 
 
 def planes_of(fps: np.ndarray) -> np.ndarray:
-    """64 rows of words: bit i of word w in row p is bit p of fingerprint 64 w + i."""
+    """64 rows of words for each word of a fingerprint: bit i of word w in row p is bit p of fingerprint 64 w + i."""
+    if fps.ndim > 1:
+        return np.concatenate([planes_of(np.ascontiguousarray(fps[:, k])) for k in range(fps.shape[1])])
     words = -(-len(fps) // 64)
     padded = np.zeros(words * 64, np.uint64)
     padded[: len(fps)] = fps
@@ -137,19 +142,20 @@ def _within(counter: list[np.ndarray], radius: int) -> np.ndarray:
 
 
 def near(queries: np.ndarray, planes: np.ndarray, n: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row in queries, fingerprint number) of all pairs within the radius."""
+    """(row in queries, fingerprint number) of all pairs within the radius; a fingerprint is a word or a row of words."""
     rows = np.arange(len(queries))
+    queries = queries.reshape(len(queries), -1)
     counter: list[np.ndarray] = []
     last = np.full(planes.shape[1], ~np.uint64(0))
     if n % 64:
         last[-1] = np.uint64((1 << n % 64) - 1)
     alive = None
-    for start in range(0, 64, 16):
+    for start in range(0, len(planes), 16):
         held: dict[int, np.ndarray] = {}
         for p in range(start, start + 16, 2):
-            bit = (queries >> np.uint64(p)) & np.uint64(1)
+            bit = (queries[:, p // 64] >> np.uint64(p % 64)) & np.uint64(1)
             x = planes[p][None, :] ^ (np.uint64(0) - bit)[:, None]
-            bit = (queries >> np.uint64(p + 1)) & np.uint64(1)
+            bit = (queries[:, p // 64] >> np.uint64(p % 64 + 1)) & np.uint64(1)
             y = planes[p + 1][None, :] ^ (np.uint64(0) - bit)[:, None]
             total, carry, level = x ^ y, x & y, 1
             if 0 in held:  # a full adder over the waiting bit and the two new ones
@@ -326,114 +332,129 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
     return keys
 
 
+def sketch(hashes: np.ndarray) -> bytes:
+    """BINS numbers of four bits: shingle hashes are dealt to bins, and a bin keeps a number from 1 to 15 of its smallest
+    one; 0 stands for an empty bin. Small sets are sketched nearly whole, large ones by BINS shingles."""
+    out = np.zeros(BINS, np.uint8)
+    if len(hashes):
+        h = np.sort(remixed(hashes, 64))
+        bins, first = np.unique(h >> np.uint64(64 - BINS.bit_length() + 1), return_index=True)
+        out[bins.astype(np.int64)] = 1 + ((h[first] & np.uint64(0xFFFFFFFF)) % np.uint64(15)).astype(np.uint8)
+    return (out[::2] | out[1::2] << 4).tobytes()
+
+
+def estimated(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The likeness of sketches, row by row: the share of equal bins among those not empty in both, less chance hits."""
+    out = np.empty(len(x))
+    for k in range(0, len(x), 1 << 14):
+        a, b = x[k : k + (1 << 14)], y[k : k + (1 << 14)]
+        filled = hit = both = 0
+        for shift in (0, 4):
+            p, o = (a >> shift) & 15, (b >> shift) & 15
+            filled = filled + ((p | o) != 0).sum(axis=1)
+            two = (p != 0) & (o != 0)
+            both, hit = both + two.sum(axis=1), hit + (two & (p == o)).sum(axis=1)
+        out[k : k + (1 << 14)] = (hit - (both - hit) / 14) / np.maximum(filled, 1)
+    return out
+
+
 def _classes(words: int, prints: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
-                texts = [x or b"" for x in part.column(1).cast(pa.binary()).to_pylist()]
-                fps, keys = [], []
-                for x in texts:
-                    hashes = shingle_hashes(x, words)
+                fps, keys, sketches, same = [], [], [], []
+                for x in part.column(2).cast(pa.binary()).to_pylist():
+                    flat, spans = shingle_spans(x, words)
+                    hashes = np.array([xxhash.xxh64_intdigest(flat[a:b], SEED) for a, b in spans], np.uint64)
+                    same.append(xxhash.xxh64_intdigest(flat, 1))
                     fps.append([majority(remixed(hashes, j)) for j in range(prints)])
                     keys.append(band_keys(hashes))
-                fps = np.array(fps, np.uint64).reshape(len(texts), prints).view(np.int64)
-                keys = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * len(texts) + 1, BANDS), pa.int32()), pa.array(np.array(keys, np.uint64).reshape(-1).view(np.int64)))
-                same = np.array([xxhash.xxh64_intdigest(shingle_spans(x, words)[0], 1) for x in texts], np.uint64).view(np.int64)
-                cols = [part.column(0), pa.array(same), *(pa.array(np.ascontiguousarray(fps[:, j])) for j in range(prints)), keys]
-                yield pa.RecordBatch.from_arrays(cols, names=["id", "same", *(f"fp{j}" for j in range(prints)), "keys"])
+                    sketches.append(sketch(hashes))
+                keys = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * len(same) + 1, BANDS), pa.int32()), pa.array(np.array(keys, np.uint64).reshape(-1).view(np.int64)))
+                cols = [part.column(0), part.column(1), pa.array(np.array(same, np.uint64).view(np.int64)), keys]
+                cols.append(pa.array([np.array(f, "<u8").tobytes() + s for f, s in zip(fps, sketches)], pa.binary()))
+                yield pa.RecordBatch.from_arrays(cols, names=["id", "hash", "node", "keys", "marks"])
 
     return run
 
 
-def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """The columns of each bucket of two rows and more; rows come sorted by the first column, the key."""
-    held: list[np.ndarray] | None = None
-    for batch in batches:
-        cols = [batch.column(k).to_numpy() for k in range(batch.num_columns)]
-        if not len(cols[0]):
-            continue
-        if held is not None and held[0][0][-1] == cols[0][0] == cols[0][-1]:  # a bucket over many batches is joined once
-            held = [h + [c] for h, c in zip(held, cols)]
-            continue
-        if held is not None:
-            cols = [np.concatenate([*h, c]) for h, c in zip(held, cols)]
-        bounds = [0, *(np.flatnonzero(cols[0][1:] != cols[0][:-1]) + 1).tolist()]
-        for a, b in itertools.pairwise(bounds):
-            if b - a > 1:
-                yield [c[a:b] for c in cols]
-        held = [[c[bounds[-1] :]] for c in cols]
-    if held is not None and sum(map(len, held[0])) > 1:
-        yield [np.concatenate(h) for h in held]
-
-
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows whose key another row has too."""
-    out, n = [], 0
-    for cols in _buckets(batches):
-        out.append(cols)
-        n += len(cols[0])
-        if n >= 4096:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["key", "rep"])
-            out, n = [], 0
-    if out:
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["key", "rep"])
-
-
-def apart_pairs(rep: np.ndarray, label: np.ndarray, links: np.ndarray, fps: np.ndarray, most: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of a bucket that are in different components and not too far in all fingerprints together: all of
-    them, or of each row `most`, those first that have most links. With 0 each row's pair with the least."""
-    if (label == label[0]).all():
-        return
-    if most == 0:
-        at = int(rep.argmin())
-        far = np.bitwise_count(fps ^ fps[at]).sum(axis=1, dtype=np.int64) > FAR * fps.shape[1]
-        ask = np.flatnonzero(~far & (label != label[at]))
-        yield np.full(len(ask), rep[at]), rep[ask]
-        return
-    names, counts = np.unique(label, return_counts=True)
-    asking = np.flatnonzero(label != names[counts.argmax()])  # each pair has one outside the largest component
-    rank = np.zeros(len(rep), np.int64)
-    rank[asking] = np.arange(1, len(asking) + 1)
-    step = max(1, (1 << 20) // len(rep))
-    for k in range(0, len(asking), step):
-        rows = asking[k : k + step]
-        d = np.zeros((len(rows), len(rep)), np.int64)
-        for j in range(fps.shape[1]):
-            d += np.bitwise_count(fps[rows, None, j] ^ fps[None, :, j])
-        fits = (d <= FAR * fps.shape[1]) & (label[rows, None] != label[None, :])
-        if most is not None and most < len(rep):
-            d = np.where(fits, d - 256 * links[None, :], np.iinfo(np.int64).max)
-            near_ = np.argpartition(d, most - 1, axis=1)[:, :most]
-            row, col = np.repeat(np.arange(len(rows)), most), near_.ravel()
-            keep = fits[row, col]
-            row, col = row[keep], col[keep]
-        else:
-            row, col = np.nonzero(fits & (rank[None, :] < rank[rows, None]))  # each pair once
-        yield rep[rows[row]], rep[col]
-
+def close_pairs(marks: list[np.ndarray], labels: list[np.ndarray], prints: int, least: float, most: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, col, likeness as estimated) of the pairs of a cell (one side, or two) of different labels whose fingerprints
+    are within the radius and whose sketches are alike; with `most`, as many for each row, the likest first."""
+    left, right = marks[0], marks[-1]
+    fps = [np.ascontiguousarray(m[:, : 8 * prints]).view("<u8") for m in (left, right)]
+    planes = planes_of(fps[1])
+    found = []
+    for k in range(0, len(left), QUERIES):
+        n = len(right) if len(marks) > 1 else min(len(left), k + QUERIES)
+        row, col = near(fps[0][k : k + QUERIES], planes[:, : -(-n // 64)], n, FAR * prints)
+        row = row + k
+        keep = labels[0][row] != labels[-1][col]
+        if len(marks) == 1:
+            keep &= row > col
+        row, col = row[keep], col[keep]
+        like = np.empty(len(row))
+        for a in range(0, len(row), 1 << 14):
+            like[a : a + (1 << 14)] = estimated(left[row[a : a + (1 << 14)], 8 * prints :], right[col[a : a + (1 << 14)], 8 * prints :])
+        keep = like >= least - MARGIN
+        found.append((row[keep], col[keep], like[keep]))
+    row, col, like = (np.concatenate(x) for x in zip(*found))
+    if most is not None and len(row):
+        keep = np.zeros(len(row), bool)
+        for of in (row, col):
+            order = np.lexsort((-like, of))
+            of = of[order]
+            place = np.arange(len(of)) - np.searchsorted(of, of)
+            keep[order[place < most]] = True
+        row, col, like = row[keep], col[keep], like[keep]
+    return row, col, like
+
+
+def _cells(prints: int, least: float, most: int | None):
+    """Rows (key, i, j, side, node, label, marks) come sorted by cell (key, i, j)."""
 
-def _apart(most: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rep, label, links, *fps in _buckets(batches):
-            for a, b in apart_pairs(rep, label, links, np.stack(fps, axis=1).view(np.uint64), most):
-                for k in range(0, len(a), 1 << 16):
-                    x, y = a[k : k + (1 << 16)], b[k : k + (1 << 16)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+        cell, held = None, []
+
+        def flush():
+            sides = []
+            for s in (0, 1):
+                parts = [h for h in held if h[0] == s]
+                if parts:
+                    sides.append(tuple(np.concatenate([p[c] for p in parts]) for c in (1, 2, 3)))
+            if not sides or (len(sides) == 1 and (cell[1] != cell[2] or len(sides[0][0]) < 2)):
+                return None
+            row, col, like = close_pairs([s[2] for s in sides], [s[1] for s in sides], prints, least, most)
+            if not len(row):
+                return None
+            a, b = sides[0][0][row], sides[-1][0][col]
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(like)], names=["a", "b", "like"])
+
+        for batch in batches:
+            key, i, j, side, node, label = (batch.column(k).to_numpy() for k in range(6))
+            marks = np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint8).reshape(len(key), -1)
+            cuts = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]) | (side[1:] != side[:-1])) + 1
+            for a, b in itertools.pairwise([0, *cuts.tolist(), len(key)]):
+                if a == b:
+                    continue
+                now = (key[a], i[a], j[a])
+                if now != cell:
+                    if held and (out := flush()) is not None:
+                        yield out
+                    cell, held = now, []
+                held.append((side[a], node[a:b], label[a:b], marks[a:b]))
+        if held and (out := flush()) is not None:
+            yield out
 
     return run
 
 
 def _shingle_sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, found = None, b""
-        for batch in (whole.slice(k, 256) for whole in batches for k in range(0, whole.num_rows, 256)):
-            sets = []
-            for x in batch.column("text").cast(pa.binary()).to_pylist():
-                if x != last or not sets:
-                    last, found = x, np.unique(shingle_hashes(x or b"", words).astype(np.uint32)).tobytes()
-                sets.append(found)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "b", "side")), pa.array(sets, pa.binary())], names=["a", "b", "side", "shingles"])
+        for batch in (whole.slice(k, 128) for whole in batches for k in range(0, whole.num_rows, 128)):
+            sets = [np.unique(shingle_hashes(x, words)).tobytes() for x in batch.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
     return run
 
@@ -441,60 +462,88 @@ def _shingle_sets(words: int):
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
-        for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
-            x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
             both = len(np.intersect1d(x, y, assume_unique=True))
             out.append(both / max(1, len(x) + len(y) - both))
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out, pa.float64())], names=["a", "b", "likeness"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], names=["a", "b", "likeness"])
 
 
-def _verified(pairs: DataFrame, slim: DataFrame, words: int, least: float) -> DataFrame:
-    """The pairs (a, b) of ids whose texts are at least so alike."""
-    sides = F.array(*(F.struct(F.lit(k).alias("side"), F.col(c).alias("wanted")) for k, c in enumerate(("a", "b"))))
-    ask = pairs.select("a", "b", F.explode(sides).alias("s")).select("a", "b", "s.side", "s.wanted")
-    ask = ask.join(slim.hint("merge"), F.col("wanted") == F.col("id")).select("a", "b", "side", "text")  # texts are shuffled once
-    sets = ask.mapInArrow(_shingle_sets(words), "a long, b long, side int, shingles binary")
-    both = sets.groupBy("a", "b").agg(*(F.max(F.when(F.col("side") == k, F.col("shingles"))).alias(n) for k, n in enumerate("xy")))
-    return written(both.mapInArrow(_alike, "a long, b long, likeness double").filter(F.col("likeness") >= least).select("a", "b").distinct(), "linked-pairs")
+def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose shingle sets are at least so alike."""
+    of = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"of_{c}"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "of_a", "of_b")
+    return written(both.mapInArrow(_alike, "a long, b long, likeness double").filter(F.col("likeness") >= least).select("a", "b"), "linked-pairs")
+
+
+def _likest(pairs: DataFrame, most: int, by: str) -> DataFrame:
+    """Of each node the `most` pairs first by the column; a node has at most BANDS times `most` a cell."""
+    sides = pairs.select(F.col("a").alias("n"), "a", "b", by).union(pairs.select(F.col("b").alias("n"), "a", "b", by))
+    top = sides.groupBy("n").agg(F.slice(F.sort_array(F.collect_set(F.struct(by, "a", "b")), False), 1, most).alias("t"))
+    return top.select(F.explode("t").alias("t")).select("t.a", "t.b").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, prints: int = 3) -> DataFrame:
-    """(id, keeper) of every id but the smallest of its group. Groups are linked by a Jaccard likeness of at
-    least `least` over shingles of `words` words. Texts that share one of BANDS keys of minima, and whose `prints`
-    fingerprints differ in at most FAR bits each on average, are candidates. ROUNDS go over the buckets of the keys:
-    candidates in different components are checked, and those alike join. The first rounds check a few a text, so that
-    large groups join soon; the last checks every candidate pair still in different components. No link is
-    taken or left unchecked. Texts without any word are one group. Null ids are in no group."""
-    slim = docs.select(q(id_col).cast("long").alias("id"), q(text_col).alias("text")).filter("id is not null")
-    names = [f"fp{j}" for j in range(prints)]
-    rows = written(slim.mapInArrow(_classes(words, prints), "id long, same long, " + ", ".join(f"{n} long" for n in names) + ", keys array<long>"), "shingle-classes")
-    classes = written(rows.groupBy("fp0", "same").agg(F.min("id").alias("rep"), F.min_by("keys", "id").alias("keys"), *(F.min_by(n, "id").alias(n) for n in names[1:])), "classes")
-    parts = max(2 * docs.sparkSession.sparkContext.defaultParallelism, classes.count() * BANDS // 500_000)
-    keyed = classes.select(F.explode("keys").alias("key"), "rep").repartition(parts, "key").sortWithinPartitions("key")
-    shared = written(keyed.mapInArrow(_shared, "key long, rep long"), "shared-keys")
-    nodes = classes.select("rep", *names).join(shared.select("rep").distinct(), "rep")
-    linked = tried = label = None
+    """(id, hash, keeper) of every document but the first of its group, by id and then by the hash of its text. Groups are
+    linked by a Jaccard likeness of at least `least` over shingles of `words` words.
+
+    Documents of one normalised text are a node. Nodes that share one of BANDS keys of minima are a bucket. First each
+    node is checked against the smallest of the buckets in which it meets that one most often, so that most groups join at
+    once. The buckets that still hold several components are cut into cells of PAIR_CELL nodes a side; a cell compares
+    SimHash bit planes, `prints` words a node, with carry-save counters, and then sketches. Pairs over the radius of FAR
+    bits a word, or estimated at more than MARGIN under `least`, are left out; the others are checked on whole
+    shingle sets: ROUNDS times, first the likest of each node, at last all pairs still in different components.
+
+    Rows of equal id and text are one document; of an id with several texts each is a document. Null ids come last. Texts
+    without any word are one group. Nodes are named by 64 bits of their text. An empty table has no rows."""
+    last = F.lit(2**63 - 1)
+    slim = docs.select(F.coalesce(q(id_col).cast("long"), last).alias("id"), F.xxhash64(F.coalesce(q(text_col), F.lit(""))).alias("hash"), F.coalesce(q(text_col), F.lit("")).alias("text"))
+    rows = written(slim.mapInArrow(_classes(words, prints), "id long, hash long, node long, keys array<long>, marks binary"), "shingle-classes")
+    classes = rows.groupBy("node").agg(F.min(F.struct("id", "hash")).alias("least"), F.any_value("keys").alias("keys"), F.any_value("marks").alias("marks"))
+    classes = written(classes, "classes")
+    keyed = classes.select(F.explode("keys").alias("key"), "node")
+    buckets = written(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("first")).filter("n > 1"), "buckets")
+    shared = written(keyed.join(buckets, "key"), "shared-keys")
+    nodes = written(classes.join(shared.select("node").distinct(), "node", "left_semi").select("node", "least", "marks"), "nodes")
+    texts = slim.join(nodes.select("node", "least.id", "least.hash"), ["id", "hash"]).select("node", "text")
+    sets = texts.mapInArrow(_shingle_sets(words), "node long, shingles binary").groupBy("node").agg(F.any_value("shingles").alias("shingles"))
+    sets = written(sets, "shingle-sets")
+
+    star = shared.filter("node <> first").groupBy(F.least("node", "first").alias("a"), F.greatest("node", "first").alias("b")).agg(F.count("*").alias("times"))
+    tried = written(_likest(star, 2, "times"), "candidate-pairs")
+    linked = _verified(tried, sets, least)
     for most in ROUNDS:
-        if linked is None:
-            now = nodes.withColumns({"label": F.col("rep"), "links": F.lit(0).cast("long")})
-        else:
-            ends = linked.select("a").union(linked.select("b")).groupBy("a").agg(F.count("*").alias("links"))
-            now = nodes.join(label, nodes.rep == label.node, "left").join(ends, nodes.rep == ends.a, "left")
-            now = now.select("rep", *names, F.coalesce("label", "rep").alias("label"), F.coalesce("links", F.lit(0).cast("long")).alias("links"))
-        now = written(now, "nodes")
-        buckets = shared.join(now, "rep").select("key", "rep", "label", "links", *names).repartition(parts, "key").sortWithinPartitions("key")
-        pairs = buckets.mapInArrow(_apart(most), "a long, b long").distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        if most == 0:  # of the least ones that a text meets in its buckets the smallest and the largest
-            pairs = pairs.groupBy("b").agg(F.min("a").alias("x"), F.max("a").alias("y")).select(F.explode(F.array_distinct(F.array("x", "y"))).alias("a"), "b")
-        pairs = written(pairs, "candidate-pairs")
-        if not pairs.limit(1).count():
-            continue
-        more = _verified(pairs, slim, words, least)
-        linked, tried = (more, pairs) if linked is None else (linked.union(more), tried.union(pairs))
         label = written(components(linked), "near-labels")
-    if label is None:
-        return rows.join(classes.select("fp0", "same", F.col("rep").alias("keeper")), ["fp0", "same"]).filter("id <> keeper").select("id", "keeper").distinct()
-    of = written(classes.join(label, classes.rep == label.node, "left").select("fp0", "same", F.coalesce("label", "rep").alias("keeper")), "keepers")
-    return rows.join(of, ["fp0", "same"]).filter("id <> keeper").select("id", "keeper").distinct()
+        now = nodes.join(label, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "marks")
+        at = shared.select("key", "node").join(now.select("node", "label"), "node")
+        open_ = at.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y")
+        open_ = written(open_.select("key", F.ceil(F.col("n") / PAIR_CELL).cast("int").alias("chunks")), "open-buckets")
+        at = at.join(open_, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+        at = at.select("key", "node", "own", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
+        at = at.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node")
+        at = written(at, "cell-rows")
+        parts = max(2 * docs.sparkSession.sparkContext.defaultParallelism, at.count() // 100_000)
+        cells = at.join(now, "node").select("key", "i", "j", "side", "node", "label", "marks").repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
+        pairs = cells.mapInArrow(_cells(prints, least, most), "a long, b long, like double")
+        pairs = _likest(pairs, most, "like") if most else pairs.select("a", "b").distinct()
+        pairs = written(pairs.join(tried, ["a", "b"], "left_anti"), "candidate-pairs")
+        tried, linked = tried.union(pairs), linked.union(_verified(pairs, sets, least))
+    label = components(linked)
+    of = classes.join(label, "node", "left").select("node", "least", F.coalesce("label", "node").alias("label"))
+    of = written(of, "groups")
+    keepers = of.join(written(of.groupBy("label").agg(F.min("least").alias("keep")), "keepers"), "label").select("node", F.col("keep.id").alias("keeper"), F.col("keep.hash").alias("kept"))
+    gone = rows.select("id", "hash", "node").distinct().join(keepers, "node").filter((F.col("id") != F.col("keeper")) | (F.col("hash") != F.col("kept")))
+    return gone.select(F.nullif("id", last).alias("id"), "hash", F.nullif("keeper", last).alias("keeper"))
+
+
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
+    """docs with one row of each group of near_duplicates; of rows equal in id and text one stays."""
+    gone = written(near_duplicates(docs, id_col, text_col, words, least).select("id", "hash"), "near-copies")
+    id_, hash_ = q(id_col).cast("long"), F.xxhash64(F.coalesce(q(text_col), F.lit("")))
+    a, b = fresh("near_id", docs), fresh("near_hash", docs)
+    gone = gone.toDF(a, b)
+    kept = docs.join(gone, id_.eqNullSafe(q(a)) & (hash_ == q(b)), "left_anti")
+    again = written(docs.groupBy(id_.alias(a), hash_.alias(b)).count().filter("count > 1").select(a, b), "repeated-rows")
+    once = kept.join(again, id_.eqNullSafe(q(a)) & (hash_ == q(b)), "left_anti")
+    more = kept.join(again, id_.eqNullSafe(q(a)) & (hash_ == q(b))).groupBy(a, b).agg(F.any_value(F.struct(*(q(c).alias(f"c{k}") for k, c in enumerate(docs.columns)))).alias("row"))
+    return once.union(more.select(*(F.col(f"row.c{k}").alias(c) for k, c in enumerate(docs.columns))))
