@@ -40,9 +40,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest id of each group of near copies."""
-    gone = written(simhash.near_duplicates(docs).select("id"), "near-copies")
-    return docs.join(gone, docs.doc_id == gone.id, "left_anti")
+    """Keeps the document of the smallest id of each group of near copies; rows are judged by id and text."""
+    return simhash.without_near_duplicates(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
