@@ -6,8 +6,9 @@ marks. Rules are ordered identifier sequences; the first rule that matches at a
 license, so a whole text wins over its first sentence. Whole texts are read; a document without
 any of the CUES, one of which stands in every known sentence, is not cut up.
 
-Cases: a null or empty text and one without a known sentence give no row. Each row is a document,
-also if it repeats an id or has none. A sentence that occurs twice counts twice.
+Cases: a null or empty text and one without a known sentence give no row; nor does an empty table. Each row is a
+document, also if it repeats an id or has none. A sentence that occurs twice counts twice. Texts of any length are read
+whole. Other columns stay; license_no, license, status and sentences replace columns so called, whatever their case.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import q, without
+from gleaner.llm.common import fresh, q, without
 
 # Sentences of public license texts and notices, normalised (lower case, letters,
 # digits and single spaces), by identifier.
@@ -53,10 +54,51 @@ SENTENCES = {
     "cc0.name": ["licensed under cc0 1 0", "spdx license identifier cc0 1 0"],
     "unlicense.free": ["this is free and unencumbered software released into the public domain"],
     "reserved": ["all rights reserved"],
+    "apache.title": ["apache license version 2 0 january 2004 http www apache org licenses", "apache license version 2 0 january 2004 https www apache org licenses"],
+    "apache.license": ["license shall mean the terms and conditions for use reproduction and distribution as defined by sections 1 through 9 of this document"],
+    "artistic.intent": ["the intent of this document is to state the conditions under which a package may be copied such that the copyright holder maintains some semblance of artistic control over the development of the package while giving the users of the package the right to use and distribute the package in a more or less customary fashion plus the right to make reasonable modifications"],
+    "artistic.name": ["the artistic license", "spdx license identifier artistic 1 0"],
+    "bsd.university": ["neither the name of the university nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"],
+    "cc.legal": ["creative commons legal code"],
+    "cc0.title": ["cc0 1 0 universal"],
+    "gfdl13.title": ["gnu free documentation license version 1 3 3 november 2008"],
+    "gfdl12.title": ["gnu free documentation license version 1 2 november 2002"],
+    "gfdl.purpose": ["the purpose of this license is to make a manual textbook or other functional and useful document free in the sense of freedom to assure everyone the effective freedom to copy and redistribute it with or without modifying it either commercially or noncommercially"],
+    "gpl1.title": ["gnu general public license version 1 february 1989"],
+    "gpl1.companies": ["the license agreements of most software companies try to keep users at the mercy of those companies"],
+    "gpl2.title": ["gnu general public license version 2 june 1991"],
+    "gpl3.title": ["gnu general public license version 3 29 june 2007"],
+    "gpl3.copyleft": ["the gnu general public license is a free copyleft license for software and other kinds of works"],
+    "gpl.freedom": ["the licenses for most software are designed to take away your freedom to share and change it"],
+    "lgpl2.title": ["gnu library general public license version 2 june 1991"],
+    "lgpl21.title": ["gnu lesser general public license version 2 1 february 1999"],
+    "lgpl3.title": ["gnu lesser general public license version 3 29 june 2007"],
+    "lgpl3.adds": ["this version of the gnu lesser general public license incorporates the terms and conditions of version 3 of the gnu general public license supplemented by the additional permissions listed below"],
+    "mpl11.title": ["mozilla public license version 1 1"],
+    "mpl11.commercial": ["commercial use means distribution or otherwise making the covered code available to a third party"],
+    "mpl2.title": ["mozilla public license version 2 0"],
+    "mpl2.contributor": ["contributor means each individual or legal entity that creates contributes to the creation of or owns covered software"],
 }
 
 # Ordered rules, the longest first: license, status and the identifiers in order.
 RULES = [
+    ("Apache-2.0", "text", ("apache.title", "apache.license")),
+    ("Artistic-1.0", "text", ("artistic.name", "artistic.intent")),
+    ("CC0-1.0", "text", ("cc.legal", "cc0.title")),
+    ("GFDL-1.3", "text", ("gfdl13.title", "gfdl.purpose")),
+    ("GFDL-1.2", "text", ("gfdl12.title", "gfdl.purpose")),
+    ("GPL-1.0", "text", ("gpl1.title", "gpl1.companies")),
+    ("GPL-2.0", "text", ("gpl2.title", "gpl.freedom")),
+    ("GPL-3.0", "text", ("gpl3.title", "gpl3.copyleft")),
+    ("LGPL-2.0", "text", ("lgpl2.title", "gpl.freedom")),
+    ("LGPL-2.1", "text", ("lgpl21.title", "gpl.freedom")),
+    ("LGPL-3.0", "text", ("lgpl3.title", "lgpl3.adds")),
+    ("MPL-1.1", "text", ("mpl11.title", "mpl11.commercial")),
+    ("MPL-2.0", "text", ("mpl2.title", "mpl2.contributor")),
+    ("BSD-3-Clause", "text", ("reserved", "bsd.grant", "bsd.source", "bsd.binary", "bsd.university")),
+    ("BSD-3-Clause", "text", ("reserved", "bsd.grant", "bsd.source", "bsd.binary", "bsd.endorse")),
+    ("BSD-2-Clause", "text", ("reserved", "bsd.grant", "bsd.source", "bsd.binary")),
+    ("BSD-3-Clause", "text", ("bsd.grant", "bsd.source", "bsd.binary", "bsd.university")),
     ("MIT", "text", ("mit.grant", "mit.notice", "mit.asis")),
     ("MIT", "text", ("mit.grant", "mit.notice")),
     ("BSD-3-Clause", "text", ("bsd.grant", "bsd.source", "bsd.binary", "bsd.endorse")),
@@ -88,15 +130,23 @@ RULES = [
     ("CC-BY-SA-4.0", "name", ("ccbysa.name",)),
     ("CC-BY-NC-4.0", "name", ("ccbync.name",)),
     ("CC0-1.0", "name", ("cc0.name",)),
+    ("Artistic-1.0", "name", ("artistic.name",)),
+    ("GPL-1.0", "name", ("gpl1.title",)),
+    ("GPL-2.0", "name", ("gpl2.title",)),
+    ("GPL-3.0", "name", ("gpl3.title",)),
+    ("LGPL-2.1", "name", ("lgpl21.title",)),
+    ("LGPL-3.0", "name", ("lgpl3.title",)),
+    ("MPL-2.0", "name", ("mpl2.title",)),
     ("proprietary", "name", ("reserved",)),
 ]
 # One of these stands in every known sentence.
-CUES = ("licen", "permission", "copyright", "warrant", "redistribut", "unencumbered", "rights reserved", "endorse or promote")
+CUES = ("creative commons", "cc0 1 0 universal", "covered code", "covered software", "licen", "permission", "copyright", "warrant", "redistribut", "unencumbered", "rights reserved", "endorse or promote")
 
 SENTENCE_END = r"[.!?]+[ \t\r\n]+|\n[ \t\r]*\n[ \t\r\n]*"
 # Layouts of published headers that would cut or join known sentences, and what they are read as: a line of comment
-# marks only is blank; "v." before a number; the Apache URL in a paragraph of its own. scan_sql knows none of these.
+# marks only is blank; the mark of an item of a list starts a paragraph; "v." before a number; the Apache URL in a paragraph of its own. scan_sql knows none of these.
 LAYOUTS = [
+    (r"(^|\n)[ \t]*(?:\(?[0-9]{1,2}[.)]|\([a-z]\)|[*\x{2022}])[ \t]+", "$1\n"),
     (r"\n[ \t\r]*(?:#+|//+|\*+|;+|--+)[ \t\r]*(?=\n)", "\n"),
     (r"(?i)\b(v)\.[^A-Za-z0-9\n]*\n?[^A-Za-z0-9\n]*(?=[0-9])", "$1 "),
     (r"(?i)(a\s+copy\s+of\s+the\s+license\s+at)[^A-Za-z0-9]+https?(://www\.apache\.org/licenses/license-2\.0)(?![A-Za-z0-9]|\.[A-Za-z0-9])[^A-Za-z0-9]*", "$1 http$2. "),
@@ -126,16 +176,17 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """docs without text_col, a row for each license found, in order: license_no (from 0), license,
     status (text, notice, partial or name) and sentences (how many of the rule's were there)."""
     text = q(text_col)
+    one, line, found_, rule_ = (fresh(x, docs) for x in ("one", "marks", "found", "rule"))
     kept = without(docs, text_col, "license_no", "license", "status", "sentences").columns
-    hit = docs.filter(text.rlike(CUE_PATTERN)).select(*(q(c) for c in kept), F.explode(F.split(F.lit("0"), ",")).alias("__one"), marks(text).alias("__marks")).drop("__one")
-    found = F.regexp_extract_all(F.col("__marks"), F.lit(f"({RULE_PATTERN})"), F.lit(1))
-    rows = hit.select(*(q(c) for c in kept), F.posexplode(found).alias("license_no", "__found"))
+    hit = docs.filter(text.rlike(CUE_PATTERN)).select(*(q(c) for c in kept), F.explode(F.split(F.lit("0"), ",")).alias(one), marks(text).alias(line)).drop(one)
+    found = F.regexp_extract_all(q(line), F.lit(f"({RULE_PATTERN})"), F.lit(1))
+    rows = hit.select(*(q(c) for c in kept), F.posexplode(found).alias("license_no", found_))
     by = {}
     for license_, status, ids in RULES:
         by.setdefault("".join(f" {MARK[s]}" for s in ids), (license_, status, len(ids)))
     rule = F.create_map(*(x for k, v in by.items() for x in (F.lit(k), F.struct(F.lit(v[0]).alias("license"), F.lit(v[1]).alias("status"), F.lit(v[2]).alias("sentences")))))
-    rows = rows.withColumn("__rule", rule[F.replace(F.col("__found"), F.lit(GAP), F.lit(""))])
-    return rows.select(*(q(c) for c in kept), "license_no", "__rule.license", "__rule.status", "__rule.sentences")
+    rows = rows.withColumn(rule_, rule[F.replace(q(found_), F.lit(GAP), F.lit(""))])
+    return rows.select(*(q(c) for c in kept), "license_no", f"{rule_}.license", f"{rule_}.status", f"{rule_}.sentences")
 
 
 def scan_sql() -> str:

@@ -106,3 +106,26 @@ def test_published_headers(spark, mark):
     rows = [(1, commented(MPL)), (2, commented(APACHE_HEADER)), (3, commented(APACHE_HEADER.replace("http:", "https:"))), (4, commented(MPL.replace("v. 2.0", "v. 1.1")))]
     got = sorted((r.doc_id, r.license, r.status, r.sentences) for r in licenses.scan(docs(spark, rows)).collect())
     assert got == [(1, "MPL-2.0", "notice", 1), (2, "Apache-2.0", "notice", 3), (3, "Apache-2.0", "notice", 3)]
+
+
+TEXTS = {
+    "Apache-2.0": "Apache-2.0", "Artistic": "Artistic-1.0", "BSD": "BSD-3-Clause", "CC0-1.0": "CC0-1.0", "GFDL-1.2": "GFDL-1.2", "GFDL-1.3": "GFDL-1.3", "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0",
+    "GPL-3": "GPL-3.0", "LGPL-2": "LGPL-2.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0",
+}
+
+
+def test_published_texts_are_recognised_as_texts(spark):
+    import os
+
+    top = "/usr/share/common-licenses"
+    names = [n for n in TEXTS if os.path.exists(f"{top}/{n}")]
+    rows = [(k, open(f"{top}/{n}", encoding="utf-8", errors="replace").read()) for k, n in enumerate(names)]
+    got = licenses.scan(docs(spark, rows)).filter("license_no = 0").collect()
+    assert {names[r.doc_id]: (r.license, r.status) for r in got} == {n: (TEXTS[n], "text") for n in names}
+
+
+def test_each_rule_holds_a_cue():
+    import re
+
+    for _, _, ids in licenses.RULES:
+        assert any(re.search(licenses.CUE_PATTERN, x) for name in ids for x in licenses.SENTENCES[name])
