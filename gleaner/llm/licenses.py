@@ -146,7 +146,7 @@ SENTENCE_END = r"[.!?]+[ \t\r\n]+|\n[ \t\r]*\n[ \t\r\n]*"
 # Layouts of published headers that would cut or join known sentences, and what they are read as: a line of comment
 # marks only is blank; the mark of an item of a list starts a paragraph; "v." before a number; the Apache URL in a paragraph of its own. scan_sql knows none of these.
 LAYOUTS = [
-    (r"(^|\n)[ \t]*(?:\(?[0-9]{1,2}[.)]|\([a-z]\)|[*\x{2022}])[ \t]+", "$1\n"),
+    (r"(^|\n)[ \t]*(?:\(?[0-9]{1,2}[.)]|\([a-z]\))[ \t]+", "$1\n"),
     (r"\n[ \t\r]*(?:#+|//+|\*+|;+|--+)[ \t\r]*(?=\n)", "\n"),
     (r"(?i)\b(v)\.[^A-Za-z0-9\n]*\n?[^A-Za-z0-9\n]*(?=[0-9])", "$1 "),
     (r"(?i)(a\s+copy\s+of\s+the\s+license\s+at)[^A-Za-z0-9]+https?(://www\.apache\.org/licenses/license-2\.0)(?![A-Za-z0-9]|\.[A-Za-z0-9])[^A-Za-z0-9]*", "$1 http$2. "),
