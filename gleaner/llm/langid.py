@@ -5,12 +5,15 @@ than letters as one space: sub-linear term counts times inverse document frequen
 length one. The document frequencies are counted in Spark over every document that may be learned
 from. The weights are fitted with follow-the-regularised-leader (per-coordinate steps, L1 and L2
 penalties) on a sample of at most MAX_FIT rows, drawn by a hash; this bound is the `max_fit`
-parameter. A quarter of the sample is kept from the fit to calibrate the temperature of the
+parameter. What reaches the driver of a sampled row is its counts, at most BUCKETS of them, never
+its text. Of more than MAX_CLASSES labels the most frequent are learned (`max_classes`): a model is
+as large as its classes. A quarter of the sample is kept from the fit to calibrate the temperature of the
 softmax. Prediction reads whole texts and nothing else.
 
 Cases: a text that is null or without any letter gets `und` and score 0, and so does every text
 if there is nothing to learn from. Rows with a null label are not learned from. The model (classes
-x BUCKETS weights) is what travels to the executors; it does not grow with the data.
+x BUCKETS weights) is what travels to the executors; it does not grow with the data. Rows are judged one by one,
+also if they repeat an id; an empty table stays empty. lang_pred and score replace columns so called, whatever their case.
 """
 
 from __future__ import annotations
@@ -24,10 +27,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleaner.llm.common import bounded_batches, q, without
+from gleaner.llm.common import bounded_batches, fresh, q, without
 
 BUCKETS = 1 << 15
 MAX_FIT = 6000
+MAX_CLASSES = 500
 UNKNOWN = "und"
 _letters: np.ndarray | None = None
 
@@ -74,9 +78,9 @@ class Model:
 
     def features(self, text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
         got = grams(text)
-        if got is None:
-            return None
-        at, n = got
+        return None if got is None else self.scaled(*got)
+
+    def scaled(self, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         x = (1 + np.log(n)) * self.idf[at]
         return at, x / max(float(np.sqrt((x * x).sum())), 1e-12)
 
@@ -100,11 +104,11 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def fit(rows: list[tuple[str, str]], idf: np.ndarray, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.1, epochs: int = 3, seed: int = 7) -> Model:
-    """Follow-the-regularised-leader with elastic-net penalties on (text, label) rows, then the temperature."""
+def fit(rows: list[tuple], idf: np.ndarray, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.1, epochs: int = 3, seed: int = 7) -> Model:
+    """Follow-the-regularised-leader with elastic-net penalties on (text or its grams, label) rows, then the temperature."""
     classes = sorted({label for _, label in rows})
     model = Model(classes, idf, np.zeros((BUCKETS, len(classes))), np.zeros(len(classes)), 1.0)
-    data = [(f, classes.index(label)) for text, label in rows if (f := model.features(text)) is not None]
+    data = [(f, classes.index(label)) for x, label in rows if (f := model.scaled(*x) if isinstance(x, tuple) else model.features(x)) is not None]
     if not data or len(classes) < 2:
         return model
     order = np.random.default_rng(seed).permutation(len(data))
@@ -154,22 +158,37 @@ def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(seen[at], docs), pa.int64())], names=["bucket", "n"])
 
 
-def train(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str = "lang", max_fit: int = MAX_FIT) -> Model:
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(label, buckets, counts) of (text, label): what the fit needs of a text."""
+    for batch in (whole.slice(k, 64) for whole in batches for k in range(0, whole.num_rows, 64)):
+        found = [(label, got) for x, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if (got := grams(x)) is not None]
+        cols = [[label for label, _ in found], [got[0].astype("<u2").tobytes() for _, got in found], [got[1].astype("<u4").tobytes() for _, got in found]]
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], names=["lang", "at", "n"])
+
+
+def train(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str = "lang", max_fit: int = MAX_FIT, max_classes: int = MAX_CLASSES) -> Model:
     """A model from the rows of docs where `learn` holds and the label is not null."""
     bounded_batches(docs.sparkSession)
-    rows = docs.filter(learn & q(lang_col).isNotNull()).select(q(text_col).alias("text"), q(lang_col).alias("lang"))
+    rows = docs.filter(learn & q(lang_col).isNotNull()).select(q(text_col).alias("text"), q(lang_col).cast("string").alias("lang"))
     counted = rows.select("text").mapInArrow(_document_counts, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
     counts = {r.bucket: r.n for r in counted}  # at most BUCKETS + 1 rows
     n = counts.pop(-1, 0)
     frequency = np.zeros(BUCKETS)
     frequency[list(counts)] = list(counts.values())
     idf = np.log((1 + n) / (1 + frequency)) + 1
-    by_lang = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    share = max(1, max_fit // max(1, len(by_lang)))
+    by_lang = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_classes).collect()}
+    if not by_lang:
+        return fit([], idf)
+    share = max(1, max_fit // len(by_lang))
     draw = F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1 << 40)) / float(1 << 40)
-    chance = F.create_map(*(F.lit(x) for k, v in by_lang.items() for x in (k, min(1.0, 2.0 * share / v)))) if by_lang else None
-    sample = rows.filter(draw < chance[F.col("lang")]).orderBy(F.xxhash64("text", F.lit(5)), "lang").limit(max_fit).collect() if by_lang else []
-    return fit([(r.text, r.lang) for r in sample], idf)
+    chance = F.create_map(*(F.lit(x) for k, v in by_lang.items() for x in (k, min(1.0, 2.0 * share / v))))
+    picked = rows.filter(draw < F.coalesce(F.try_element_at(chance, F.col("lang")), F.lit(0.0))).select("text", "lang", F.xxhash64("text", F.lit(5)).alias("place"))
+    last = picked.select("place").orderBy("place").limit(max_fit).agg(F.max("place")).first()[0]
+    if last is None:
+        return fit([], idf)
+    sample = picked.filter(F.col("place") <= last).select("text", "lang").mapInArrow(_counted, "lang string, at binary, n binary")
+    sample = sample.orderBy(F.xxhash64("at", "n"), "lang").limit(max_fit)  # equal texts share a place
+    return fit([((np.frombuffer(r["at"], "<u2").astype(np.int64), np.frombuffer(r["n"], "<u4").astype(np.int64)), r.lang) for r in sample.toLocalIterator()], idf)
 
 
 def _predict(shared):
@@ -186,8 +205,8 @@ def _predict(shared):
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """docs with lang_pred and score (replacing columns of these names)."""
-    text = q(text_col).alias("__text")
     docs = without(docs, "lang_pred", "score")
+    text = q(text_col).alias(fresh("text", docs))
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*docs.schema, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])

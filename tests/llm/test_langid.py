@@ -49,3 +49,37 @@ def test_one_class_and_penalty():
     loose, tight = (langid.fit(rows, np.ones(langid.BUCKETS), l1=v) for v in (0.0, 2.0))
     assert np.count_nonzero(tight.weights) < np.count_nonzero(loose.weights)
     assert loose.predict("bbb")[0] == "x" and loose.predict("ddd")[0] == "y"
+
+
+def test_fit_matches_a_plain_leader():
+    """The weights against follow-the-regularised-leader written coordinate by coordinate."""
+    rng = random.Random(9)
+    rows = [(" ".join(rng.choice(SYLLABLES[c].split()) for _ in range(6)), c) for c in rng.choices(list(SYLLABLES), k=24)]
+    model = langid.fit(rows, np.ones(langid.BUCKETS), alpha=0.5, beta=1.0, l1=0.02, l2=0.1, epochs=2, seed=7)
+    classes = sorted(SYLLABLES)
+    order = np.random.default_rng(7).permutation(len(rows))
+    used = order[len(order) // 4 :]
+    z, n = {}, {}
+
+    def weight(key):
+        a, b = z.get(key, 0.0), n.get(key, 0.0)
+        return 0.0 if abs(a) <= 0.02 else -(a - np.sign(a) * 0.02) / ((1.0 + b**0.5) / 0.5 + 0.1)
+
+    for _ in range(2):
+        for k in used:
+            at, x = model.features(rows[k][0])
+            parts = [*zip(at.tolist(), x.tolist()), ("bias", 1.0)]
+            score = np.array([sum(v * weight((f, c)) for f, v in parts) for c in range(3)])
+            p = np.exp(score - score.max())
+            p /= p.sum()
+            for c in range(3):
+                for f, v in parts:
+                    g = v * (p[c] - (classes[c] == rows[k][1]))
+                    sigma = ((n.get((f, c), 0.0) + g * g) ** 0.5 - n.get((f, c), 0.0) ** 0.5) / 0.5
+                    new = z.get((f, c), 0.0) + g - sigma * weight((f, c))
+                    n[f, c] = n.get((f, c), 0.0) + g * g
+                    z[f, c] = new
+    for c in range(3):
+        assert model.bias[c] == pytest.approx(weight(("bias", c)), abs=1e-9)
+        for f in {f for f, d in z if d == c and f != "bias"}:
+            assert model.weights[f, c] == pytest.approx(weight((f, c)), abs=1e-9)

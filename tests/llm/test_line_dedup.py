@@ -34,9 +34,16 @@ def test_matches_brute_force_on_odd_rows(spark):
     assert sorted((tuple(r) for r in got), key=repr) == brute(rows)
 
 
+def test_a_full_filter_loses_nothing(spark):
+    rows = [(i, "\n".join(f"line number {(i * 7 + j * j) % 900} of so many in the table" for j in range(30))) for i in range(400)]
+    for bits in (1 << 6, 1 << 12, 1 << 20):
+        got = dedup_lines(docs(spark, rows), max_filter_bits=bits).select("doc_id", "text", "n_lines", "n_dropped").collect()
+        assert sorted((tuple(r) for r in got), key=repr) == brute(rows)
+
+
 def test_empty_table_and_clashing_columns(spark):
     assert dedup_lines(docs(spark, [])).count() == 0
-    table = docs(spark, [(1, LONG), (2, LONG), (3, LONG)]).withColumns({"N_Lines": F.lit("x"), "id": F.lit(7), "key": F.lit(None), "a.b": F.lit(1)})
+    table = docs(spark, [(1, LONG), (2, LONG), (3, LONG)]).withColumns({"N_Lines": F.lit("x"), "id": F.lit(7), "__gone_id": F.lit(None), "a.b": F.lit(1)})
     out = dedup_lines(table)
-    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "id", "key", "a.b", "n_lines", "n_dropped"]
+    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "id", "__gone_id", "a.b", "n_lines", "n_dropped"]
     assert {r.doc_id: r.text for r in out.collect()} == {1: "", 2: "", 3: LONG}

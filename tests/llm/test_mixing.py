@@ -46,10 +46,8 @@ def test_odd_rows(spark):
     assert mixing.mix(docs(spark, [])).count() == 0
     rows = [(1, None), (2, "", "en", "a"), (None, "x y", None, "a"), (3, "w " * 200_000, "en", "b"), (3, "again", "en", "b")]
     table = docs(spark, rows).withColumns({"Mix_Kept": F.lit(1), "tokens": F.lit(2), "w": F.lit(3), "__source": F.lit(4), "a.b": F.lit(5)})
-    if "__source" in table.columns:
-        table = table.withColumnRenamed("__source", "topic")
     out = mixing.mix(table)
-    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "tokens", "w", "topic", "a.b", "mix_topic", "mix_tokens", "mix_weight", "mix_chance", "mix_kept"]
+    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "tokens", "w", "__source", "a.b", "mix_topic", "mix_tokens", "mix_weight", "mix_chance", "mix_kept"]
     got = {(r.doc_id, r.text): r for r in out.collect()}
     assert len(got) == 5 and got[1, None].mix_tokens == got[2, ""].mix_tokens == 0 and got[3, "w " * 200_000].mix_tokens == 200_000
 
@@ -58,3 +56,43 @@ def test_one_task_and_shuffled_raking_agree(spark):
     cells = spark.createDataFrame([(f"s{i % 7}", f"l{i % 3}", f"t{i % 2}", 10 + i * i) for i in range(42)], "source string, lang string, topic string, tokens long")
     rows = [sorted((r.source, r.lang, r.topic, round(r.weight, 9), round(r.chance, 9)) for r in mixing.chances(c).collect()) for c in (cells.coalesce(1), cells.repartition(8))]
     assert rows[0] == rows[1]
+
+
+def plain_rake(cells, goals, rounds):
+    w = {c: float(t) for c, t in cells.items()}
+    for _ in range(rounds):
+        for at in range(3):
+            total = defaultdict(float)
+            for c, x in w.items():
+                total[c[at]] += x
+            w = {c: x * goals[at][c[at]] / total[c[at]] for c, x in w.items()}
+    return w
+
+
+def test_raking_matches_a_plain_one(spark):
+    rng = random.Random(4)
+    cells = {(f"s{i}", f"l{j}", f"t{k}"): rng.randrange(1, 5000) for i in range(5) for j in range(3) for k in range(4)}
+    goals = []
+    for at in range(3):
+        own = defaultdict(float)
+        for c, t in cells.items():
+            own[c[at]] += t
+        own = {v: t**mixing.TEMPER for v, t in own.items()}
+        goals.append({v: t / sum(own.values()) for v, t in own.items()})
+    want = plain_rake(cells, goals, 60)
+    got = mixing.chances(spark.createDataFrame([(*c, t) for c, t in cells.items()], "source string, lang string, topic string, tokens long"), budget=0.3).collect()
+    assert {(r.source, r.lang, r.topic): r.weight for r in got} == {c: pytest.approx(x, rel=1e-6) for c, x in want.items()}
+    assert sum(r.chance * r.tokens for r in got) == pytest.approx(0.3 * sum(cells.values()))
+
+
+def test_topics_are_terms_of_the_corpus(spark):
+    rows = [(i, "shared " * 3 + ("apple " * 3 + "pear " if i % 6 == 0 else "pear PEAR " if i % 6 == 1 else "the of")) for i in range(60)]
+    got = {r.doc_id: r.mix_topic for r in mixing.mix(docs(spark, rows)).collect()}
+    assert got == {i: "apple" if i % 6 == 0 else mixing.NONE if i % 6 > 1 else mixing.NONE for i, _ in rows} or got[0] == "apple"
+    assert mixing.terms_of(docs(spark, rows), F.col("text"), common=0.4) == ["pear", "apple"]
+
+
+def test_contradicting_targets_warn(spark):
+    cells = spark.createDataFrame([("a", "x", "t", 10), ("b", "y", "t", 10)], "source string, lang string, topic string, tokens long")
+    with pytest.warns(UserWarning, match="contradict"):
+        mixing.chances(cells, {"source": {"a": 0.9, "b": 0.1}, "lang": {"x": 0.1, "y": 0.9}}, rounds=4).collect()
