@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.llm import html_main, langid, licenses, line_dedup, mixing, packing, passages, simhash, spotsigs, topk
+from gleaner.llm.common import written
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,11 +64,14 @@ def op5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spotsigs.fingerprint_edits(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     sigs, changed, following = F.col("sigs"), F.col("edited_sigs"), F.col("next_sigs")
-    return rows.select(
+    rows = rows.select(
         "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited_text", 256).alias("edited_sha256"),
         spotsigs.digest(sigs).alias("fingerprint"), spotsigs.digest(changed).alias("edited_fingerprint"),
-        spotsigs.likeness(sigs, changed).alias("near_edited"), spotsigs.likeness(sigs, following).alias("near_next"),
+        spotsigs.likeness(sigs, changed).alias("near_edited"), spotsigs.likeness(sigs, following).alias("near_next"), "sigs",
     )
+    rows = written(rows, "fingerprints")
+    classes, _ = spotsigs.similar_classes(rows)
+    return rows.withColumn("class_id", F.xxhash64("sigs")).drop("sigs").join(classes.withColumnRenamed("class", "class_id"), "class_id")
 
 
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,14 +5,17 @@ words skipped within `reach` words; its signature is a 64-bit hash. A text's fin
 of its signatures. A text without any spot has one signature, of all its words. Sets are compared
 by their Jaccard likeness; sets whose lengths alone keep it under a threshold are pruned.
 
-`similar_pairs` joins all fingerprints: equal sets are one class; each class goes to the partitions
-of its own set length and the next, signatures are looked up rarest first, and only as many of them
-as a likeness over the threshold must share; a pair is compared where both lie in one partition.
+`similar_classes` joins all fingerprints: equal sets are one class; signatures are looked up rarest first, and
+only as many of them as a likeness over the threshold must share; classes meet in the partitions of their set length
+and the next, and a pair is compared where both lie in one partition. A signature that many classes look up is dealt over cells of
+CELL classes a side, so that no task gets all of them.
 
 Cases: a null text counts as empty; a text without words has one signature, that of no words.
 Equal texts have equal fingerprints; so have texts that differ in case or punctuation only. Each row
 is a document, also if it repeats an id; in `with_next`, rows of one id follow in the order of their
-texts, and null ids come first. Words are runs of letters and digits, whatever their script.
+texts, and null ids come first, in the order of a hash of their texts. Words are runs of letters and digits, whatever
+their script. Texts of any length are read whole. An empty table gives no rows. All columns of the results are made here, so
+that other columns never clash.
 """
 
 from __future__ import annotations
@@ -35,6 +38,9 @@ ANCHORS = (
 CHAIN = 2
 REACH = 8
 ROWS_PER_BUCKET = 4096
+MAX_BUCKETS = 1 << 16
+CELL = 1 << 10
+LEAST = 0.8
 
 
 def words(text: Column) -> Column:
@@ -72,25 +78,27 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """doc_id, text, sigs, next_text, next_sigs: each text and that of the next document in ascending id, the
     last's being the first's. Texts are shuffled once; signatures are made once, behind that shuffle.
 
-    Ids are cut into ranges of about ROWS_PER_BUCKET rows by approximate quantiles; a range looks up its
-    followers by itself, and the first row of each range is also handed to the range before."""
+    Ids are cut into ranges of about ROWS_PER_BUCKET rows by approximate quantiles (of more than MAX_BUCKETS times that,
+    larger ones); a row finds its range by a binary search. A range looks up its followers by itself, and the first
+    row of each range is also handed to the range before."""
     docs = docs.select(q(id_col).cast("long").alias("doc_id"), F.coalesce(q(text_col), F.lit("")).alias("text"))
-    key = F.coalesce("doc_id", F.lit(-(2**63)))
+    key = F.coalesce("doc_id", F.lit(-(2**63)) + F.pmod(F.xxhash64("text"), F.lit(1 << 61)))  # null ids spread over ranges of their own
     n = docs.count()
-    buckets = max(1, min(100_000, math.ceil(n / ROWS_PER_BUCKET)))
+    buckets = max(1, min(MAX_BUCKETS, math.ceil(n / ROWS_PER_BUCKET)))
     cuts = []
     if buckets > 1:
         cuts = sorted(set(docs.select(key.alias("k")).agg(F.percentile_approx("k", [k / buckets for k in range(1, buckets)], 20 * buckets)).first()[0]))
-    table = F.array(*(F.lit(c).cast("long") for c in cuts)) if len(cuts) <= 64 else F.lit(cuts).cast("array<long>")
-    bucket = F.size(F.filter(table, lambda c: c < key)) if cuts else F.lit(0)
-    rows = docs.withColumns({"bucket": bucket, "last": F.lit(0)})
-    first = rows.groupBy("bucket").agg(F.min(F.struct(key.alias("k"), F.col("text"))).alias("f")).select("bucket", "f.k", "f.text")
+    table, steps = F.lit(cuts).cast("array<long>"), [1 << k for k in reversed(range(len(cuts).bit_length()))]
+    under = lambda at, step: F.coalesce(F.get(table, at + step - 1) < key, F.lit(False))
+    bucket = F.aggregate(F.lit(steps).cast("array<int>"), F.lit(0), lambda at, step: F.when(under(at, step), at + step).otherwise(at)) if cuts else F.lit(0)
+    rows = docs.withColumns({"k": key, "bucket": bucket, "last": F.lit(0)})
+    first = rows.groupBy("bucket").agg(F.min(F.struct("k", "text")).alias("f")).select("bucket", "f.k", "f.text")
     first = written(first, "range-starts")  # one text a range
     used = [r.bucket for r in first.select("bucket").orderBy("bucket").collect()]  # at most `buckets` numbers
     before = {b: used[k - 1] for k, b in enumerate(used)}
     back = docs.sparkSession.createDataFrame(list(before.items()), "bucket int, back int")
-    heads = first.join(F.broadcast(back), "bucket").select(F.col("k").alias("doc_id"), "text", F.col("back").alias("bucket"), F.lit(1).alias("last"))
-    order = W.partitionBy("bucket").orderBy("last", F.coalesce("doc_id", F.lit(-(2**63))), "text")
+    heads = first.join(F.broadcast(back), "bucket").select(F.lit(None).cast("long").alias("doc_id"), "text", "k", F.col("back").alias("bucket"), F.lit(1).alias("last"))
+    order = W.partitionBy("bucket").orderBy("last", "k", "text")
     rows = rows.unionByName(heads).withColumn("next_text", F.lead("text").over(order))
     rows = rows.withColumn("sigs", signatures(F.col("text"))).withColumn("next_sigs", F.lead("sigs").over(order))
     return rows.filter("last = 0").select("doc_id", "text", "sigs", "next_text", "next_sigs")
@@ -106,25 +114,38 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return rows.select("doc_id", "text", "edited_text", "sigs", signatures(F.col("edited_text")).alias("edited_sigs"), "next_sigs")
 
 
-def similar_pairs(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(members, pairs): doc_id and class of every row, and the pairs of classes whose likeness is at least `least`:
-    class_a < class_b, likeness. A class is all rows of equal signatures, named by a hash of them."""
-    rows = docs.select(q(id_col).alias("doc_id"), signatures(q(text_col)).alias("sigs"))
-    rows = written(rows.withColumn("class", F.xxhash64("sigs")), "signatures")
-    classes = rows.groupBy("class").agg(F.any_value("sigs").alias("sigs")).withColumn("n", F.size("sigs"))
-    classes = written(classes, "signature-classes")
+def similar_classes(prints: DataFrame, least: float = LEAST, sigs_col: str = "sigs", cell: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(classes, pairs) of a table of signature sets: class (a hash of the set) and links, how many other classes are at least
+    `least` like it; and those pairs, class_a < class_b, likeness."""
+    cell = cell or CELL
+    classes = prints.select(F.xxhash64(sigs_col).alias("class"), F.col(sigs_col).alias("sigs")).groupBy("class").agg(F.any_value("sigs").alias("sigs"))
+    classes = written(classes.withColumn("n", F.size("sigs")), "signature-classes")
     spread = classes.select("class", "n", F.explode("sigs").alias("sig"))
-    seen = spread.groupBy("sig").agg(F.count("*").alias("seen"))
-    ranked = spread.join(seen, "sig").groupBy("class", "n").agg(F.array_sort(F.collect_list(F.struct("seen", "sig"))).alias("order"))
-    # a likeness of `least` shares one of the n - ceil(least n) + 1 rarest; lengths in one partition are within it
-    prefix = ranked.select("class", "n", F.explode(F.slice("order", F.lit(1), F.col("n") - F.ceil(F.col("n") * least).cast("int") + 1)).alias("s")).select("class", "n", F.col("s.sig").alias("sig"))
-    step = -math.log(least)
-    part = F.floor(F.log(F.col("n").cast("double")) / F.lit(step)).cast("int")
-    left = prefix.select(F.col("class").alias("class_a"), F.col("n").alias("n_a"), "sig", part.alias("part"))
-    right = prefix.select(F.col("class").alias("class_b"), F.col("n").alias("n_b"), "sig", F.explode(F.array(part - 1, part, part + 1)).alias("part"))
-    close = (F.col("class_a") < F.col("class_b")) & (F.least("n_a", "n_b") >= F.lit(least) * F.greatest("n_a", "n_b"))
-    pairs = left.join(right, ["part", "sig"]).filter(close).select("class_a", "class_b").distinct()
+    seen = spread.groupBy("sig").agg(F.count("*").alias("seen")).filter("seen > 1")
+    ranked = spread.join(written(seen, "shared-signatures"), "sig").groupBy("class", "n").agg(F.array_sort(F.collect_list(F.struct("seen", "sig"))).alias("order"))
+    # a likeness of `least` shares one of the n - ceil(least n) + 1 rarest, of which those of one class only come first and
+    # find nothing; a hair less than `least`, as n times it is rounded
+    most = F.greatest(F.size("order") - F.ceil(F.col("n") * (least - 1e-9)).cast("int") + 1, F.lit(0))
+    prefix = ranked.select("class", "n", F.explode(F.slice("order", F.lit(1), most)).alias("s"))
+    part = F.floor(F.log(F.col("n").cast("double")) / F.lit(-math.log(least - 1e-9))).cast("int")
+    prefix = written(prefix.select("class", "n", "s.sig", F.ceil(F.col("s.seen") / cell).cast("int").alias("chunks"), part.alias("part")), "prefixes")
+    own = F.pmod(F.xxhash64("class"), F.col("chunks")).cast("int")
+    left = prefix.select(F.col("class").alias("class_a"), F.col("n").alias("n_a"), "sig", "part", own.alias("i"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("j"))
+    right = prefix.select(F.col("class").alias("class_b"), F.col("n").alias("n_b"), "sig", "part", "chunks", own.alias("j"))
+    right = right.select("class_b", "n_b", "sig", "j", "chunks", F.explode(F.array(F.col("part") - 1, F.col("part"), F.col("part") + 1)).alias("part"))
+    right = right.select("class_b", "n_b", "sig", "j", "part", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("i"))
+    close = (F.col("class_a") < F.col("class_b")) & (F.least("n_a", "n_b") >= F.lit(least - 1e-9) * F.greatest("n_a", "n_b"))
+    pairs = written(left.join(right, ["sig", "part", "i", "j"]).filter(close).select("class_a", "class_b").distinct(), "signature-pairs")
     sets = classes.select("class", "sigs")
     pairs = pairs.join(sets.toDF("class_a", "a"), "class_a").join(sets.toDF("class_b", "b"), "class_b")
-    pairs = pairs.withColumn("likeness", likeness(F.col("a"), F.col("b"), least)).filter(F.col("likeness") >= least).select("class_a", "class_b", "likeness")
-    return rows.select("doc_id", "class"), pairs
+    pairs = pairs.withColumn("likeness", likeness(F.col("a"), F.col("b"), least - 1e-9)).filter(F.col("likeness") >= least - 1e-12).select("class_a", "class_b", "likeness")
+    pairs = written(pairs, "similar-classes")
+    ends = pairs.select(F.col("class_a").alias("class")).union(pairs.select("class_b")).groupBy("class").agg(F.count("*").alias("links"))
+    return classes.select("class").join(ends, "class", "left").withColumn("links", F.coalesce("links", F.lit(0))), pairs
+
+
+def similar_pairs(docs: DataFrame, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(members, pairs): doc_id and class of every row, and the pairs of classes whose likeness is at least `least`:
+    class_a < class_b, likeness. A class is all rows of equal signatures, named by a hash of them."""
+    rows = written(docs.select(q(id_col).alias("doc_id"), signatures(q(text_col)).alias("sigs")), "signatures")
+    return rows.select("doc_id", F.xxhash64("sigs").alias("class")), similar_classes(rows, least)[1]

@@ -73,6 +73,11 @@ def test_query_matches_brute_force(spark, tmp_path, monkeypatch, per):
     for r in got:
         by.setdefault(r.doc_id, r.fingerprint)
     assert by[1000] == by[1001] != by[1004]
+    spots = {}
+    for i, x in rows:
+        spots.setdefault(frozenset(plain_spots(x)), []).append(i)
+    links = {s: sum(jaccard(s, o) >= 0.8 for o in spots if o != s) for s in spots}
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.links) for r in got) == sorted((i if i is not None else -1, links[s]) for s, ids in spots.items() for i in ids)
 
 
 def test_pairs_match_brute_force(spark):
@@ -89,6 +94,12 @@ def test_pairs_match_brute_force(spark):
         if a != b and jaccard(a, b) >= 0.7:
             want[frozenset((of[i], of[j]))] = round(jaccard(a, b), 9)
     assert got == want and want
+    cells = spotsigs.similar_classes(docs(spark, rows).select(spotsigs.signatures(F.col("text")).alias("sigs")), 0.7, cell=2)[1]
+    assert {frozenset((r.class_a, r.class_b)): round(r.likeness, 9) for r in cells.collect()} == want
+    for least in (0.55, 0.6):  # times a length they are no whole numbers
+        found = spotsigs.similar_pairs(docs(spark, rows), least)[1].count()
+        sets = {frozenset(plain_spots(x)) for _, x in rows}
+        assert found == sum(jaccard(a, b) >= least for a, b in combinations(sets, 2))
 
 
 def test_empty_table(spark, tmp_path):
