@@ -42,6 +42,7 @@ FAR = 22  # bits a fingerprint, on average; 9.7 at a likeness of 0.8
 BINS = 512  # of a sketch, four bits each
 MARGIN = 0.08  # of a likeness that a sketch estimates with a deviation of 0.019 at most: over four of them
 PAIR_CELL = 1 << 12
+SMALL_CELL = 48
 ROUNDS = (4, None)  # pairs a text; see near_duplicates
 ROW_COST, PAIR_COST = 6e-6, 2e-9  # seconds; only their ratio matters, for the choice of tables
 
@@ -400,52 +401,89 @@ def close_pairs(marks: list[np.ndarray], labels: list[np.ndarray], prints: int,
         keep = like >= least - MARGIN
         found.append((row[keep], col[keep], like[keep]))
     row, col, like = (np.concatenate(x) for x in zip(*found))
-    if most is not None and len(row):
-        keep = np.zeros(len(row), bool)
-        for of in (row, col):
-            order = np.lexsort((-like, of))
-            of = of[order]
-            place = np.arange(len(of)) - np.searchsorted(of, of)
-            keep[order[place < most]] = True
-        row, col, like = row[keep], col[keep], like[keep]
-    return row, col, like
+    return _first_of_each(row, col, like, most)
+
+
+def small_pairs(cell: np.ndarray, label: np.ndarray, marks: np.ndarray, prints: int, least: float, most: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """close_pairs of many small cells at once: rows that stand d apart are compared for all cells together."""
+    fps, found = np.ascontiguousarray(marks[:, : 8 * prints]).view("<u8"), []
+    for d in range(1, len(cell)):
+        row = np.flatnonzero(cell[d:] == cell[:-d])
+        if not len(row):
+            break
+        row = row[label[row] != label[row + d]]
+        row = row[np.bitwise_count(fps[row] ^ fps[row + d]).sum(axis=1, dtype=np.int64) <= FAR * prints]
+        found.append((row, row + d, estimated(marks[row, 8 * prints :], marks[row + d, 8 * prints :])))
+    row, col, like = (np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+    keep = like >= least - MARGIN
+    return _first_of_each(row[keep], col[keep], like[keep], most)
+
+
+def _first_of_each(row: np.ndarray, col: np.ndarray, like: np.ndarray, most: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs that are among the `most` likest of one of their ends; all without `most`."""
+    if most is None or not len(row):
+        return row, col, like
+    keep = np.zeros(len(row), bool)
+    for of in (row, col):
+        order = np.lexsort((-like, of))
+        of = of[order]
+        keep[order[np.arange(len(of)) - np.searchsorted(of, of) < most]] = True
+    return row[keep], col[keep], like[keep]
 
 
 def _cells(prints: int, least: float, most: int | None):
-    """Rows (key, i, j, side, node, label, marks) come sorted by cell (key, i, j)."""
+    """Rows (key, i, j, side, node, label, marks) come sorted by cell (key, i, j). Cells of under SMALL_CELL rows are
+    compared many at once, larger ones by bit planes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, held = None, []
+        cell, held, small, n_small = None, [], [], 0
+
+        def given(a, b, like):
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(like)], names=["a", "b", "like"])
+
+        def flush_small():
+            nonlocal small, n_small
+            if small:
+                node, label, marks = (np.concatenate([p[c] for p in small]) for c in range(3))
+                of = np.repeat(np.arange(len(small)), [len(p[0]) for p in small])
+                small, n_small = [], 0
+                row, col, like = small_pairs(of, label, marks, prints, least, most)
+                if len(row):
+                    yield given(node[row], node[col], like)
 
         def flush():
+            nonlocal n_small
             sides = []
             for s in (0, 1):
                 parts = [h for h in held if h[0] == s]
                 if parts:
                     sides.append(tuple(np.concatenate([p[c] for p in parts]) for c in (1, 2, 3)))
             if not sides or (len(sides) == 1 and (cell[1] != cell[2] or len(sides[0][0]) < 2)):
-                return None
+                return
+            if len(sides) == 1 and len(sides[0][0]) < SMALL_CELL:
+                small.append(sides[0])
+                n_small += len(sides[0][0])
+                if n_small >= 1 << 13:
+                    yield from flush_small()
+                return
             row, col, like = close_pairs([s[2] for s in sides], [s[1] for s in sides], prints, least, most)
-            if not len(row):
-                return None
-            a, b = sides[0][0][row], sides[-1][0][col]
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(like)], names=["a", "b", "like"])
+            if len(row):
+                yield given(sides[0][0][row], sides[-1][0][col], like)
 
         for batch in batches:
             key, i, j, side, node, label = (batch.column(k).to_numpy() for k in range(6))
+            if not len(key):
+                continue
             marks = np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint8).reshape(len(key), -1)
             cuts = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]) | (side[1:] != side[:-1])) + 1
             for a, b in itertools.pairwise([0, *cuts.tolist(), len(key)]):
-                if a == b:
-                    continue
                 now = (key[a], i[a], j[a])
                 if now != cell:
-                    if held and (out := flush()) is not None:
-                        yield out
+                    yield from flush()
                     cell, held = now, []
                 held.append((side[a], node[a:b], label[a:b], marks[a:b]))
-        if held and (out := flush()) is not None:
-            yield out
+        yield from flush()
+        yield from flush_small()
 
     return run
 
