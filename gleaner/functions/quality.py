@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gleaner.functions.text import compact, meaningful
+from gleaner.functions.text import compact, meaningful, published_at
 
 # The phrases of error pages, interstitials and placeholders, in order of their rules.
 JAVASCRIPT_REQUIRED = (
@@ -231,3 +231,56 @@ def structural_recovery(success: Column, markdown: Column, status: Column, messa
 
 def valid_arguments(query: Column, limit: Column, page: Column, range_: Column) -> Column:
     return F.length(query).between(1, 2000) & limit.between(1, 20) & page.between(1, 10) & (range_.isNull() | range_.isin("day", "month", "year"))
+
+
+# What an action on a page may and must name.
+ACTION_FIELDS = ("selector", "frame", "x", "y", "text", "duration_ms")
+ACTIONS = {
+    "scroll": (set(), []),
+    **{kind: ({"selector", "frame"}, [{"selector"}]) for kind in ("expand", "tab", "load_more", "click")},
+    "click_at": ({"x", "y"}, [{"x"}, {"y"}]),
+    "wait_for": ({"text", "duration_ms"}, [{"text", "duration_ms"}]),
+}
+
+
+def action_problem(action: Column) -> Column:
+    """What is wrong with an action (kind and ACTION_FIELDS): unknown_kind, extra:<field> or missing:<fields>; null if
+    nothing. Empty texts and a duration of 0 count as not named, but for scroll, which takes nothing at all."""
+    given = {f: action[f].isNotNull() for f in ACTION_FIELDS}
+    named = {f: given[f] & (action[f] != ("" if f in ("selector", "frame", "text") else 0)) if f not in ("x", "y") else given[f] for f in ACTION_FIELDS}
+    out = F.when(~action["kind"].isin(*ACTIONS), "unknown_kind")
+    for kind, (allowed, needed) in ACTIONS.items():
+        here = action["kind"] == kind
+        for group in needed:
+            missing = F.lit(True)
+            for f in sorted(group):
+                missing = missing & ~F.coalesce(named[f], F.lit(False))
+            out = out.when(here & missing, "missing:" + "|".join(sorted(group)))
+        for f in ACTION_FIELDS:
+            if f not in allowed:
+                out = out.when(here & F.coalesce(given[f] if kind == "scroll" else named[f], F.lit(False)), f"extra:{f}")
+    return out
+
+
+def markdown_choice(plain: Column, raw: Column, fit: Column) -> Column:
+    """(text, filtered): a plain text, else the raw Markdown if it says anything, else the filtered one."""
+    kept = F.when(plain.isNotNull(), plain).when(F.trim(raw) != "", raw).otherwise(F.coalesce(fit, F.lit("")))
+    return F.struct(kept.alias("text"), (plain.isNull() & ~F.coalesce(F.trim(raw) != "", F.lit(False)) & fit.isNotNull()).alias("filtered"))
+
+
+def metadata_date(*values: Column) -> Column:
+    """The first value that is not empty, normalised; a later one does not stand in for one that is no date."""
+    return published_at(F.coalesce(*(F.nullif(v, F.lit("")) for v in values)))
+
+
+def effective_status(last_hop: Column, first_hop: Column) -> Column:
+    return F.coalesce(last_hop.try_cast("int"), first_hop.try_cast("int"))
+
+
+def chosen_engines(asked: Column, configured: Column) -> Column:
+    """The one configured engine asked for, in its very spelling, or all where none is asked for; null for another."""
+    return F.when(asked.isNull(), configured).when(F.array_contains(configured, asked), F.array(asked))
+
+
+def search_warnings(failed: Column, timed_out: Column, reason: Column, seconds: int = 30) -> Column:
+    return F.array_compact(F.array(F.when(timed_out, F.lit(f"search_timeout:{seconds}s")), F.when(failed & ~timed_out, F.concat(F.lit("search_failed: "), reason))))

@@ -17,6 +17,11 @@ SPECIAL_IPV4 = [
     ("0.0.0.0", 8), ("10.0.0.0", 8), ("100.64.0.0", 10), ("127.0.0.0", 8), ("169.254.0.0", 16), ("172.16.0.0", 12), ("192.0.0.0", 24),
     ("192.0.2.0", 24), ("192.88.99.0", 24), ("192.168.0.0", 16), ("198.18.0.0", 15), ("198.51.100.0", 24), ("203.0.113.0", 24), ("224.0.0.0", 3),
 ]
+# IPv4 blocks that are not reachable worldwide; multicast and the 6to4 relays are.
+NON_GLOBAL_IPV4 = [
+    ("0.0.0.0", 8), ("10.0.0.0", 8), ("100.64.0.0", 10), ("127.0.0.0", 8), ("169.254.0.0", 16), ("172.16.0.0", 12), ("192.0.0.0", 29), ("192.0.0.8", 32), ("192.0.0.11", 32), ("192.0.0.12", 30),
+    ("192.0.0.16", 28), ("192.0.0.32", 27), ("192.0.0.64", 26), ("192.0.0.128", 25), ("192.0.2.0", 24), ("192.168.0.0", 16), ("198.18.0.0", 15), ("198.51.100.0", 24), ("203.0.113.0", 24), ("240.0.0.0", 4),
+]
 MAX_URL_BYTES = 4096
 IPV4 = r"^([0-9]{1,3})\.([0-9]{1,3})\.([0-9]{1,3})\.([0-9]{1,3})$"
 
@@ -77,20 +82,22 @@ def ipv4_number(name: Column) -> Column:
     return F.when(name.rlike(IPV4) & (F.greatest(*octets) <= 255), whole)
 
 
-def ipv4_ranges() -> list[tuple[int, int]]:
+def ipv4_ranges(blocks: list[tuple[str, int]] = SPECIAL_IPV4) -> list[tuple[int, int]]:
     out = []
-    for first, bits in SPECIAL_IPV4:
+    for first, bits in blocks:
         low = int(ipaddress.ip_address(first))
         out.append((low, low + (1 << (32 - bits)) - 1))
     return out
 
 
-def is_special_ipv4(name: Column) -> Column:
-    number = ipv4_number(name)
-    found = F.lit(False)
-    for low, high in ipv4_ranges():
-        found = found | number.between(low, high)
-    return F.coalesce(found, F.lit(False))
+def is_special_ipv4(name: Column, blocks: list[tuple[str, int]] = SPECIAL_IPV4) -> Column:
+    def special(number: Column) -> Column:
+        found = F.lit(False)
+        for low, high in ipv4_ranges(blocks):
+            found = found | number.between(low, high)
+        return found
+
+    return F.coalesce(F.exists(F.array(ipv4_number(name)), special), F.lit(False))  # the number is made once
 
 
 @F.pandas_udf(T.BooleanType())
@@ -107,15 +114,34 @@ def is_public_ipv6(name: pd.Series) -> pd.Series:
     return name.map(one)
 
 
+@F.pandas_udf(T.BooleanType())
+def is_global_ipv6(name: pd.Series) -> pd.Series:
+    """Whether a name is an IPv6 address that is reachable worldwide; null if it is none."""
+
+    def one(x):
+        try:
+            return ipaddress.IPv6Address(x).is_global
+        except (ValueError, TypeError):
+            return None
+
+    return name.map(one)
+
+
+def public_address(name: Column) -> Column:
+    """Whether an address is one that the network policy lets through; null for a name."""
+    return F.when(ipv4_number(name).isNotNull(), ~is_special_ipv4(name)).otherwise(is_public_ipv6(name))
+
+
 def safety_reason(url: Column) -> Column:
-    """Why a URL must not be fetched, the first reason of this order; null if none shows without DNS."""
+    """Why a URL must not be fetched, the first reason of this order; null if none shows without DNS. Literal addresses
+    must be reachable worldwide; the stricter rule of the network policy is `public_address`."""
     name = F.regexp_replace(host(url), r"\.+$", "")
     return (
         F.when(~scheme(url).isin("http", "https"), "scheme")
         .when(name == "", "no_host")
         .when(has_credentials(url), "credentials")
         .when((name == "localhost") | F.endswith(name, F.lit(".localhost")), "localhost")
-        .when(is_special_ipv4(name), "non_public_address")
+        .when(is_special_ipv4(name, NON_GLOBAL_IPV4) | ~F.coalesce(is_global_ipv6(name), F.lit(True)), "non_public_address")
     )
 
 

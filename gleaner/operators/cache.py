@@ -125,3 +125,31 @@ def touch_sessions(log: DataFrame, key: str, at: str, ttl: float, id_col: str) -
 def compact(spark, path: str, target: str, partitions: int) -> None:
     """Rewrites a log into fewer files."""
     spark.read.parquet(path).repartition(partitions).write.mode("overwrite").parquet(target)
+
+
+# Bounds of the snapshots that cursors read, and of a healthy store.
+SNAPSHOT_BYTES, SNAPSHOT_SECONDS, SNAPSHOT_ROWS, SNAPSHOT_TOTAL = 8_000_000, 3600, 100, 32_000_000
+STORE_BYTES = 100_000_000
+
+
+def put_snapshots(log: DataFrame, key: str) -> DataFrame:
+    """The snapshots that a log of writes leaves: too large ones are refused, and what is there is never changed."""
+    fits = log.filter(F.octet_length("payload") <= SNAPSHOT_BYTES)
+    rest = [c for c in log.columns if c != key]
+    first = fits.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct("stored_at", *(c for c in rest if c != "stored_at"))).alias("__row"))
+    return first.select(key, *(F.col(f"__row.{c}").alias(c) for c in rest))
+
+
+def live_snapshots(rows: DataFrame, as_of: Column, key: str, max_rows: int = SNAPSHOT_ROWS, total: int = SNAPSHOT_TOTAL, ttl: float = SNAPSHOT_SECONDS) -> DataFrame:
+    """The snapshots that a cursor still finds: fresh, among the newest, and within the bytes for all."""
+    return keep_bytes(newest(rows.filter(fresh(F.col("stored_at"), as_of, ttl)), max_rows, key), total, key).drop("running_bytes")
+
+
+def storage_report(longest: Column, ceiling: float, store_bytes: Column) -> Column:
+    """Warnings on the size of a store, each where it applies."""
+    return F.array_compact(F.array(F.when(longest > ceiling, F.lit("document_over_ceiling")), F.when(store_bytes > STORE_BYTES, F.lit("store_over_100_mb"))))
+
+
+def with_state(rows: DataFrame) -> DataFrame:
+    """Rows of a store from before it kept a state, with an empty one."""
+    return rows if "state" in rows.columns else rows.withColumn("state", F.lit("{}"))

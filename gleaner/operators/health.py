@@ -19,7 +19,8 @@ MAX_DOUBLINGS = 8
 
 
 def transitions(log: DataFrame, key: str = "engine", at: str = "at", id_col: str = "event_id") -> DataFrame:
-    """The state after each observation of (key, at, id, failed, reason): consecutive_failures, delay_seconds, expires_at.
+    """The state after each observation of (key, at, id, failed, reason): consecutive_failures, suspension_report,
+    delay_seconds, expires_at. A column retry_after, if there is one, is the least delay of its failure.
 
     Successes cut a key's history into islands. Within one, the count rises with each failure that is no
     'suspended' echo (an echo that comes first counts as one), the delay doubles with the count up to a ceiling,
@@ -32,27 +33,38 @@ def transitions(log: DataFrame, key: str = "engine", at: str = "at", id_col: str
     rows = rows.withColumn("__echo", echo)
     first_echo = F.first(F.when(F.col("failed"), F.col("__echo")), ignorenulls=True).over(inside)
     count = F.sum((F.col("failed") & ~F.col("__echo")).cast("int")).over(inside) + F.coalesce(first_echo, F.lit(False)).cast("int")
-    rows = rows.withColumn("consecutive_failures", F.when(F.col("failed"), count).otherwise(0))
+    rows = rows.withColumns({"consecutive_failures": F.when(F.col("failed"), count).otherwise(0), "suspension_report": echo})
     reason = F.coalesce("reason", F.lit(""))
     base = failure_delay(reason)
     known = local_fault(reason) | upstream_declared_wait(reason) | (F.col("island") > 0)
     ceiling = F.when(local_fault(reason), LOCAL_CEILING).when(known, F.greatest(base, F.lit(WEEK))).otherwise(F.least(F.greatest(base, F.lit(WEEK)), F.lit(UNVERIFIED_CEILING)))
     delay = F.least(base * F.pow(F.lit(2), F.least(F.col("consecutive_failures") - 1, F.lit(MAX_DOUBLINGS))), ceiling).cast("double")
+    if "retry_after" in log.columns:
+        delay = F.greatest(delay, F.coalesce(F.col("retry_after").cast("double"), F.lit(0.0)))
     rows = rows.withColumn("delay_seconds", F.when(F.col("failed"), delay))
     expiry = F.max(F.col(at) + F.col("delay_seconds")).over(inside)
     return rows.withColumn("expires_at", F.when(F.col("failed"), expiry).otherwise(F.lit(0.0))).drop("__ok", "__echo")
 
 
-def snapshot(states: DataFrame, as_of: Column, key: str = "engine", at: str = "at", id_col: str = "event_id") -> DataFrame:
-    """The status of each key at as_of from its transitions: untested, working, unverified, recovery_due or cooling_down."""
+def snapshot(states: DataFrame, as_of: Column, key: str = "engine", at: str = "at", id_col: str = "event_id", leases: DataFrame | None = None) -> DataFrame:
+    """The status of each key at as_of from its transitions: untested, working, unverified, recovery_due, cooling_down, or
+    recovering while a lease (key, lease_until) runs that was granted after its last observation. Echoes of a suspension
+    are no failures of their own; they are counted apart."""
     seen = states.filter(F.col(at) <= as_of)
     last = seen.groupBy(key).agg(
         F.max_by(F.struct("consecutive_failures", "expires_at", "reason", "failed"), F.struct(at, id_col)).alias("s"),
         F.max(F.when(~F.col("failed"), F.col(at))).alias("last_success"), F.max(F.when(F.col("failed"), F.col(at))).alias("last_failure"),
-        F.count_if(~F.col("failed")).alias("successes"), F.count_if("failed").alias("failures"),
+        F.count_if(~F.col("failed")).alias("successes"), F.count_if(F.col("failed") & ~F.col("suspension_report")).alias("failures"), F.count_if("suspension_report").alias("suspension_reports"),
     )
+    if leases is None:
+        last = last.withColumn("lease", F.lit(0.0))
+    else:
+        held = leases.groupBy(F.col(key).alias("__k")).agg(F.max("lease_until").alias("lease"))
+        last = last.join(held, F.col(key) == F.col("__k"), "left").drop("__k").withColumn("lease", F.coalesce("lease", F.lit(0.0)))
+    until = F.col("s.expires_at")
     status = (
-        F.when(F.col("s.expires_at") > as_of, "cooling_down")
+        F.when(F.col("lease") > as_of, "recovering")
+        .when(until > as_of, "cooling_down")
         .when(F.col("s.consecutive_failures") > 0, "recovery_due")
         .when(F.col("last_success").isNull(), "untested")
         .when(as_of - F.col("last_success") <= DAY, "working")
@@ -60,7 +72,11 @@ def snapshot(states: DataFrame, as_of: Column, key: str = "engine", at: str = "a
     )
     why = F.when(F.col("s.failed"), F.coalesce("s.reason", F.lit("")))
     fault = F.when(why.isNull() | (why == ""), None).when(local_fault(why), "local_transport").otherwise("upstream")
-    return last.select(key, status.alias("status"), fault.alias("fault"), F.col("s.consecutive_failures").alias("consecutive_failures"), "successes", "failures", "last_success", "last_failure", F.when(F.col("s.expires_at") > as_of, F.col("s.expires_at")).alias("retry_at"))
+    wait = F.greatest(until, F.col("lease"))
+    return last.select(
+        key, status.alias("status"), fault.alias("fault"), F.col("s.consecutive_failures").alias("consecutive_failures"), "successes", "failures", "suspension_reports",
+        "last_success", "last_failure", F.when(wait > as_of, wait).alias("retry_at"), (until > as_of).alias("retry_time_is_estimate"),
+    )
 
 
 def health_line(status: Column, reason: Column, retry_at: Column, as_of: Column) -> Column:
@@ -120,14 +136,17 @@ def gap_span(log: DataFrame, key: str, at: str, gap: float, id_col: str) -> Data
     return log.withColumn("__new", new).withColumn("stretch", F.sum("__new").over(by.rowsBetween(W.unboundedPreceding, 0))).drop("__new")
 
 
-def claims(log: DataFrame, key: str, at: str, seconds: float, id_col: str, out: str = "granted") -> DataFrame:
-    """log with `granted`: a claim is granted unless an earlier granted one of its key still runs. This is also how
-    requests share a call in flight (granted: the call's leader) and how a cache of a ttl answers (granted: a miss
-    that writes; a hit does not renew)."""
+def claims(log: DataFrame, key: str, at: str, seconds: float, id_col: str, out: str = "granted", inclusive: bool = False, stored: str | None = None) -> DataFrame:
+    """log with `granted`: a claim is granted unless an earlier granted one of its key still runs, with `inclusive` up to
+    and with its last moment. This is also how requests share a call in flight (granted: the call's leader) and how a cache of
+    a ttl answers (granted: a miss that writes; a hit does not renew). `stored` names a flag of what is kept: an empty
+    answer is a miss that leaves nothing behind."""
 
     def step(until, row):
         now = row[at]
-        return (until, False) if until is not None and now < until else (now + seconds, True)
+        if until is not None and (now < until or (inclusive and now == until)):
+            return until, False
+        return (now + seconds if stored is None or row[stored] else until), True
 
     rows = gap_span(log, key, at, seconds, id_col)
     return fold(rows, key, [at, id_col], step, out, T.BooleanType(), "stretch").drop("stretch")

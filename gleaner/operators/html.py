@@ -61,7 +61,7 @@ class _Reader(HTMLParser):
         here[tag] = here.get(tag, 0) + 1
         path = (self.open[-1][2] + " > " if self.open else "") + f"{tag}:nth-of-type({here[tag]})"
         if tag == "base" and self.base is None and a.get("href"):
-            self.base = urljoin(self.url, a["href"])
+            self.base = _joined(self.url, a["href"])
         if tag == "a" and a.get("href"):
             self.links.append(a["href"])
         if tag == "meta":
@@ -104,7 +104,7 @@ class _Reader(HTMLParser):
         if tag == "script" and self.json_ld is not None:
             try:
                 self.dates += [(str(v), "json_ld:datePublished") for v in _values(json.loads("".join(self.json_ld)), "datePublished")]
-            except ValueError:
+            except (ValueError, RecursionError):
                 pass
             self.json_ld = None
         if not any(t == tag for t, _, _ in self.open):
@@ -139,19 +139,9 @@ class _Reader(HTMLParser):
 
     def result(self) -> dict:
         base = self.base or self.url
-        links = []
-        for href in self.links:
-            try:
-                link = urljoin(base, href)
-            except ValueError:
-                continue
-            if link.startswith(("http://", "https://")):
-                links.append(link)
+        links = [link for href in self.links if (link := _joined(base, href) or "").startswith(("http://", "https://"))]
         published = next(((d, s) for v, s in self.dates if (d := _published(v))), (None, None))
-        try:
-            origin = urljoin(self.url, self.origin) if self.origin else None
-        except ValueError:
-            origin = None
+        origin = _joined(self.url, self.origin) if self.origin else None
         lines = (" ".join(x.split()) for x in "".join(self.out).splitlines())
         controls = []
         for kind, path, label in self.controls:
@@ -170,21 +160,34 @@ class _Reader(HTMLParser):
         }
 
 
-def _values(value, key):
-    if isinstance(value, dict):
-        if key in value:
-            yield value[key]
-        for child in value.values():
-            yield from _values(child, key)
-    elif isinstance(value, list):
-        for child in value:
-            yield from _values(child, key)
+def _joined(base: str, href: str) -> str | None:
+    try:
+        return urljoin(base, href)
+    except ValueError:
+        return None
+
+
+def _values(document, key: str) -> list:
+    """What stands under a key at any depth, in reading order."""
+    out, waiting = [], [document]
+    while waiting:
+        value = waiting.pop()
+        if isinstance(value, dict):
+            out += [value[key]] if key in value else []
+            waiting += reversed(value.values())
+        elif isinstance(value, list):
+            waiting += reversed(value)
+    return out
 
 
 def read_page(source: str | None, url: str | None) -> dict:
+    """Everything of a page; of one that the parser gives up on, what came before."""
     reader = _Reader(url or "")
-    reader.feed(source or "")
-    reader.close()
+    try:
+        reader.feed(source or "")
+        reader.close()
+    except (AssertionError, ValueError, RecursionError):
+        pass
     return reader.result()
 
 

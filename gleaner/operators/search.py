@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gleaner.functions.text import first_published
+from gleaner.functions.text import SNIPPET_CAP, TITLE_CAP, first_published
 from gleaner.functions.urls import canonical_url
 
 # The shape of a captured response, and caps on its failures.
@@ -39,9 +39,35 @@ def engine_counts(rows: DataFrame) -> DataFrame:
     return rows.select(F.explode("engines").alias("engine")).groupBy("engine").agg(F.count("*").alias("results"))
 
 
-def coverage(requested: Column, answered: Column, waiting: Column) -> Column:
-    """Which of the requested engines answered, and which neither answered nor wait."""
-    return F.struct(F.array_intersect(requested, answered).alias("answered"), F.array_except(requested, F.array_union(answered, waiting)).alias("silent"), (F.size(answered) > 0).alias("attributed"))
+def coverage(requested: Column, answered: Column, waiting: Column, results: Column, status: Column | None = None) -> Column:
+    """answered (in lower case, sorted), the requested engines that neither answered nor wait, whatever the case, whether results
+    say which engine they are from ("absent" only if there are results and none does), and which never worked by `status`,
+    a map of engine to (status, successes)."""
+    low = lambda names: F.transform(names, lambda x: F.lower(x))
+    heard = F.array_sort(F.array_distinct(low(answered)))
+    silent = F.filter(requested, lambda x: ~F.array_contains(F.array_union(heard, low(waiting)), F.lower(x)))
+    never = F.filter(requested, lambda x: (F.try_element_at(status, x)["status"] == "untested") & (F.coalesce(F.try_element_at(status, x)["successes"], F.lit(0)) == 0)) if status is not None else F.array().cast("array<string>")
+    return F.struct(heard.alias("answered"), silent.alias("silent"), F.when((F.size(heard) > 0) | (results == 0), "present").otherwise("absent").alias("attribution"), F.coalesce(never, F.array().cast("array<string>")).alias("never_verified"))
+
+
+def available(configured: Column, cooling: Column, known: Column, backend: str = "searxng") -> Column:
+    """The configured engines without a cooldown; none while their health is unknown or the backend itself cools down."""
+    low = F.transform(cooling, lambda x: F.lower(x))
+    free = F.filter(configured, lambda x: ~F.array_contains(low, F.lower(x)))
+    return F.when(known & ~F.array_contains(low, F.lit(backend)), free).otherwise(F.array().cast("array<string>"))
+
+
+def as_hit(title: Column, snippet: Column) -> Column:
+    """Title and snippet as far as an answer carries them."""
+    return F.struct(F.substring(title, 1, TITLE_CAP).alias("title"), F.substring(snippet, 1, SNIPPET_CAP).alias("snippet"))
+
+
+def without_empty(**fields: Column) -> Column:
+    """A JSON object of the fields that say something: no nulls, no empty lists or maps, no false."""
+    def kept(c: Column, kind: str) -> Column:
+        return F.when(F.size(c) > 0, c) if kind == "list" else F.when(c, c) if kind == "flag" else c
+
+    return F.to_json(F.struct(*(kept(c, n.split("__")[0]).alias(n.split("__")[-1]) for n, c in fields.items())))
 
 
 def not_cooling(requested: DataFrame, cooling: DataFrame, col: str = "engine") -> DataFrame:
@@ -83,8 +109,8 @@ def unresponsive(body: Column) -> Column:
 
 
 def request_key(*arguments: Column) -> Column:
-    """Identity of a request: a hash of its arguments as a JSON list."""
-    return F.sha2(F.to_json(F.array(*(F.coalesce(a.cast("string"), F.lit("")) for a in arguments))), 256)
+    """Identity of a request: a hash of its arguments as JSON, in which 1 and "1", null and "" differ."""
+    return F.sha2(F.to_json(F.struct(*(a.alias(f"a{k}") for k, a in enumerate(arguments))), {"ignoreNullFields": "false"}), 256)
 
 
 def fixture_route(queries: DataFrame, routes: DataFrame, query_col: str) -> DataFrame:

@@ -37,6 +37,7 @@ ROUTES = [(0, "clown|idiot"), (1, "^the "), (2, "tion the"), (3, "[0-9]{4}"), (4
 QUERY = "the that thing with"
 AS_OF = 1706486400.0  # 2024-01-29 00:00:00 UTC
 ENGINES = ["alpha", "beta", "gamma", "delta", "epsilon"]
+ASKED = ["alpha", "Beta", "GAMMA", "Delta", "epsilon"]
 
 
 def s(value: str) -> str:
@@ -129,7 +130,7 @@ def _safety_sql() -> str:
     name = f"regexp_replace({_host_sql('url')}, '\\.+$', '')"
     octet = [f"TRY_CAST(regexp_extract({name}, {s(urls.IPV4)}, {k}) AS BIGINT)" for k in range(1, 5)]
     number = f"CASE WHEN greatest({', '.join(octet)}) <= 255 THEN {octet[0]} * 16777216 + {octet[1]} * 65536 + {octet[2]} * 256 + {octet[3]} END"
-    special = " OR ".join(f"n BETWEEN {a} AND {b}" for a, b in urls.ipv4_ranges())
+    special = " OR ".join(f"n BETWEEN {a} AND {b}" for a, b in urls.ipv4_ranges(urls.NON_GLOBAL_IPV4))
     return f"""SELECT page_id, variant, CASE WHEN lower({_part_sql('url', 1)}) NOT IN ('http', 'https') THEN 'scheme' WHEN name = '' THEN 'no_host'
       WHEN contains({_part_sql('url', 2)}, '@') THEN 'credentials' WHEN name = 'localhost' OR name LIKE '%.localhost' THEN 'localhost'
       WHEN {special} THEN 'non_public_address' END AS reason, lower({_part_sql('url', 1)}) IN ('http', 'https') AND NOT contains({_part_sql('url', 2)}, '@') AS wire_allowed
@@ -143,17 +144,16 @@ def url_safety_reason(spark, d):
 
 
 @query(
-    "url_same_origin_pairs",
+    "url_same_origin",
     f"""WITH u AS (SELECT page_id, lower({_part_sql('url', 1)}) AS scheme, {_host_sql('url')} AS host FROM pages)
-    SELECT a.page_id AS a, b.page_id AS b FROM u a JOIN u b ON a.scheme = b.scheme AND a.host = b.host AND a.page_id % 5 = 0 AND b.page_id <> a.page_id""",
+    SELECT page_id, min(page_id) OVER (PARTITION BY scheme, host) AS origin_id, count(*) OVER (PARTITION BY scheme, host) - 1 AS others FROM u""",
 )
-def url_same_origin_pairs(spark, d):
-    """Pages of the same origin as every fifth page."""
-    pages = table(spark, d, "pages").select("page_id", "url")
-    key = lambda u, n: [urls.scheme(u).alias("s" + n), urls.host(u).alias("h" + n), urls.effective_port(u).alias("p" + n)]
-    a = pages.filter("page_id % 5 = 0").select(F.col("page_id").alias("a"), *key(F.col("url"), "a"))
-    b = pages.select(F.col("page_id").alias("b"), *key(F.col("url"), "b"))
-    return a.join(b, (F.col("sa") == F.col("sb")) & (F.col("ha") == F.col("hb")) & F.col("pa").eqNullSafe(F.col("pb"))).filter("a <> b").select("a", "b")
+def url_same_origin(spark, d):
+    """Of each page the first of its origin and how many others have it."""
+    url = F.col("url")
+    pages = table(spark, d, "pages").select("page_id", urls.scheme(url).alias("s"), urls.host(url).alias("h"), F.coalesce(urls.effective_port(url), F.lit(-1)).alias("p"))
+    origins = pages.groupBy("s", "h", "p").agg(F.min("page_id").alias("origin_id"), (F.count("*") - 1).alias("others"))
+    return pages.join(origins, ["s", "h", "p"]).select("page_id", "origin_id", "others")
 
 
 @query(
@@ -227,10 +227,10 @@ def page_chunks(spark, d):
 
 
 @query("text_comma_list", f"""SELECT event_id, array_to_string(list_filter(p, lambda x, i: list_position(list_transform(p, lambda y: lower(y)), lower(x)) = i), '|') AS engines
-    FROM (SELECT event_id, list_filter(list_transform(string_split({pick_sql(LISTS, 'event_id')}, ','), lambda x: trim(x)), lambda x: x <> '') AS p FROM events WHERE event_id % 100 = 0)""")
+    FROM (SELECT event_id, list_filter(list_transform(string_split({pick_sql(LISTS, 'event_id')}, ','), lambda x: trim(x)), lambda x: x <> '') AS p FROM events)""")
 def text_comma_list(spark, d):
-    """Engine lists as they come in requests (every 100th event stands for one)."""
-    rows = table(spark, d, "events").filter("event_id % 100 = 0")
+    """Engine lists as they come in requests."""
+    rows = table(spark, d, "events")
     return rows.select("event_id", F.array_join(text.comma_list(pick(LISTS, F.col("event_id"))), "|").alias("engines"))
 
 
@@ -260,7 +260,11 @@ def server_timing(spark, d):
     return rows.select("event_id", F.explode("m").alias("engine", "ms"))
 
 
-@query("published_dates")
+_RAW_DATE = """CASE event_id % 6 WHEN 0 THEN strftime(ts, '%Y') WHEN 1 THEN strftime(ts, '%Y-%m') WHEN 2 THEN strftime(ts, '%Y-%m-%dT%H:%M:%SZ') WHEN 3 THEN strftime(ts, '%d %b %Y %H:%M:%S +0000')
+  WHEN 4 THEN strftime(ts, '%Y/%m/%d') ELSE ' ' END"""
+
+
+@query("published_dates", f"SELECT event_id, {_RAW_DATE} AS raw, CASE WHEN event_id % 6 < 2 THEN {_RAW_DATE} WHEN event_id % 6 < 4 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S+00:00') END AS published_at FROM events")
 def published_dates(spark, d):
     """Dates in the forms that pages give them, normalised."""
     t = F.col("ts").cast("timestamp")
@@ -285,7 +289,12 @@ def focus_best_window(spark, d):
     return focus.best_windows(_docs(spark, d), "doc_id", "text", F.lit(QUERY), 1000)
 
 
-@query("focus_start")
+@query(
+    "focus_start",
+    """WITH b AS (SELECT *, greatest(best_start - 500, 0) AS back FROM (""" + ORACLES["focus_best_window"] + """)),
+    w AS (SELECT d.doc_id, b.best_start, b.matched, b.back, substr(d.text, b.back + 1, b.best_start - b.back) AS before FROM documents d LEFT JOIN b ON d.doc_id = b.doc_id)
+    SELECT doc_id, coalesce(CASE WHEN matched = 0 THEN 0 WHEN contains(before, chr(10) || chr(10)) THEN back + length(before) - strpos(reverse(before), chr(10) || chr(10)) + 1 ELSE best_start END, 0)::INT AS focus_start FROM w""",
+)
 def focus_start(spark, d):
     return focus.focus_start(_docs(spark, d), "doc_id", "text", F.lit(QUERY), 1000).select("doc_id", "focus_start")
 
@@ -487,15 +496,16 @@ def engine_result_counts(spark, d):
 @query(
     "engine_coverage",
     f"""WITH a AS (SELECT host, list_distinct(flatten(list(engines))) AS answered FROM {_RESULTS_SQL} GROUP BY host)
-    SELECT host, array_to_string(list_filter({ENGINES}, lambda e: list_contains(answered, e)), '|') AS answered,
-    array_to_string(list_filter({ENGINES}, lambda e: NOT list_contains(answered, e) AND e <> 'delta'), '|') AS silent, len(answered) > 0 AS attributed FROM a""",
+    SELECT host, array_to_string(list_sort(list_transform(answered, lambda e: lower(e))), '|') AS answered,
+    array_to_string(list_filter({ASKED}, lambda e: NOT list_contains(list_transform(answered, lambda x: lower(x)), lower(e)) AND lower(e) <> 'delta'), '|') AS silent, CASE WHEN len(answered) > 0 THEN 'present' ELSE 'absent' END AS attribution, 'Beta' AS never_verified FROM a""",
 )
 def engine_coverage(spark, d):
     """Per host: the engines that answered and those that did not, `delta` waiting."""
     rows = _results(spark, d).groupBy("host").agg(F.array_distinct(F.flatten(F.collect_list("engines"))).alias("answered"))
-    asked = F.array(*map(F.lit, ENGINES))
-    rows = rows.withColumn("c", search.coverage(asked, F.col("answered"), F.array(F.lit("delta"))))
-    return rows.select("host", F.array_join("c.answered", "|").alias("answered"), F.array_join("c.silent", "|").alias("silent"), "c.attributed")
+    asked = F.array(*map(F.lit, ASKED))
+    status = F.create_map(F.lit("Beta"), F.struct(F.lit("untested").alias("status"), F.lit(0).alias("successes")), F.lit("GAMMA"), F.struct(F.lit("untested").alias("status"), F.lit(2).alias("successes")))
+    rows = rows.withColumn("c", search.coverage(asked, F.col("answered"), F.array(F.lit("DELTA")), F.lit(1), status))
+    return rows.select("host", F.array_join("c.answered", "|").alias("answered"), F.array_join("c.silent", "|").alias("silent"), "c.attribution", F.array_join("c.never_verified", "|").alias("never_verified"))
 
 
 _INVENTORY_SQL = "(SELECT DISTINCT 'e' || user_id AS engine, user_id % 7 <> 0 AS enabled, user_id % 3 <> 0 AS paging, user_id % 4 <> 0 AS time_range_support FROM events WHERE user_id % 5 <> 0)"
@@ -529,9 +539,9 @@ def fixture_routing(spark, d):
     return search.fixture_route(_docs(spark, d), routes, "text").select("doc_id", "route")
 
 
-@query("request_keys", """SELECT page_id, sha256('["' || url || '","' || page_id % 3 || '",""]') AS key FROM pages""")
+@query("request_keys", """SELECT page_id, sha256('{"a0":"' || url || '","a1":' || page_id % 3 || ',"a2":null,"a3":"' || page_id % 3 || '"}') AS key FROM pages""")
 def request_keys(spark, d):
-    return table(spark, d, "pages").select("page_id", search.request_key(F.col("url"), F.col("page_id") % 3, F.lit(None)).alias("key"))
+    return table(spark, d, "pages").select("page_id", search.request_key(F.col("url"), F.col("page_id") % 3, F.lit(None).cast("string"), (F.col("page_id") % 3).cast("string")).alias("key"))
 
 
 # --- Caches ----------------------------------------------------------------------------------------
@@ -626,10 +636,10 @@ def coalesced_requests(spark, d):
     return health.claims(_log(spark, d).filter("event_type <> 'error'"), "user_id", "stored_at", 7200.0, "event_id", "leader").select("event_id", "leader")
 
 
-@query("cache_hits", _claims_sql(86400, "event_type = 'view'").replace("SELECT event_id, granted FROM f", "SELECT event_id, NOT granted AS hit FROM f"))
+@query("cache_hits", _claims_sql(86400, "event_type = 'view'").replace("n.stored_at < f.until", "n.stored_at <= f.until").replace("n.stored_at >= f.until", "n.stored_at > f.until").replace("SELECT event_id, granted FROM f", "SELECT event_id, NOT granted AS hit FROM f"))
 def cache_hits(spark, d):
     """Which views a cache of one day answers; hits do not renew."""
-    return health.claims(_log(spark, d).filter("event_type = 'view'"), "user_id", "stored_at", 86400.001, "event_id", "miss").select("event_id", (~F.col("miss")).alias("hit"))
+    return health.claims(_log(spark, d).filter("event_type = 'view'"), "user_id", "stored_at", 86400.0, "event_id", "miss", inclusive=True).select("event_id", (~F.col("miss")).alias("hit"))
 
 
 # --- Health ----------------------------------------------------------------------------------------
@@ -658,11 +668,12 @@ def health_backoff(spark, d):
 @query(
     "health_snapshot",
     f"""WITH t AS (SELECT * FROM ({_TRANSITIONS_SQL}) WHERE at_ <= {AS_OF}),
-    l AS (SELECT engine, arg_max(struct_pack(n := n, e := expires_at), struct_pack(a := at_, i := event_id)) AS z, max(at_) FILTER (NOT failed) AS ok, count(*) FILTER (failed) AS failures FROM t GROUP BY engine)
-    SELECT engine, failures, z.n AS consecutive_failures, CASE WHEN z.e > {AS_OF} THEN 'cooling_down' WHEN z.n > 0 THEN 'recovery_due' WHEN ok IS NULL THEN 'untested' WHEN {AS_OF} - ok <= 86400 THEN 'working' ELSE 'unverified' END AS status FROM l""",
+    l AS (SELECT engine, arg_max(struct_pack(n := n, e := expires_at), struct_pack(a := at_, i := event_id)) AS z, max(at_) FILTER (NOT failed) AS ok, count(*) FILTER (failed AND NOT echo) AS failures, count(*) FILTER (echo) AS suspension_reports FROM t GROUP BY engine)
+    SELECT engine, failures, suspension_reports, z.n AS consecutive_failures, CASE WHEN engine % 7 = 0 AND engine % 2 = 0 THEN 'recovering' WHEN z.e > {AS_OF} THEN 'cooling_down' WHEN z.n > 0 THEN 'recovery_due' WHEN ok IS NULL THEN 'untested' WHEN {AS_OF} - ok <= 86400 THEN 'working' ELSE 'unverified' END AS status FROM l""",
 )
 def health_snapshot(spark, d):
-    return health.snapshot(_transitions(spark, d), F.lit(AS_OF)).select("engine", "failures", "consecutive_failures", "status")
+    leases = table(spark, d, "events").filter("user_id % 7 = 0").select(F.col("user_id").alias("engine"), (F.lit(AS_OF) + F.when(F.col("user_id") % 2 == 0, 60.0).otherwise(-60.0)).alias("lease_until"))
+    return health.snapshot(_transitions(spark, d), F.lit(AS_OF), leases=leases).select("engine", "failures", "suspension_reports", "consecutive_failures", "status")
 
 
 @query(
@@ -687,14 +698,15 @@ def citation_match(spark, d):
 
 
 def _run(spark, d: str, drop: int) -> DataFrame:
-    rows = table(spark, d, "conversations").filter((F.col("turn") == 0) & (F.col("conv_id") % 5 != drop))
-    c = F.col("conv_id")
+    rows, c = table(spark, d, "conversations"), F.col("conv_id")
+    i = c * 1000 + F.col("turn")
+    i = F.when(c % 5 == 1, -i).otherwise(i) if drop == 0 else i  # some cases of the later run are new
     arguments = F.when((c % 7 == 0) & F.lit(drop == 1), "changed").otherwise(F.concat(F.lit("args"), (c % 3).cast("string")))
-    return rows.select(c.alias("id"), (c % 2).cast("string").alias("tool"), arguments.alias("arguments"), (F.length("text") * (drop + 1)).cast("double").alias("elapsed_ms"), F.octet_length("text").cast("long").alias("output_bytes"), (F.length("text") % 2 == 0).alias("passed"))
+    return rows.select(i.alias("id"), (c % 2).cast("string").alias("tool"), arguments.alias("arguments"), (F.length("text") * (drop + 1)).cast("double").alias("elapsed_ms"), F.octet_length("text").cast("long").alias("output_bytes"), (F.length("text") % 2 == 0).alias("passed"))
 
 
-_RUN_SQL = """(SELECT conv_id AS id, conv_id % 2 AS tool, CASE WHEN conv_id % 7 = 0 AND {0} = 1 THEN 'changed' ELSE 'args' || conv_id % 3 END AS arguments, (length(text) * ({0} + 1))::DOUBLE AS elapsed_ms,
-  strlen(text) AS output_bytes, length(text) % 2 = 0 AS passed FROM conversations WHERE turn = 0 AND conv_id % 5 <> {0})"""
+_RUN_SQL = """(SELECT (conv_id * 1000 + turn) * CASE WHEN {0} = 0 AND conv_id % 5 = 1 THEN -1 ELSE 1 END AS id, conv_id % 2 AS tool, CASE WHEN conv_id % 7 = 0 AND {0} = 1 THEN 'changed' ELSE 'args' || conv_id % 3 END AS arguments, (length(text) * ({0} + 1))::DOUBLE AS elapsed_ms,
+  strlen(text) AS output_bytes, length(text) % 2 = 0 AS passed FROM conversations)"""
 
 
 @query(
@@ -737,7 +749,11 @@ def score_calls(spark, d):
     return evaluate.score_calls(calls, "conv_id")
 
 
-@query("report_recovery")
+@query(
+    "report_recovery",
+    f"""SELECT conv_id, CASE WHEN conv_id % 3 = 0 THEN '{{"stop": {{"kind": "sufficient", "reason": "done"}}, "findings": {{"turn": ' || max(turn) || '}}, "format_warning": "{evaluate.RECOVERED}"}}' ELSE '{{}}' END AS report
+    FROM conversations WHERE role = 'assistant' GROUP BY conv_id""",
+)
 def report_recovery(spark, d):
     """Reports wrapped in prose, dealt to every third conversation."""
     wrapped = F.concat(F.lit('Here it is: {"findings": {"turn": '), F.col("turn").cast("string"), F.lit('}} and {"kind": "sufficient", "reason": "done"}'))
@@ -766,3 +782,5 @@ def page_report(spark, d):
 
 
 assert all(re.fullmatch(r"[a-z0-9_]+", name) for name in QUERIES)
+
+from gleaner.plans import rules  # noqa: E402, F401  registers more queries

@@ -25,6 +25,29 @@ def test_html_in_one_pass():
     assert html.read_page("", "") == html.read_page(None, None)
 
 
+def test_pages_that_parsers_give_up_on():
+    deep = '{"a": ' * 5000 + '{"datePublished": "2020"}' + "}" * 5000
+    for source in ("<p>one</p><![foo[ bar ]]>", '<base href="http://[bad"><a href="http://[x">l</a><p>one</p>', f'<p>one</p><script type="application/ld+json">{deep}</script>'):
+        assert html.read_page(source, "http://h.example/")["text"] == "one" or "one" in html.read_page(source, "http://h.example/")["text"]
+    assert html._values({"x": [{"k": 1}, {"y": {"k": 2}}], "k": 0}, "k") == [0, 1, 2]
+
+
+def test_echoes_are_no_failures_of_their_own(spark):
+    log = spark.createDataFrame([(1, "e", 1.0, True, "captcha", None), (2, "e", 2.0, True, "Suspended: captcha", 1e6)], "event_id int, engine string, at double, failed boolean, reason string, retry_after double")
+    states = health.transitions(log)
+    got = health.snapshot(states, F.lit(3.0), leases=spark.createDataFrame([("e", 4.0)], "engine string, lease_until double")).first()
+    assert (got.status, got.failures, got.suspension_reports, got.consecutive_failures, got.retry_at) == ("recovering", 1, 1, 1, 1000002.0)
+    assert health.snapshot(states, F.lit(3.0)).first().status == "cooling_down"
+
+
+def test_claims_to_the_last_moment(spark):
+    rows = spark.createDataFrame([(1, "k", 0.0, True), (2, "k", 10.0, True), (3, "k", 10.5, False), (4, "k", 11.0, True)], "id int, key string, at double, full boolean")
+    granted = lambda **more: [r.granted for r in health.claims(rows, "key", "at", 10.0, "id", **more).orderBy("id").collect()]
+    assert granted() == [True, True, False, False]
+    assert granted(inclusive=True) == [True, False, True, False]
+    assert granted(inclusive=True, stored="full") == [True, False, True, True]
+
+
 def test_search_results(spark):
     body = {"results": [{"url": "http://a/?utm=1", "engines": ["x"]}, {"url": "http://a/", "engine": "y", "title": " T "}, {"url": ""}, {"url": "HTTP://A:80/#f", "score": 2}, {"url": "http://b/", "publishedDate": "2024"}]}
     rows = search.parse_results(spark.createDataFrame([("q", json.dumps(body))], "q string, body string"), "q", "body")
