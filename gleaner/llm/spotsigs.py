@@ -6,7 +6,7 @@ of its signatures. A text without any spot has one signature, of all its words.
 by their Jaccard likeness; sets whose lengths alone keep it under a threshold are pruned.
 
 `similar_classes` joins all fingerprints: equal sets are one class; signatures are looked up rarest first, and
-only as many of them as a likeness over the threshold must share; classes meet in the partitions of their set length
+only as many of them as a likeness over the threshold must share, fewer for the smaller set; classes meet in the partitions of their set length
 and the next, and a pair is compared where both lie in one partition. A signature that many classes look up is dealt over cells of
 CELL classes a side, so that no task gets all of them.
 
@@ -123,19 +123,26 @@ def similar_classes(prints: DataFrame, least: float = LEAST, sigs_col: str = "si
     spread = classes.select("class", "n", F.explode("sigs").alias("sig"))
     seen = spread.groupBy("sig").agg(F.count("*").alias("seen")).filter("seen > 1")
     ranked = spread.join(written(seen, "shared-signatures"), "sig").groupBy("class", "n").agg(F.array_sort(F.collect_list(F.struct("seen", "sig"))).alias("order"))
-    # a likeness of `least` shares one of the n - ceil(least n) + 1 rarest, of which those of one class only come first and
-    # find nothing; a hair less than `least`, as n times it is rounded
-    most = F.greatest(F.size("order") - F.ceil(F.col("n") * (least - 1e-9)).cast("int") + 1, F.lit(0))
-    prefix = ranked.select("class", "n", F.explode(F.slice("order", F.lit(1), most)).alias("s"))
-    part = F.floor(F.log(F.col("n").cast("double")) / F.lit(-math.log(least - 1e-9))).cast("int")
-    prefix = written(prefix.select("class", "n", "s.sig", F.ceil(F.col("s.seen") / cell).cast("int").alias("chunks"), part.alias("part")), "prefixes")
+    # a hair less than `least`, as n times it is rounded. The larger of two sets shares one of its n - ceil(least n) + 1
+    # rarest signatures, the smaller one of its n - ceil(2 least / (1 + least) n) + 1; those of one class only come first and find nothing
+    t = least - 1e-9
+    alone = F.col("n") - F.size("order")
+    prefix = F.transform(F.slice("order", F.lit(1), F.greatest(F.size("order") - F.ceil(F.col("n") * t).cast("int") + 1, F.lit(0))), lambda s, k: F.struct(s["seen"].alias("seen"), s["sig"].alias("sig"), (alone + k).alias("pos")))
+    prefix = ranked.select("class", "n", F.explode(prefix).alias("s"))
+    part = F.floor(F.log(F.col("n").cast("double")) / F.lit(-math.log(t))).cast("int")
+    prefix = written(prefix.select("class", "n", "s.sig", "s.pos", F.ceil(F.col("s.seen") / cell).cast("int").alias("chunks"), part.alias("part")), "prefixes")
     own = F.pmod(F.xxhash64("class"), F.col("chunks")).cast("int")
-    left = prefix.select(F.col("class").alias("class_a"), F.col("n").alias("n_a"), "sig", "part", own.alias("i"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("j"))
-    right = prefix.select(F.col("class").alias("class_b"), F.col("n").alias("n_b"), "sig", "part", "chunks", own.alias("j"))
-    right = right.select("class_b", "n_b", "sig", "j", "chunks", F.explode(F.array(F.col("part") - 1, F.col("part"), F.col("part") + 1)).alias("part"))
-    right = right.select("class_b", "n_b", "sig", "j", "part", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("i"))
-    close = (F.col("class_a") < F.col("class_b")) & (F.least("n_a", "n_b") >= F.lit(least - 1e-9) * F.greatest("n_a", "n_b"))
-    pairs = written(left.join(right, ["sig", "part", "i", "j"]).filter(close).select("class_a", "class_b").distinct(), "signature-pairs")
+    left = prefix.filter(F.col("pos") <= F.col("n") - F.ceil(F.col("n") * (2 * t / (1 + t))))
+    left = left.select(F.col("class").alias("class_a"), F.col("n").alias("n_a"), F.col("pos").alias("pos_a"), "sig", "part", own.alias("i"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("j"))
+    right = prefix.select(F.col("class").alias("class_b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"), "sig", "part", "chunks", own.alias("j"))
+    right = right.select("class_b", "n_b", "pos_b", "sig", "j", "chunks", F.explode(F.array(F.col("part") - 1, F.col("part"))).alias("part"))
+    right = right.select("class_b", "n_b", "pos_b", "sig", "j", "part", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("i"))
+    order = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("class_a") < F.col("class_b")))
+    # behind the first signature that two sets share, enough must be left of both
+    left_over = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) >= F.lit(t / (1 + t)) * (F.col("n_a") + F.col("n_b"))
+    close = order & (F.col("n_a") >= F.lit(t) * F.col("n_b")) & left_over
+    pairs = left.join(right, ["sig", "part", "i", "j"]).filter(close)
+    pairs = written(pairs.select(F.least("class_a", "class_b").alias("class_a"), F.greatest("class_a", "class_b").alias("class_b")).distinct(), "signature-pairs")
     sets = classes.select("class", "sigs")
     pairs = pairs.join(sets.toDF("class_a", "a"), "class_a").join(sets.toDF("class_b", "b"), "class_b")
     pairs = pairs.withColumn("likeness", likeness(F.col("a"), F.col("b"), least - 1e-9)).filter(F.col("likeness") >= least - 1e-12).select("class_a", "class_b", "likeness")
