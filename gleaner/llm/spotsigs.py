@@ -52,7 +52,7 @@ def signatures(text: Column, anchors: list[str] = ANCHORS, chain: int = CHAIN, r
 
     The text becomes ' word word ...' with anchors marked by a leading '|' (a hash lookup a word); a pattern
     with a look-ahead then finds the chains, also those that overlap, in one pass."""
-    flat = F.concat(F.lit(" "), F.ltrim(F.concat(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "), F.lit(" "))))
+    flat = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
     marked = F.array_join(F.transform(F.split(flat, " "), lambda w: F.when(w.isin(sorted(set(anchors))), F.concat(F.lit("|"), w)).otherwise(w)), " ")
     skip = rf"(?:\|[^ ]+ ){{0,{reach}}}"
     spot = rf"(?=(\|[^ ]+ (?:{skip}[^ |]+ ){{{chain}}}))\|"
