@@ -69,9 +69,7 @@ def op7_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
         spotsigs.digest(sigs).alias("fingerprint"), spotsigs.digest(changed).alias("edited_fingerprint"),
         spotsigs.likeness(sigs, changed).alias("near_edited"), spotsigs.likeness(sigs, following).alias("near_next"), "sigs",
     )
-    rows = written(rows, "fingerprints")
-    classes, _ = spotsigs.similar_classes(rows)
-    return rows.withColumn("class_id", F.xxhash64("sigs")).drop("sigs").join(classes.withColumnRenamed("class", "class_id"), "class_id")
+    return spotsigs.with_groups(written(rows, "fingerprints"))
 
 
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,10 +5,10 @@ words skipped within `reach` words; its signature is a 64-bit hash. A text's fin
 of its signatures. A text without any spot has one signature, of all its words. Sets are compared
 by their Jaccard likeness; sets whose lengths alone keep it under a threshold are pruned.
 
-`similar_classes` joins all fingerprints: equal sets are one class; signatures are looked up rarest first, and
-only as many of them as a likeness over the threshold must share, fewer for the smaller set; classes meet in the partitions of their set length
-and the next, and a pair is compared where both lie in one partition. A signature that many classes look up is dealt over cells of
-CELL classes a side, so that no task gets all of them.
+`similar_groups` (for groups) and `similar_classes` (for all pairs) join all fingerprints: equal sets are one class; signatures
+are looked up rarest first, and only as many of them as a likeness over the threshold must share, fewer for the smaller set;
+classes meet in the partitions of their set length and the next, and a pair is compared where both lie in one partition. A
+signature that many classes look up is dealt over cells of CELL classes a side, so that no task gets all of them.
 
 Cases: a null text counts as empty; a text without words has one signature, that of no words.
 Equal texts have equal fingerprints; so have texts that differ in case or punctuation only. Each row
@@ -26,7 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import q, without, written
+from gleaner.llm.common import forget, q, written
+from gleaner.llm.components import components
 
 # Frequent function words of English, French, German and Spanish.
 ANCHORS = (
@@ -41,6 +42,7 @@ ROWS_PER_BUCKET = 4096
 MAX_BUCKETS = 1 << 16
 CELL = 1 << 10
 LEAST = 0.8
+ROUNDS = 2  # of comparing with hubs before the rest is compared
 
 
 def words(text: Column) -> Column:
@@ -114,43 +116,135 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return rows.select("doc_id", "text", "edited_text", "sigs", signatures(F.col("edited_text")).alias("edited_sigs"), "next_sigs")
 
 
-def similar_classes(prints: DataFrame, least: float = LEAST, sigs_col: str = "sigs", cell: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(classes, pairs) of a table of signature sets: class (a hash of the set) and links, how many other classes are at least
-    `least` like it; and those pairs, class_a < class_b, likeness."""
-    cell = cell or CELL
+def _set_classes(prints: DataFrame, sigs_col: str) -> DataFrame:
+    """class (a hash of the set), sigs, n of each different set."""
     classes = prints.select(F.xxhash64(sigs_col).alias("class"), F.col(sigs_col).alias("sigs")).groupBy("class").agg(F.any_value("sigs").alias("sigs"))
-    classes = written(classes.withColumn("n", F.size("sigs")), "signature-classes")
+    return written(classes.withColumn("n", F.size("sigs")), "signature-classes")
+
+
+def _prefixes(classes: DataFrame, t: float) -> DataFrame:
+    """class, n, sig, pos, seen, part, short: the signatures under which a class is looked up, rarest first, where in that
+    order they stand, how many classes have them, the partition of the set's length, and whether the smaller of two sets needs them.
+
+    The larger of two sets shares one of its n - ceil(t n) + 1 rarest signatures, the smaller one of its
+    n - ceil(2 t / (1 + t) n) + 1; those of one class only come first and find nothing."""
     spread = classes.select("class", "n", F.explode("sigs").alias("sig"))
-    seen = spread.groupBy("sig").agg(F.count("*").alias("seen")).filter("seen > 1")
-    ranked = spread.join(written(seen, "shared-signatures"), "sig").groupBy("class", "n").agg(F.array_sort(F.collect_list(F.struct("seen", "sig"))).alias("order"))
-    # a hair less than `least`, as n times it is rounded. The larger of two sets shares one of its n - ceil(least n) + 1
-    # rarest signatures, the smaller one of its n - ceil(2 least / (1 + least) n) + 1; those of one class only come first and find nothing
-    t = least - 1e-9
+    seen = written(spread.groupBy("sig").agg(F.count("*").alias("seen")).filter("seen > 1"), "shared-signatures")
+    ranked = spread.join(seen, "sig").groupBy("class", "n").agg(F.array_sort(F.collect_list(F.struct("seen", "sig"))).alias("order"))
     alone = F.col("n") - F.size("order")
     prefix = F.transform(F.slice("order", F.lit(1), F.greatest(F.size("order") - F.ceil(F.col("n") * t).cast("int") + 1, F.lit(0))), lambda s, k: F.struct(s["seen"].alias("seen"), s["sig"].alias("sig"), (alone + k).alias("pos")))
     prefix = ranked.select("class", "n", F.explode(prefix).alias("s"))
     part = F.floor(F.log(F.col("n").cast("double")) / F.lit(-math.log(t))).cast("int")
-    prefix = written(prefix.select("class", "n", "s.sig", "s.pos", F.ceil(F.col("s.seen") / cell).cast("int").alias("chunks"), part.alias("part")), "prefixes")
+    short = F.col("s.pos") <= F.col("n") - F.ceil(F.col("n") * (2 * t / (1 + t)))
+    out = written(prefix.select("class", "n", "s.sig", "s.pos", "s.seen", part.alias("part"), short.alias("short")), "prefixes")
+    forget(seen)
+    return out
+
+
+def _may_be_close(t: float) -> Column:
+    """Whether, by lengths and by what is left of both behind a shared signature, sets a and b can be alike."""
+    near = F.least("n_a", "n_b") >= F.lit(t) * F.greatest("n_a", "n_b")
+    return near & (F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) >= F.lit(t / (1 + t)) * (F.col("n_a") + F.col("n_b")))
+
+
+def _alike(pairs: DataFrame, classes: DataFrame, least: float, label: str) -> DataFrame:
+    """class_a, class_b, likeness of those pairs whose sets are at least so alike."""
+    sets = classes.select("class", "sigs")
+    pairs = pairs.join(sets.toDF("class_a", "a"), "class_a").join(sets.toDF("class_b", "b"), "class_b")
+    pairs = pairs.withColumn("likeness", likeness(F.col("a"), F.col("b"), least - 1e-9)).filter(F.col("likeness") >= least - 1e-12)
+    return written(pairs.select("class_a", "class_b", "likeness"), label)
+
+
+def similar_classes(prints: DataFrame, least: float = LEAST, sigs_col: str = "sigs", cell: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(classes, pairs) of a table of signature sets: class (a hash of the set) and links, how many other classes are at least
+    `least` like it; and all those pairs, class_a < class_b, likeness. As many pairs as there are: of a large group of near
+    copies the square of its size. `similar_groups` joins such groups without their pairs."""
+    cell = cell or CELL
+    classes = _set_classes(prints, sigs_col)
+    t = least - 1e-9  # a hair less than `least`, as n times it is rounded
+    prefix = _prefixes(classes, t).withColumn("chunks", F.ceil(F.col("seen") / cell).cast("int"))
     own = F.pmod(F.xxhash64("class"), F.col("chunks")).cast("int")
-    left = prefix.filter(F.col("pos") <= F.col("n") - F.ceil(F.col("n") * (2 * t / (1 + t))))
-    left = left.select(F.col("class").alias("class_a"), F.col("n").alias("n_a"), F.col("pos").alias("pos_a"), "sig", "part", own.alias("i"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("j"))
+    left = prefix.filter("short").select(F.col("class").alias("class_a"), F.col("n").alias("n_a"), F.col("pos").alias("pos_a"), "sig", "part", own.alias("i"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("j"))
     right = prefix.select(F.col("class").alias("class_b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"), "sig", "part", "chunks", own.alias("j"))
     right = right.select("class_b", "n_b", "pos_b", "sig", "j", "chunks", F.explode(F.array(F.col("part") - 1, F.col("part"))).alias("part"))
     right = right.select("class_b", "n_b", "pos_b", "sig", "j", "part", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("i"))
     order = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("class_a") < F.col("class_b")))
-    # behind the first signature that two sets share, enough must be left of both
-    left_over = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) >= F.lit(t / (1 + t)) * (F.col("n_a") + F.col("n_b"))
-    close = order & (F.col("n_a") >= F.lit(t) * F.col("n_b")) & left_over
-    pairs = left.join(right, ["sig", "part", "i", "j"]).filter(close)
+    pairs = left.join(right, ["sig", "part", "i", "j"]).filter(order & _may_be_close(t))
     pairs = written(pairs.select(F.least("class_a", "class_b").alias("class_a"), F.greatest("class_a", "class_b").alias("class_b")).distinct(), "signature-pairs")
-    sets = classes.select("class", "sigs")
-    pairs = pairs.join(sets.toDF("class_a", "a"), "class_a").join(sets.toDF("class_b", "b"), "class_b")
-    pairs = pairs.withColumn("likeness", likeness(F.col("a"), F.col("b"), least - 1e-9)).filter(F.col("likeness") >= least - 1e-12).select("class_a", "class_b", "likeness")
-    pairs = written(pairs, "similar-classes")
+    pairs = _alike(pairs, classes, least, "similar-classes")
     ends = pairs.select(F.col("class_a").alias("class")).union(pairs.select("class_b")).groupBy("class").agg(F.count("*").alias("links"))
     return classes.select("class").join(ends, "class", "left").withColumn("links", F.coalesce("links", F.lit(0))), pairs
 
 
+def similar_groups(prints: DataFrame, least: float = LEAST, sigs_col: str = "sigs", cell: int | None = None) -> DataFrame:
+    """(class, label) of every class that is at least `least` like another: label is the smallest class that it reaches over
+    such links. The groups are those of all pairs of `similar_classes`, but pairs within a group are not all made.
+
+    A bucket is a looked-up signature in a partition of set lengths; it holds the sets of that partition and the next. ROUNDS
+    times, each class is compared with the class it meets most often as hub of its buckets; the hub is of the group that has
+    most rows there. At last, in buckets that still hold several groups, all rows outside the largest group are compared
+    with all rows of other groups, in cells of at most `cell` rows a side."""
+    cell = cell or CELL
+    classes = _set_classes(prints, sigs_col)
+    t = least - 1e-9
+    prefix = _prefixes(classes, t)
+    at = prefix.select("class", "n", "sig", "pos", "short", F.col("part").alias("of"), F.explode(F.array(F.col("part") - 1, F.col("part"))).alias("part"))
+    at = at.select(F.xxhash64("sig", "part").alias("key"), "class", "n", "pos", (F.col("short") & (F.col("of") == F.col("part"))).alias("small"))
+    shared = written(at.groupBy("key").agg(F.count("*").alias("rows"), F.max("small").alias("any")).filter("rows > 1 and any").select("key"), "signature-buckets")
+    at = written(at.join(shared, "key"), "bucket-rows")
+    forget(prefix, shared)
+    row = F.struct("class", "n", "pos", "small")
+    first = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("class_a") < F.col("class_b")))
+    close = F.when(first, F.col("small_a")).otherwise(F.col("small_b")) & _may_be_close(t)
+    pair = (F.least("class_a", "class_b").alias("class_a"), F.greatest("class_a", "class_b").alias("class_b"))
+    links, tried, label = None, None, None
+    for last in [False] * ROUNDS + [True]:
+        now = at.withColumn("label", F.col("class")) if label is None else at.join(label, "class", "left").withColumn("label", F.coalesce("label", "class"))
+        now = written(now, "labelled-rows")
+        groups = now.groupBy("key", "label").agg(F.count("*").alias("rows"), F.max(row).alias("hub"))
+        hubs = groups.groupBy("key").agg(F.max(F.struct("rows", "label", "hub")).alias("top"), F.sum("rows").alias("all"), F.count("*").alias("groups")).filter("groups > 1")
+        hubs = written(hubs.select("key", "all", F.col("top.rows").alias("most"), F.col("top.label").alias("top"), "top.hub"), "hubs")
+        if last:
+            pairs = _other_groups(now, hubs, cell).filter(close).select(*pair).distinct()
+        else:
+            met = now.join(hubs, "key").filter("label <> top")
+            met = met.select(*(F.col(c).alias(f"{c}_a") for c in ("class", "n", "pos", "small")), *(F.col(f"hub.{c}").alias(f"{c}_b") for c in ("class", "n", "pos", "small")))
+            met = met.filter(close).groupBy("class_a", "class_b").agg(F.count("*").alias("times"))
+            met = met.groupBy("class_a").agg(F.max(F.struct("times", "class_b")).alias("m")).select("class_a", F.col("m.class_b").alias("class_b"))
+            pairs = met.select(*pair).distinct()
+        pairs = written(pairs if tried is None else pairs.join(tried, ["class_a", "class_b"], "left_anti"), "signature-pairs")
+        found = _alike(pairs, classes, least, "similar-classes")
+        forget(now, hubs)
+        links, tried = (found, pairs) if links is None else (links.union(found), tried.union(pairs))
+        if label is None or found.limit(1).count():
+            label = written(components(links.select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))).toDF("class", "label"), "group-labels")
+    forget(at, classes)
+    return label
+
+
+def _other_groups(now: DataFrame, hubs: DataFrame, cell: int) -> DataFrame:
+    """The rows of a bucket outside its largest group, each with every row of another group."""
+    open_ = now.join(hubs.select("key", "all", "most", "top"), "key")
+    open_ = written(open_.withColumns({"is": F.ceil((F.col("all") - F.col("most")) / cell).cast("int"), "js": F.ceil(F.col("all") / cell).cast("int")}), "open-buckets")
+    over = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    deal = lambda c: F.pmod(F.xxhash64("class"), F.col(c)).cast("int")
+    side = lambda s: [F.col(c).alias(f"{c}_{s}") for c in ("class", "n", "pos", "small", "label")]
+    left = open_.filter("label <> top").select("key", *side("a"), deal("is").alias("i"), over("js").alias("j"))
+    right = open_.select("key", *side("b"), deal("js").alias("j"), over("is").alias("i"))
+    return left.join(right, ["key", "i", "j"]).filter("label_a <> label_b")
+
+
+def with_groups(rows: DataFrame, least: float = LEAST, id_col: str = "doc_id", sigs_col: str = "sigs") -> DataFrame:
+    """rows less the signatures, with class_id (a hash of them) and group_id: the smallest id that a row reaches over links of
+    at least `least`, its own included; null in a group without ids."""
+    label = similar_groups(rows, least, sigs_col).withColumnRenamed("class", "class_id")
+    rows = rows.withColumn("class_id", F.xxhash64(sigs_col)).drop(sigs_col)
+    of = rows.groupBy("class_id").agg(F.min(q(id_col)).alias("first")).join(label, "class_id", "left")
+    of = written(of.withColumn("label", F.coalesce("label", "class_id")), "class-labels")
+    keep = written(of.groupBy("label").agg(F.min("first").alias("group_id")), "group-ids")
+    return rows.join(written(of.join(keep, "label").select("class_id", "group_id"), "class-groups"), "class_id")
+
+
 def similar_pairs(docs: DataFrame, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(members, pairs): doc_id and class of every row, and the pairs of classes whose likeness is at least `least`:
     class_a < class_b, likeness. A class is all rows of equal signatures, named by a hash of them."""

@@ -73,11 +73,40 @@ def test_query_matches_brute_force(spark, tmp_path, monkeypatch, per):
     for r in got:
         by.setdefault(r.doc_id, r.fingerprint)
     assert by[1000] == by[1001] != by[1004]
+    assert groups_of(rows, 0.8) == sorted(((r.doc_id, r.group_id) for r in got), key=repr)
+
+
+def groups_of(rows, least):
+    """(id, smallest id reachable over sets at least so alike) of every row."""
     spots = {}
     for i, x in rows:
         spots.setdefault(frozenset(plain_spots(x)), []).append(i)
-    links = {s: sum(jaccard(s, o) >= 0.8 for o in spots if o != s) for s in spots}
-    assert sorted((-1 if r.doc_id is None else r.doc_id, r.links) for r in got) == sorted((i if i is not None else -1, links[s]) for s, ids in spots.items() for i in ids)
+    group = {s: {s} for s in spots}
+    for s, o in combinations(spots, 2):
+        if group[s] is not group[o] and jaccard(s, o) >= least:
+            group[s] |= group[o]
+            for x in group[o]:
+                group[x] = group[s]
+    first = lambda g: min((i for s in g for i in spots[s] if i is not None), default=None)
+    return sorted(((i, first(group[s])) for s, ids in spots.items() for i in ids), key=repr)
+
+
+@pytest.mark.parametrize(("least", "cell", "rounds"), [(0.8, 1 << 10, 2), (0.7, 3, 0), (0.6, 3, 1), (0.55, 1, 2)])
+def test_groups_match_brute_force(spark, monkeypatch, least, cell, rounds):
+    monkeypatch.setattr(spotsigs, "CELL", cell)
+    monkeypatch.setattr(spotsigs, "ROUNDS", rounds)
+    rng, rows = random.Random(4), corpus(100, 3) + [(9000, None), (9001, "one two"), (9001, "One, two!")]
+    base = ["the", "of"] * 40 + [f"b{k}" for k in range(160)]
+    rng.shuffle(base)
+    for k in range(60):  # one base, independent edits: copies are less like each other than like the base
+        w = list(base)
+        for at in rng.sample(range(len(w)), 1 + k % 12):
+            w[at] = f"e{k}"
+        rows.append((5000 + k, " ".join(w)))
+    sigs = docs(spark, rows).select("doc_id", spotsigs.signatures(F.col("text")).alias("sigs"))
+    got = sorted(((r.doc_id, r.group_id) for r in spotsigs.with_groups(sigs, least).collect()), key=repr)
+    want = groups_of(rows, least)
+    assert got == want and len({g for _, g in want}) < len({i for i, _ in want})
 
 
 def test_pairs_match_brute_force(spark):
