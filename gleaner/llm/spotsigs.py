@@ -43,6 +43,8 @@ MAX_BUCKETS = 1 << 16
 CELL = 1 << 10
 LEAST = 0.8
 ROUNDS = 2  # of comparing with hubs before the rest is compared
+FAN = 16
+TRIES = 4
 
 
 def words(text: Column) -> Column:
@@ -181,8 +183,8 @@ def similar_groups(prints: DataFrame, least: float = LEAST, sigs_col: str = "sig
     such links. The groups are those of all pairs of `similar_classes`, but pairs within a group are not all made.
 
     A bucket is a looked-up signature in a partition of set lengths; it holds the sets of that partition and the next. ROUNDS
-    times, each class is compared with the class it meets most often as hub of its buckets; the hub is of the group that has
-    most rows there. At last, in buckets that still hold several groups, all rows outside the largest group are compared
+    times, buckets fall into parts of about FAN rows, and each class is compared with the TRIES classes that it meets most often
+    as hubs of its parts; a hub is of the group that has most rows there. At last, in buckets that still hold several groups, all rows outside the largest group are compared
     with all rows of other groups, in cells of at most `cell` rows a side."""
     cell = cell or CELL
     classes = _set_classes(prints, sigs_col)
@@ -190,7 +192,7 @@ def similar_groups(prints: DataFrame, least: float = LEAST, sigs_col: str = "sig
     prefix = _prefixes(classes, t)
     at = prefix.select("class", "n", "sig", "pos", "short", F.col("part").alias("of"), F.explode(F.array(F.col("part") - 1, F.col("part"))).alias("part"))
     at = at.select(F.xxhash64("sig", "part").alias("key"), "class", "n", "pos", (F.col("short") & (F.col("of") == F.col("part"))).alias("small"))
-    shared = written(at.groupBy("key").agg(F.count("*").alias("rows"), F.max("small").alias("any")).filter("rows > 1 and any").select("key"), "signature-buckets")
+    shared = written(at.groupBy("key").agg(F.count("*").alias("rows"), F.max("small").alias("any")).filter("rows > 1 and any").select("key", "rows"), "signature-buckets")
     at = written(at.join(shared, "key"), "bucket-rows")
     forget(prefix, shared)
     row = F.struct("class", "n", "pos", "small")
@@ -198,9 +200,12 @@ def similar_groups(prints: DataFrame, least: float = LEAST, sigs_col: str = "sig
     close = F.when(first, F.col("small_a")).otherwise(F.col("small_b")) & _may_be_close(t)
     pair = (F.least("class_a", "class_b").alias("class_a"), F.greatest("class_a", "class_b").alias("class_b"))
     links, tried, label = None, None, None
-    for last in [False] * ROUNDS + [True]:
+    for no in range(ROUNDS + 1):
+        last = no == ROUNDS
         now = at.withColumn("label", F.col("class")) if label is None else at.join(label, "class", "left").withColumn("label", F.coalesce("label", "class"))
-        now = written(now, "labelled-rows")
+        if not last:  # a bucket falls into parts of about FAN rows, others each time
+            now = now.withColumn("key", F.xxhash64("key", F.pmod(F.xxhash64("class", F.lit(no)), F.ceil(F.col("rows") / FAN))))
+        now = written(now.drop("rows"), "labelled-rows")
         groups = now.groupBy("key", "label").agg(F.count("*").alias("rows"), F.max(row).alias("hub"))
         hubs = groups.groupBy("key").agg(F.max(F.struct("rows", "label", "hub")).alias("top"), F.sum("rows").alias("all"), F.count("*").alias("groups")).filter("groups > 1")
         hubs = written(hubs.select("key", "all", F.col("top.rows").alias("most"), F.col("top.label").alias("top"), "top.hub"), "hubs")
@@ -209,8 +214,9 @@ def similar_groups(prints: DataFrame, least: float = LEAST, sigs_col: str = "sig
         else:
             met = now.join(hubs, "key").filter("label <> top")
             met = met.select(*(F.col(c).alias(f"{c}_a") for c in ("class", "n", "pos", "small")), *(F.col(f"hub.{c}").alias(f"{c}_b") for c in ("class", "n", "pos", "small")))
-            met = met.filter(close).groupBy("class_a", "class_b").agg(F.count("*").alias("times"))
-            met = met.groupBy("class_a").agg(F.max(F.struct("times", "class_b")).alias("m")).select("class_a", F.col("m.class_b").alias("class_b"))
+            met = met.filter(F.least("n_a", "n_b") >= F.lit(t) * F.greatest("n_a", "n_b")).groupBy("class_a", "class_b").agg(F.count("*").alias("times"))
+            met = met.groupBy("class_a").agg(F.slice(F.sort_array(F.collect_list(F.struct("times", "class_b")), False), 1, TRIES).alias("m"))
+            met = met.select("class_a", F.explode("m.class_b").alias("class_b"))
             pairs = met.select(*pair).distinct()
         pairs = written(pairs if tried is None else pairs.join(tried, ["class_a", "class_b"], "left_anti"), "signature-pairs")
         found = _alike(pairs, classes, least, "similar-classes")
