@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import html_main, langid, licenses, line_dedup, mixing, packing, passages, simhash, spotsigs, topk
+from gleaner.llm import divergence, html_main, langid, licenses, line_dedup, mixing, packing, passages, ranked, simhash, spotsigs, topk
 from gleaner.llm.common import written
 
 
@@ -77,6 +77,62 @@ def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(vectors, F.col("vec_id") % 20 == 0)
 
 
+def op11_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = ranked.search(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    return out.select("item_id", "rank", "doc_id", "score")
+
+
+RANKED_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents
+), docs AS (SELECT *, len(words)::BIGINT AS n FROM d WHERE len(words) > 0
+), totals AS (SELECT count(*)::BIGINT AS big_n, sum(n)::BIGINT AS big_l FROM docs
+), postings AS (SELECT row, id, n, term, count(*)::BIGINT AS tf FROM (SELECT row, id, n, unnest(words) AS term FROM docs) GROUP BY ALL
+), weights AS (SELECT term, floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM postings, totals GROUP BY term, big_n
+), uses AS (
+  SELECT DISTINCT query, item_id, unnest(words) AS term FROM (
+    SELECT row_number() OVER () AS query, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM benchmark)
+), scored AS (
+  SELECT query, item_id, row, id AS doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * big_n) // big_l))))::BIGINT AS score
+  FROM uses JOIN weights USING (term) JOIN postings USING (term), totals GROUP BY ALL
+)
+SELECT item_id, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id, row)::INT AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 50
+"""
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
+DIVERGENCE_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents
+), groups AS (SELECT DISTINCT lang, source FROM d
+), tokens AS (SELECT row, lang, source, unnest(words) AS term FROM d
+), kept AS (SELECT lang, term, count(*)::BIGINT AS total FROM tokens GROUP BY ALL HAVING count(DISTINCT row) >= 3
+), langs AS (SELECT lang, count(*)::BIGINT AS v, sum(total)::BIGINT AS n FROM kept GROUP BY lang
+), counts AS (SELECT lang, source, term, count(*)::BIGINT AS c FROM tokens SEMI JOIN kept USING (lang, term) GROUP BY ALL
+), sums AS (SELECT g.lang, g.source, coalesce(sum(c), 0)::BIGINT AS n FROM groups g LEFT JOIN counts USING (lang, source) GROUP BY ALL
+), shares AS (
+  SELECT s.lang, s.source, k.term, coalesce(c.c, 0) AS c, 1 + (1000000000 * (coalesce(c.c, 0) + 1)) // (s.n + l.v) AS p,
+         1 + (1000000000 * (k.total + 1)) // (l.n + l.v) AS q
+  FROM sums s JOIN kept k USING (lang) JOIN langs l USING (lang) LEFT JOIN counts c ON (c.lang, c.source, c.term) = (s.lang, s.source, k.term)
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p)::BIGINT AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(p.value, 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs p ON (p.lang, p.source, p.item) = (a.lang, a.source, b.source)
+  UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // q)::BIGINT FROM shares WHERE c > 0 AND p > q
+)
+SELECT lang, source, part, item, value, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank
+FROM found QUALIFY part = 'pair' OR rank <= 200
+"""
+
 TOPK_SQL = """
 WITH v AS (
   SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
@@ -119,6 +175,8 @@ QUERIES = {
     "op8_topk": op8_topk,
     "op9_licenses": op9_licenses,
     "op10_line_dedup": op10_line_dedup,
+    "op11_ranked": op11_ranked,
+    "op12_divergence": op12_divergence,
 }
 
 ORACLES = {
@@ -126,4 +184,6 @@ ORACLES = {
     "op9_licenses": licenses.scan_sql(),
     "op8_topk": TOPK_SQL,
     "op10_line_dedup": LINE_DEDUP_SQL,
+    "op11_ranked": RANKED_SQL,
+    "op12_divergence": DIVERGENCE_SQL,
 }
