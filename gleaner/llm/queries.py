@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import divergence, html_main, langid, licenses, line_dedup, mixing, packing, passages, ranked, simhash, spotsigs, topk
+from gleaner.llm import divergence, html_main, langid, licenses, line_dedup, mixing, packing, passages, ranked, simhash, spotsigs, stock_packing, topk
 from gleaner.llm.common import written
 
 
@@ -133,6 +133,10 @@ SELECT lang, source, part, item, value, row_number() OVER (PARTITION BY lang, so
 FROM found QUALIFY part = 'pair' OR rank <= 200
 """
 
+def op13_stock_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stock_packing.pack(_table(spark, sf_dir, "documents").select("doc_id", "text"), **tokenizer_files())
+
+
 TOPK_SQL = """
 WITH v AS (
   SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
@@ -177,6 +181,7 @@ QUERIES = {
     "op10_line_dedup": op10_line_dedup,
     "op11_ranked": op11_ranked,
     "op12_divergence": op12_divergence,
+    "op13_stock_packing": op13_stock_packing,
 }
 
 ORACLES = {
