@@ -1,10 +1,10 @@
-"""One pass over a page's HTML in an Arrow UDF: title, text, links, date, attribution, structure, controls."""
+"""One pass over a page's HTML in an Arrow UDF: title, text, links, date, attribution, structure."""
 
 from __future__ import annotations
 
 import html
 import json
-import re
+from collections import Counter
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
@@ -22,9 +22,22 @@ DATE_KEYS = {"article:published_time", "date", "datecreated", "datepublished", "
 ORIGIN_KEYS = {"original-source", "syndication-source"}
 APP_ROOTS = {"__next", "__nuxt", "app", "app-root", "application", "root"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-MORE = re.compile(r"(load|show|read) more(?:\s|$)", re.I)
-MAX_LINKS, MAX_CONTROLS, MAX_LABEL, MAX_SELECTOR = 500, 30, 120, 300
+UNSEEN = {"script", "style", "svg", "template"}  # whose text no reader sees; that of noscript is told apart
+MAX_LINKS = 500
 
+# What a start tag tells of the date and of the origin of a page.
+DATED = [
+    lambda tag, a: (a["content"], f"html_meta:{key}") if tag == "meta" and (key := _meta_key(a)) in DATE_KEYS and a.get("content") else None,
+    lambda tag, a: (a["datetime"], "html_time") if tag == "time" and a.get("datetime") else None,
+]
+ORIGINS = [
+    lambda tag, a: a.get("href", "") if tag == "link" and "canonical" in a.get("rel", "").lower().split() else None,
+    lambda tag, a: a.get("content", "") if tag == "meta" and a.get("name", "").lower() in ORIGIN_KEYS else None,
+]
+
+
+def _meta_key(a: dict) -> str:
+    return (a.get("property") or a.get("name") or a.get("itemprop") or "").casefold()
 
 
 def _strings(*names: str) -> list[T.StructField]:
@@ -37,66 +50,53 @@ SCHEMA = T.StructType(
         T.StructField("links", T.ArrayType(T.StringType())),
         *_strings("published_at", "published_at_source", "attribution"),
         T.StructField("probe", T.StructType([T.StructField("script_count", T.IntegerType()), T.StructField("app_root_seen", T.BooleanType()), *_strings("app_root_text", "noscript_text", "body_text")])),
-        T.StructField("controls", T.ArrayType(T.StructType(_strings("kind", "selector", "label")))),
     ]
 )
 
 
 class _Reader(HTMLParser):
+    """How many of each kind of element are open is counted, so that depth costs nothing."""
+
     def __init__(self, url: str):
         super().__init__(convert_charrefs=True)
-        self.url, self.base, self.hidden = url, None, 0
+        self.url, self.base = url, None
         self.out, self.title, self.links, self.dates, self.origin = [], [], [], [], None
         self.scripts, self.root_seen, self.root, self.noscript, self.body = 0, False, [], [], []
-        self.open: list[tuple[str, bool, str]] = []  # tag, whether an app root, path
-        self.count: list[dict[str, int]] = [{}]
-        self.json_ld, self.controls, self.inside = None, [], []
+        self.stack: list[tuple[str, bool]] = []  # tag, whether an app root
+        self.within: Counter = Counter()  # of each open tag; under "" the app roots
+        self.json_ld = None
 
-    def _inside(self, *tags: str) -> bool:
-        return any(t in tags for t, _, _ in self.open)
+    def _any(self, tags) -> bool:
+        return any(self.within[t] for t in tags)
 
     def handle_starttag(self, tag, attrs):
         a = {k: v or "" for k, v in attrs}
-        here = self.count[-1]
-        here[tag] = here.get(tag, 0) + 1
-        path = (self.open[-1][2] + " > " if self.open else "") + f"{tag}:nth-of-type({here[tag]})"
         if tag == "base" and self.base is None and a.get("href"):
             self.base = _joined(self.url, a["href"])
         if tag == "a" and a.get("href"):
             self.links.append(a["href"])
-        if tag == "meta":
-            key = (a.get("property") or a.get("name") or a.get("itemprop") or "").casefold()
-            if key in DATE_KEYS and a.get("content"):
-                self.dates.append((a["content"], f"html_meta:{key}"))
-            if a.get("name", "").lower() in ORIGIN_KEYS:
-                self.origin = a.get("content", "")
-        if tag == "time" and a.get("datetime"):
-            self.dates.append((a["datetime"], "html_time"))
-        if tag == "link" and "canonical" in a.get("rel", "").lower().split():
-            self.origin = a.get("href", "")
+        for found in (value for rule in DATED + ORIGINS if (value := rule(tag, a)) is not None):
+            if isinstance(found, tuple):
+                self.dates.append(found)
+            else:
+                self.origin = found
         if tag == "script":
             self.scripts += 1
             if a.get("type", "").casefold() == "application/ld+json":
                 self.json_ld = []
-        kind = "expand" if tag == "details" else "tab" if a.get("role") == "tab" and tag != "a" else "load_more" if tag == "button" else None
-        if kind and not self._inside("form"):
-            self.controls.append([kind, path, []])
-            self.inside.append((len(self.open), self.controls[-1][2]))
         if tag in BREAKING:
             self.out.append("\n")
-        if tag in VOID:
-            return
-        if tag in BLOCKED:
-            self.hidden += 1
         root = a.get("id", "").strip().lower() in APP_ROOTS or "data-reactroot" in a or "data-react-root" in a
         self.root_seen = self.root_seen or root
-        self.open.append((tag, root, path))
-        self.count.append({})
+        if tag in VOID and not root:
+            return
+        self.stack.append((tag, root))
+        self.within[tag] += 1
+        self.within[""] += root
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
-        if tag not in VOID:
-            self.handle_endtag(tag)
+        self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
         if tag in BREAKING and tag != "br":
@@ -107,47 +107,36 @@ class _Reader(HTMLParser):
             except (ValueError, RecursionError):
                 pass
             self.json_ld = None
-        if not any(t == tag for t, _, _ in self.open):
-            return
-        while self.open:
-            top, _, _ = self.open.pop()
-            self.count.pop()
-            if top in BLOCKED:
-                self.hidden -= 1
-            while self.inside and self.inside[-1][0] >= len(self.open):
-                self.inside.pop()
+        while self.within[tag]:
+            top, root = self.stack.pop()
+            self.within[top] -= 1
+            self.within[""] -= root
             if top == tag:
                 break
 
     def handle_data(self, data):
         if self.json_ld is not None:
             self.json_ld.append(data)
-        if self._inside("noscript"):
+        if self.within["noscript"]:
             self.noscript.append(data)
-        if self.hidden:
+        if not self._any(UNSEEN):
+            if self.within[""]:
+                self.root.append(data)
+            if self.within["body"] and not self.within["noscript"]:
+                self.body.append(data)
+        if self._any(BLOCKED):
             return
         text = html.unescape(data)  # a second time: kept, as a page may be escaped twice
         self.out.append(text)
-        if self._inside("title"):
+        if self.within["title"]:
             self.title.append(text)
-        elif not self._inside("head"):
-            self.body.append(text)
-        if any(root for _, root, _ in self.open):
-            self.root.append(text)
-        for _, label in self.inside:
-            label.append(text)
 
     def result(self) -> dict:
         base = self.base or self.url
         links = [link for href in self.links if (link := _joined(base, href) or "").startswith(("http://", "https://"))]
         published = next(((d, s) for v, s in self.dates if (d := _published(v))), (None, None))
-        origin = _joined(self.url, self.origin) if self.origin else None
+        origin = None if self.origin is None else _joined(self.url, self.origin)
         lines = (" ".join(x.split()) for x in "".join(self.out).splitlines())
-        controls = []
-        for kind, path, label in self.controls:
-            label = " ".join(" ".join(label).split())[:MAX_LABEL]
-            if len(path) <= MAX_SELECTOR and (kind != "load_more" or MORE.match(label)):
-                controls.append({"kind": kind, "selector": path, "label": label})
         return {
             "title": " ".join(" ".join(self.title).split()),
             "text": "\n\n".join(x for x in lines if x),
@@ -155,8 +144,7 @@ class _Reader(HTMLParser):
             "published_at": published[0],
             "published_at_source": published[1],
             "attribution": origin if origin and origin.startswith(("http://", "https://")) else None,
-            "probe": {"script_count": self.scripts, "app_root_seen": self.root_seen, "app_root_text": "".join(self.root), "noscript_text": " ".join(self.noscript), "body_text": "".join(self.body)},
-            "controls": controls[:MAX_CONTROLS],
+            "probe": {"script_count": self.scripts, "app_root_seen": self.root_seen, "app_root_text": " ".join(self.root), "noscript_text": " ".join(self.noscript), "body_text": " ".join(self.body)},
         }
 
 

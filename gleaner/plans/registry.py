@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions import quality, text, urls
-from gleaner.operators import cache, evaluate, focus, health, html, search
+from gleaner.operators import cache, content, evaluate, focus, health, html, search
 from gleaner.sources.captured import pretty_json
 from gleaner.sources.tables import table
 
@@ -325,6 +325,38 @@ def html_links(spark, d):
     return _documents_of_pages(spark, d).select("page_id", F.posexplode("document.links").alias("link_no", "link"))
 
 
+_PLAIN = lambda x: ("trim(regexp_replace(" + _UNESCAPE.format(f"regexp_replace({x}, '<[^>]*>', '', 'g')") + f", {s(text.SPACE)}, ' ', 'g'))")
+
+
+@query(
+    "html_main",
+    f"""WITH a AS (SELECT page_id, string_split_regex(replace(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '<h1>', '<p>' || chr(1)), '</?p>|<br>|</h1>') AS parts FROM pages),
+    b AS (SELECT page_id, list_transform(list_filter(list_transform(parts, lambda x: {_PLAIN('x')}), lambda x: x <> ''), lambda x: replace(x, chr(1), '# ')) AS blocks FROM a)
+    SELECT page_id, array_to_string(blocks, chr(10) || chr(10)) AS content, 'http+blocks' AS method, 0 AS warnings FROM b""",
+)
+def html_main(spark, d):
+    """The main content of each page as Markdown, with how it was found."""
+    rows = content.with_structure(table(spark, d, "pages")).withColumn("main", content.main_content(F.col("structure"), F.lit("")))
+    return rows.select("page_id", "main.content", "main.method", F.size("main.warnings").alias("warnings"))
+
+
+@query(
+    "html_controls",
+    f"""WITH t AS (SELECT page_id, regexp_extract_all(html, '<li><a href="[^"]*">([^<]*)</a>', 1) AS tabs, regexp_extract(html, '<footer>([^<]*)</footer>', 1) AS foot FROM pages),
+    c AS (SELECT page_id, unnest(range(len(tabs))) AS control_no, 'tab' AS kind, unnest(tabs) AS label FROM t
+      UNION ALL SELECT page_id, len(tabs), 'expand', foot FROM t WHERE foot <> '')
+    SELECT page_id, control_no::INT AS control_no, kind,
+      'html:nth-of-type(1) > body:nth-of-type(1) > ' || CASE kind WHEN 'tab' THEN 'nav:nth-of-type(1) > ul:nth-of-type(1) > li:nth-of-type(' || (control_no + 1) || ')' ELSE 'details:nth-of-type(1)' END AS selector,
+      left(trim(replace(replace({_UNESCAPE.format('label')}, '&copy;', chr(169)), '&middot;', chr(183))), 120) AS label
+    FROM c""",
+)
+def html_controls(spark, d):
+    """Controls and their paths where list items and the footer are controls, and end tags are left out."""
+    source = F.replace(F.replace(F.replace("html", F.lit("<li>"), F.lit('<li role="tab">')), F.lit("</li>"), F.lit("")), F.lit("<footer>"), F.lit("<details>"))
+    rows = content.with_structure(table(spark, d, "pages").withColumn("html", source))
+    return rows.select("page_id", F.posexplode("structure.controls").alias("control_no", "c")).select("page_id", "control_no", "c.kind", "c.selector", "c.label")
+
+
 @query("html_text")
 def html_text(spark, d):
     return _documents_of_pages(spark, d).select("page_id", "document.text", "document.published_at", "document.published_at_source", "document.attribution")
@@ -335,7 +367,7 @@ def html_quality(spark, d):
     """Whether a page needs rendering, and its diagnostics."""
     doc = F.col("document")
     rows = _documents_of_pages(spark, d).withColumn("q", quality.html_quality(doc["probe"], doc["title"], doc["text"], pick(STATUSES, F.col("page_id"), "int")))
-    return rows.select("page_id", "q.browser_reasons", "q.diagnostics", F.size("document.controls").alias("controls"))
+    return rows.select("page_id", "q.browser_reasons", "q.diagnostics")
 
 
 # --- Rules -----------------------------------------------------------------------------------------

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gleaner.functions.quality import failure_delay
-from gleaner.operators import cache, evaluate, focus, health, html, search
+from gleaner.operators import cache, content, evaluate, focus, health, html, search
 from gleaner.sources import captured
 from gleaner.streaming import state
 
@@ -20,7 +20,8 @@ def test_html_in_one_pass():
     assert got["title"] == "A & b" and got["links"] == ["http://host.example/docs/x.html#c", "http://other.example/r"]
     assert (got["published_at"], got["published_at_source"], got["attribution"]) == ("2024-05", "json_ld:datePublished", "http://host.example/orig")
     assert got["probe"]["app_root_seen"] and not got["probe"]["app_root_text"] and got["probe"]["script_count"] == 2
-    assert [(c["kind"], c["label"]) for c in got["controls"]] == [("expand", "More"), ("load_more", "Load more items")]
+    controls = content.read_structure(PAGE, "http://host.example/a/b.html")["controls"]
+    assert [(c["kind"], c["label"]) for c in controls] == [("expand", "More"), ("load_more", "Load more items")]
     assert "three" in got["text"] and "x()" not in got["text"]
     assert html.read_page("", "") == html.read_page(None, None)
 
