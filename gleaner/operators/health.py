@@ -34,32 +34,37 @@ def transitions(log: DataFrame, key: str = "engine", at: str = "at", id_col: str
     first_echo = F.first(F.when(F.col("failed"), F.col("__echo")), ignorenulls=True).over(inside)
     count = F.sum((F.col("failed") & ~F.col("__echo")).cast("int")).over(inside) + F.coalesce(first_echo, F.lit(False)).cast("int")
     rows = rows.withColumns({"consecutive_failures": F.when(F.col("failed"), count).otherwise(0), "suspension_report": echo})
-    reason = F.coalesce("reason", F.lit(""))
-    base = failure_delay(reason)
-    known = local_fault(reason) | upstream_declared_wait(reason) | (F.col("island") > 0)
-    ceiling = F.when(local_fault(reason), LOCAL_CEILING).when(known, F.greatest(base, F.lit(WEEK))).otherwise(F.least(F.greatest(base, F.lit(WEEK)), F.lit(UNVERIFIED_CEILING)))
-    delay = F.least(base * F.pow(F.lit(2), F.least(F.col("consecutive_failures") - 1, F.lit(MAX_DOUBLINGS))), ceiling).cast("double")
-    if "retry_after" in log.columns:
-        delay = F.greatest(delay, F.coalesce(F.col("retry_after").cast("double"), F.lit(0.0)))
+    delay = back_off(F.col("reason"), F.col("consecutive_failures"), F.col("island") > 0, F.col("retry_after") if "retry_after" in log.columns else None)
     rows = rows.withColumn("delay_seconds", F.when(F.col("failed"), delay))
     expiry = F.max(F.col(at) + F.col("delay_seconds")).over(inside)
     return rows.withColumn("expires_at", F.when(F.col("failed"), expiry).otherwise(F.lit(0.0))).drop("__ok", "__echo")
 
 
+def back_off(reason: Column, count: Column, answered: Column, retry_after: Column | None = None) -> Column:
+    """Seconds to wait after the count-th failure in a row for this reason; `answered`: the engine has ever worked."""
+    reason = F.coalesce(reason, F.lit(""))
+    base = failure_delay(reason)
+    known = local_fault(reason) | upstream_declared_wait(reason) | answered
+    ceiling = F.when(local_fault(reason), LOCAL_CEILING).when(known, F.greatest(base, F.lit(WEEK))).otherwise(F.least(F.greatest(base, F.lit(WEEK)), F.lit(UNVERIFIED_CEILING)))
+    delay = F.least(base * F.pow(F.lit(2), F.least(count - 1, F.lit(MAX_DOUBLINGS))), ceiling).cast("double")
+    return delay if retry_after is None else F.greatest(delay, F.coalesce(retry_after.cast("double"), F.lit(0.0)))
+
+
 def snapshot(states: DataFrame, as_of: Column, key: str = "engine", at: str = "at", id_col: str = "event_id", leases: DataFrame | None = None) -> DataFrame:
     """The status of each key at as_of from its transitions: untested, working, unverified, recovery_due, cooling_down, or
-    recovering while a lease (key, lease_until) runs that was granted after its last observation. Echoes of a suspension
-    are no failures of their own; they are counted apart."""
+    recovering while a lease (key, granted_at, lease_until) runs that was granted after its last observation: any
+    observation ends the leases before it. Echoes of a suspension are no failures of their own; they are counted apart."""
     seen = states.filter(F.col(at) <= as_of)
     last = seen.groupBy(key).agg(
         F.max_by(F.struct("consecutive_failures", "expires_at", "reason", "failed"), F.struct(at, id_col)).alias("s"),
         F.max(F.when(~F.col("failed"), F.col(at))).alias("last_success"), F.max(F.when(F.col("failed"), F.col(at))).alias("last_failure"),
-        F.count_if(~F.col("failed")).alias("successes"), F.count_if(F.col("failed") & ~F.col("suspension_report")).alias("failures"), F.count_if("suspension_report").alias("suspension_reports"),
+        F.max(at).alias("__seen"), F.count_if(~F.col("failed")).alias("successes"), F.count_if(F.col("failed") & ~F.col("suspension_report")).alias("failures"), F.count_if("suspension_report").alias("suspension_reports"),
     )
     if leases is None:
         last = last.withColumn("lease", F.lit(0.0))
     else:
-        held = leases.groupBy(F.col(key).alias("__k")).agg(F.max("lease_until").alias("lease"))
+        held = leases.filter(F.col("granted_at") <= as_of).select(F.col(key).alias("__k"), "granted_at", "lease_until")
+        held = last.select(key, "__seen").join(held, (F.col(key) == F.col("__k")) & (F.col("granted_at") >= F.col("__seen"))).groupBy("__k").agg(F.max("lease_until").alias("lease"))
         last = last.join(held, F.col(key) == F.col("__k"), "left").drop("__k").withColumn("lease", F.coalesce("lease", F.lit(0.0)))
     until = F.col("s.expires_at")
     status = (

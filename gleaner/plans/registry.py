@@ -10,10 +10,11 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gleaner.functions import quality, text, urls
-from gleaner.operators import cache, content, evaluate, focus, health, html, search
+from gleaner.operators import availability, cache, content, evaluate, focus, health, html, search
 from gleaner.sources.captured import pretty_json
 from gleaner.sources.tables import table
 
@@ -700,14 +701,76 @@ def health_backoff(spark, d):
 @query(
     "health_snapshot",
     f"""WITH t AS (SELECT * FROM ({_TRANSITIONS_SQL}) WHERE at_ <= {AS_OF}),
-    l AS (SELECT engine, arg_max(struct_pack(n := n, e := expires_at), struct_pack(a := at_, i := event_id)) AS z, max(at_) FILTER (NOT failed) AS ok, count(*) FILTER (failed AND NOT echo) AS failures, count(*) FILTER (echo) AS suspension_reports FROM t GROUP BY engine)
-    SELECT engine, failures, suspension_reports, z.n AS consecutive_failures, CASE WHEN engine % 7 = 0 AND engine % 2 = 0 THEN 'recovering' WHEN z.e > {AS_OF} THEN 'cooling_down' WHEN z.n > 0 THEN 'recovery_due' WHEN ok IS NULL THEN 'untested' WHEN {AS_OF} - ok <= 86400 THEN 'working' ELSE 'unverified' END AS status FROM l""",
+    g AS (SELECT user_id AS engine, epoch_us(ts) / 1e6 + 1 AS granted_at FROM events WHERE event_type = 'click'),
+    h AS (SELECT g.engine, max(granted_at) AS granted_at FROM g WHERE granted_at <= {AS_OF} AND granted_at >= (SELECT max(at_) FROM t WHERE t.engine = g.engine) GROUP BY ALL),
+    l AS (SELECT t.engine, any_value(granted_at) AS granted_at, arg_max(struct_pack(n := n, e := expires_at), struct_pack(a := at_, i := event_id)) AS z, max(at_) FILTER (NOT failed) AS ok, count(*) FILTER (failed AND NOT echo) AS failures, count(*) FILTER (echo) AS suspension_reports FROM t LEFT JOIN h ON h.engine = t.engine GROUP BY t.engine)
+    SELECT engine, failures, suspension_reports, z.n AS consecutive_failures, CASE WHEN granted_at + 259200 > {AS_OF} THEN 'recovering' WHEN z.e > {AS_OF} THEN 'cooling_down' WHEN z.n > 0 THEN 'recovery_due' WHEN ok IS NULL THEN 'untested' WHEN {AS_OF} - ok <= 86400 THEN 'working' ELSE 'unverified' END AS status FROM l""",
 )
 def health_snapshot(spark, d):
-    leases = table(spark, d, "events").filter("user_id % 7 = 0").select(F.col("user_id").alias("engine"), (F.lit(AS_OF) + F.when(F.col("user_id") % 2 == 0, 60.0).otherwise(-60.0)).alias("lease_until"))
+    granted = F.col("stored_at") + 1.0  # a lease of three days a second after each click; what is observed later voids it
+    leases = _log(spark, d).filter("event_type = 'click'").select(F.col("user_id").alias("engine"), granted.alias("granted_at"), (granted + 259200.0).alias("lease_until"))
     return health.snapshot(_transitions(spark, d), F.lit(AS_OF), leases=leases).select("engine", "failures", "suspension_reports", "consecutive_failures", "status")
 
 
+# Availability: errors are failures, purchases successes that were asked for a while before, clicks claims of six hours, views
+# give back what their user claimed last, every other one without a result; the configuration changes every ten days.
+_CONFIG_DAYS = 10 * 86400
+_AVAILABILITY_SQL = f"""(SELECT event_id, engine, at_, kind, reason, at_ - 1800 * (event_id % 5) AS started_at, floor(at_ / {_CONFIG_DAYS})::BIGINT AS config,
+    CASE WHEN kind = 'claim' THEN event_id WHEN kind IN ('release', 'inconclusive') THEN last(CASE WHEN kind = 'claim' THEN event_id END IGNORE NULLS) OVER (PARTITION BY engine ORDER BY at_, event_id ROWS UNBOUNDED PRECEDING) END AS token,
+    {delay_sql('reason')} AS base, {_terms_sql('lower(reason)', quality.LOCAL_FAULT_TERMS)} AS local, {_terms_sql('lower(reason)', quality.UPSTREAM_WAIT_TERMS)} AS declared, contains(lower(reason), 'suspended') AS echo
+  FROM (SELECT event_id, {{engine}} AS engine, epoch_us(ts) / 1e6 AS at_, {pick_sql(REASONS, 'event_id')} AS reason,
+    CASE event_type WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'succeeded' WHEN 'click' THEN 'claim' WHEN 'view' THEN CASE WHEN event_id % 2 = 0 THEN 'release' ELSE 'inconclusive' END ELSE event_type END AS kind FROM events))"""
+
+
+def _availability_log(spark, d: str, engine: Column) -> DataFrame:
+    at, kind = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6, F.col("event_type")
+    back = F.when(F.col("event_id") % 2 == 0, "release").otherwise("inconclusive")
+    kind = F.when(kind == "error", "failed").when(kind == "purchase", "succeeded").when(kind == "click", "claim").when(kind == "view", back).otherwise(kind)
+    rows = table(spark, d, "events").select("event_id", engine.alias("engine"), at.alias("at"), kind.alias("kind"), pick(REASONS, F.col("event_id")).alias("reason"))
+    rows = rows.withColumns({"started_at": F.col("at") - 1800 * (F.col("event_id") % 5), "config": F.floor(F.col("at") / _CONFIG_DAYS), "seconds": F.lit(21600.0)})
+    claimed = F.last(F.when(F.col("kind") == "claim", F.col("event_id").cast("string")), ignorenulls=True).over(W.partitionBy("engine").orderBy("at", "event_id").rowsBetween(W.unboundedPreceding, 0))
+    return rows.withColumn("token", F.when(F.col("kind").isin("claim", "release", "inconclusive"), claimed))
+
+
+@query(
+    "lease_states",
+    f"""WITH RECURSIVE n AS (SELECT *, row_number() OVER (PARTITION BY engine ORDER BY at_, event_id) AS k FROM {_AVAILABILITY_SQL.format(engine='user_id')}),
+    f AS (SELECT 0::BIGINT AS event_id, engine, 0::BIGINT AS k, config, 0 AS c, 0 AS ok, 0::DOUBLE AS expires, 0::DOUBLE AS failure, 0::DOUBLE AS until, NULL::BIGINT AS token, false AS applied FROM n WHERE k = 1
+      UNION ALL
+      SELECT event_id, engine, k, config, CASE WHEN kind = 'failed' THEN c1 WHEN kind = 'succeeded' AND good THEN 0 ELSE c0 END, CASE WHEN kind = 'succeeded' AND good THEN ok0 + 1 ELSE ok0 END,
+        CASE WHEN kind = 'failed' THEN greatest(e0, at_ + delay) WHEN kind = 'succeeded' AND good THEN 0 WHEN kind = 'inconclusive' AND good THEN greatest(e0, at_ + 120) ELSE e0 END,
+        CASE WHEN kind = 'failed' THEN at_ ELSE f0 END, CASE WHEN kind = 'claim' AND good THEN at_ + 21600 WHEN good THEN 0 ELSE u0 END, CASE WHEN kind = 'claim' AND good THEN claim WHEN good THEN NULL ELSE t0 END, good
+      FROM (SELECT *, least(base * pow(2, least(c1 - 1, 8)), CASE WHEN local THEN 1800 WHEN declared OR ok0 > 0 THEN greatest(base, 604800) ELSE least(greatest(base, 604800), 3600) END)::DOUBLE AS delay,
+          CASE kind WHEN 'failed' THEN true WHEN 'succeeded' THEN f0 <= started_at WHEN 'claim' THEN e0 <= at_ AND u0 <= at_ WHEN 'release' THEN coalesce(t0 = claim, false) WHEN 'inconclusive' THEN coalesce(t0 = claim, false) ELSE false END AS good
+        FROM (SELECT *, CASE WHEN echo THEN greatest(1, c0) ELSE c0 + 1 END AS c1
+          FROM (SELECT n.event_id, n.engine, n.k, n.config, n.kind, n.at_, n.started_at, n.token AS claim, n.base, n.local, n.declared, n.echo, CASE WHEN same THEN c ELSE 0 END AS c0, CASE WHEN same THEN ok ELSE 0 END AS ok0,
+              CASE WHEN same THEN expires ELSE 0 END AS e0, CASE WHEN same THEN failure ELSE 0 END AS f0, CASE WHEN same THEN until ELSE 0 END AS u0, CASE WHEN same THEN f.token END AS t0
+            FROM (SELECT *, f.config AS was FROM f) f JOIN n ON n.engine = f.engine AND n.k = f.k + 1, LATERAL (SELECT n.config = f.was AS same)))))
+    SELECT event_id, applied, c::BIGINT AS consecutive_failures, round(expires, 3) AS retry_at, round(until, 3) AS lease_until FROM f WHERE k > 0""",
+)
+def lease_states(spark, d):
+    """What every observation, claim and release does to its engine (a user): late successes, leases that end early or are
+    voided, rests after probes that showed nothing, and evidence that a change of configuration forgets."""
+    out = availability.leased(_availability_log(spark, d, F.col("user_id")), config="config")
+    return out.select("event_id", "lease.applied", "consecutive_failures", F.round("lease.retry_at", 3).alias("retry_at"), F.round("lease.lease_until", 3).alias("lease_until"))
+
+
+@query(
+    "health_hot_keys",
+    f"""WITH a AS (SELECT * FROM {_AVAILABILITY_SQL.format(engine='user_id % 3')} WHERE kind IN ('failed', 'succeeded')),
+    b AS (SELECT *, coalesce(max(CASE WHEN kind = 'failed' THEN at_ END) OVER (PARTITION BY engine, config ORDER BY at_, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > started_at, false) AND kind = 'succeeded' AS late FROM a),
+    c AS (SELECT *, sum((kind = 'succeeded' AND NOT late)::INT) OVER (PARTITION BY engine, config ORDER BY at_, event_id ROWS UNBOUNDED PRECEDING) AS island FROM b),
+    e AS (SELECT *, sum((kind = 'failed' AND NOT echo)::INT) OVER w + coalesce(first(CASE WHEN kind = 'failed' THEN echo::INT END IGNORE NULLS) OVER w, 0) AS n FROM c WINDOW w AS (PARTITION BY engine, config, island ORDER BY at_, event_id ROWS UNBOUNDED PRECEDING)),
+    g AS (SELECT *, CASE WHEN kind = 'failed' THEN least(base * pow(2, least(n - 1, 8)), CASE WHEN local THEN 1800 WHEN declared OR island > 0 THEN greatest(base, 604800) ELSE least(greatest(base, 604800), 3600) END)::DOUBLE END AS delay_seconds FROM e)
+    SELECT event_id, late, CASE WHEN kind = 'succeeded' AND NOT late THEN 0 ELSE n END::BIGINT AS consecutive_failures, delay_seconds,
+      round(coalesce(max(at_ + delay_seconds) OVER (PARTITION BY engine, config, island ORDER BY at_, event_id ROWS UNBOUNDED PRECEDING), 0), 3) AS expires_at FROM g""",
+)
+def health_hot_keys(spark, d):
+    """Observations of three engines that have all events between them."""
+    log = _availability_log(spark, d, F.col("user_id") % 3).filter(F.col("kind").isin("failed", "succeeded")).withColumn("failed", F.col("kind") == "failed")
+    return availability.observed(log, config="config").select("event_id", (~F.col("accepted")).alias("late"), F.col("consecutive_failures").cast("long").alias("consecutive_failures"), "delay_seconds", F.round("expires_at", 3).alias("expires_at"))
+
+
 @query(
     "engine_anti_cooling",
     f"""WITH l AS (SELECT engine, arg_max(expires_at, struct_pack(a := at_, i := event_id)) AS e FROM ({_TRANSITIONS_SQL}) WHERE at_ <= {AS_OF} GROUP BY engine)

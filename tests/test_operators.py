@@ -9,6 +9,7 @@ from gleaner.operators import cache, content, evaluate, focus, health, html, sea
 from gleaner.sources import captured
 from gleaner.streaming import state
 
+LEASES = "engine string, granted_at double, lease_until double"
 PAGE = """<html><head><title>A &amp; b</title><base href="/docs/"><link rel="canonical" href="/orig">
 <meta property="article:published_time" content="bad"><script type="application/ld+json">{"x": [{"datePublished": "2024-05"}]}</script></head>
 <body><div id="app"></div><p>One <b>two</b><br>three<noscript>Please enable JavaScript</noscript><a href="x.html#c">l</a><a href="//other.example/r">m</a><a href="mailto:q">n</a>
@@ -36,9 +37,11 @@ def test_pages_that_parsers_give_up_on():
 def test_echoes_are_no_failures_of_their_own(spark):
     log = spark.createDataFrame([(1, "e", 1.0, True, "captcha", None), (2, "e", 2.0, True, "Suspended: captcha", 1e6)], "event_id int, engine string, at double, failed boolean, reason string, retry_after double")
     states = health.transitions(log)
-    got = health.snapshot(states, F.lit(3.0), leases=spark.createDataFrame([("e", 4.0)], "engine string, lease_until double")).first()
+    got = health.snapshot(states, F.lit(3.0), leases=spark.createDataFrame([("e", 2.5, 4.0)], LEASES)).first()
     assert (got.status, got.failures, got.suspension_reports, got.consecutive_failures, got.retry_at) == ("recovering", 1, 1, 1, 1000002.0)
     assert health.snapshot(states, F.lit(3.0)).first().status == "cooling_down"
+    voided = spark.createDataFrame([("e", 0.5, 200.0), ("e", 3.5, 4.0)], LEASES)  # one before the failures, one not yet granted
+    assert health.snapshot(states, F.lit(3.0), leases=voided).first().status == "cooling_down"
 
 
 def test_claims_to_the_last_moment(spark):
