@@ -10,19 +10,39 @@ from gleaner.functions.text import SNIPPET_CAP, TITLE_CAP, first_published
 from gleaner.functions.urls import canonical_url
 
 # The shape of a captured response, and caps on its failures.
-RESPONSE = "results array<struct<url:string,title:string,content:string,engines:array<string>,engine:string,publishedDate:string,published_at:string,date:string,score:double>>"
+RESPONSE = "results array<struct<url:string,title:string,content:string,engines:variant,engine:variant,publishedDate:string,published_at:string,date:string,score:variant>>"
 MAX_FAILURES, ENGINE_CAP, REASON_CAP = 12, 64, 240
 
 
+def _kind(value: Column) -> Column:
+    return F.schema_of_variant(value)
+
+
+def _names(value: Column) -> Column:
+    """The names that a JSON value gives: a text as one, each entry of a list as text; null where it gives none and
+    another value may, as an empty text or list, zero and false do."""
+    one = F.try_variant_get(value, "$", "string")
+    text = lambda v: F.when(F.is_variant_null(v), "None").when(_kind(v) == "BOOLEAN", F.initcap(F.try_variant_get(v, "$", "string"))).otherwise(F.try_variant_get(v, "$", "string"))
+    entries = F.transform(F.try_variant_get(value, "$", "array<variant>"), text)
+    some = F.array().cast("array<string>")
+    return (
+        F.when(value.isNull() | F.is_variant_null(value), None)
+        .when(_kind(value) == "STRING", F.when(one != "", F.array(one)))
+        .when(F.startswith(_kind(value), F.lit("ARRAY")), F.when(F.size(entries) > 0, entries))
+        .when(one.isin("0", "0.0", "false", "{}"), None)
+        .otherwise(some)
+    )
+
+
 def parse_results(responses: DataFrame, key: str, body_col: str) -> DataFrame:
     """A row for each result of each JSON body: key, rank (its 1-based place, never renumbered), url, title, snippet, engines, published_at, score."""
     rows = responses.select(key, F.posexplode(F.from_json(body_col, RESPONSE)["results"]).alias("pos", "r")).filter("r.url is not null and r.url <> ''")
     rows = rows.withColumn("canonical", canonical_url(F.col("r.url"))).filter("canonical is not null")
-    engines = F.when(F.size("r.engines") > 0, F.col("r.engines")).when(F.col("r.engine") != "", F.array("r.engine")).otherwise(F.array().cast("array<string>"))
+    engines = F.coalesce(_names(F.col("r.engines")), _names(F.col("r.engine")), F.array().cast("array<string>"))
     return rows.select(
         key, (F.col("pos") + 1).alias("rank"), F.col("r.url").alias("url"), "canonical",
         F.trim(F.coalesce(F.nullif(F.col("r.title"), F.lit("")), "canonical")).alias("title"), F.trim(F.coalesce("r.content", F.lit(""))).alias("snippet"),
-        engines.alias("engines"), first_published(F.col("r.publishedDate"), F.col("r.published_at"), F.col("r.date")).alias("published_at"), F.coalesce("r.score", F.lit(0.0)).alias("score"),
+        engines.alias("engines"), first_published(F.col("r.publishedDate"), F.col("r.published_at"), F.col("r.date")).alias("published_at"), F.coalesce(F.try_variant_get("r.score", "$", "double"), F.lit(0.0)).alias("score"),
     )
 
 

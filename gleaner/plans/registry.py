@@ -833,7 +833,7 @@ def run_summary(spark, d):
 @query(
     "score_calls",
     """SELECT conv_id, count(*) AS tool_calls, count(DISTINCT CASE WHEN role <> 'system' AND length(text) % 3 > 0 THEN turn // 2 END) AS unique_read_urls,
-    count(*) - count(DISTINCT role || '/' || turn % 3) AS exact_repeat_calls, bool_and(role <> 'system' AND length(text) % 3 > 0) AS passed FROM conversations GROUP BY conv_id""",
+    count(*) - count(DISTINCT role || '/' || turn % 3) AS exact_repeat_calls FROM conversations GROUP BY conv_id""",
 )
 def score_calls(spark, d):
     t = F.col("turn")
@@ -844,6 +844,36 @@ def score_calls(spark, d):
     return evaluate.score_calls(calls, "conv_id")
 
 
+_WORDS = f"string_split(trim(regexp_replace(text, {s(text.SPACE)}, ' ', 'g')), ' ')"
+
+
+@query(
+    "run_passed",
+    f"""WITH w AS (SELECT conv_id, turn, role, {_WORDS} AS words, lower(array_to_string({_WORDS}, ' ')) AS plain FROM conversations),
+    expected AS (SELECT conv_id, 'f' || turn AS field, words[1] AS value FROM w WHERE role = 'user'), reported AS (SELECT conv_id, 'f' || (turn - 1) AS field, words[1] AS value FROM w WHERE role = 'assistant'),
+    evidence AS (SELECT conv_id, 'f' || (turn - 1) AS field, 'u' || turn AS url, lower(array_to_string(words[2:5], ' ')) AS quote FROM w WHERE role = 'assistant'),
+    reads AS (SELECT conv_id, 'u' || turn AS url, plain FROM w WHERE turn % 4 <> 3),
+    held AS (SELECT e.conv_id, e.field, quote <> '' AND exists(SELECT 1 FROM reads r WHERE r.conv_id = e.conv_id AND r.url = e.url AND contains(r.plain, e.quote)) AS ok FROM evidence e),
+    checks AS (
+      SELECT c.conv_id, 'required_finding_keys' AS name, NOT exists(SELECT 1 FROM expected x WHERE x.conv_id = c.conv_id AND NOT exists(SELECT 1 FROM reported r WHERE r.conv_id = x.conv_id AND r.field = x.field)) AS ok FROM (SELECT DISTINCT conv_id FROM conversations) c
+      UNION ALL SELECT c.conv_id, 'all_cited_passages_returned', coalesce((SELECT bool_and(ok) FROM held h WHERE h.conv_id = c.conv_id), true) FROM (SELECT DISTINCT conv_id FROM conversations) c
+      UNION ALL SELECT conv_id, field || ':value', coalesce((SELECT bool_or(lower(r.value) = lower(x.value)) FROM reported r WHERE r.conv_id = x.conv_id AND r.field = x.field), false) FROM (SELECT DISTINCT conv_id, field, value FROM expected) x
+      UNION ALL SELECT conv_id, field || ':evidence', coalesce((SELECT bool_and(ok) FROM held h WHERE h.conv_id = x.conv_id AND h.field = x.field), true) FROM (SELECT DISTINCT conv_id, field FROM expected) x)
+    SELECT conv_id, count(*) AS checks, array_to_string(list_sort(list(name) FILTER (NOT ok)), '|') AS failed, bool_and(ok) AS passed FROM checks GROUP BY conv_id""",
+)
+def run_passed(spark, d):
+    """Whether runs pass: what a user turn begins with is expected of the answer, which cites a few words of its own turn, and
+    every fourth turn was not read."""
+    words = F.split(F.trim(F.regexp_replace("text", text.SPACE, " ")), " ")
+    turns = table(spark, d, "conversations").withColumns({"words": words, "field": F.concat(F.lit("f"), (F.col("turn") - (F.col("role") == "assistant").cast("int")).cast("string")), "url": F.concat(F.lit("u"), F.col("turn").cast("string"))})
+    user, answer = turns.filter("role = 'user'"), turns.filter("role = 'assistant'")
+    value = F.col("words")[0].alias("value")
+    evidence = answer.select("conv_id", "field", "url", F.array_join(F.slice("words", 2, 4), " ").alias("quote"))
+    reads = turns.filter("turn % 4 <> 3").select("conv_id", "url", F.col("text").alias("content"))
+    checks = evaluate.run_checks(turns, "conv_id", user.select("conv_id", "field", value), answer.select("conv_id", "field", value), evidence, reads)
+    return evaluate.passed(checks, "conv_id").withColumn("failed", F.array_join("failed", "|"))
+
+
 @query(
     "report_recovery",
     f"""SELECT conv_id, CASE WHEN conv_id % 3 = 0 THEN '{{"stop": {{"kind": "sufficient", "reason": "done"}}, "findings": {{"turn": ' || max(turn) || '}}, "format_warning": "{evaluate.RECOVERED}"}}' ELSE '{{}}' END AS report
