@@ -14,8 +14,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gleaner.functions import quality, text, urls
-from gleaner.operators import availability, cache, content, evaluate, focus, health, html, search
-from gleaner.sources.captured import pretty_json
+from gleaner.operators import availability, cache, calls, content, evaluate, focus, health, html, search
+from gleaner.sources.captured import digest_rows, pretty_json
 from gleaner.sources.tables import table
 
 QUERIES: dict = {}
@@ -669,6 +669,70 @@ def coalesced_requests(spark, d):
     return health.claims(_log(spark, d).filter("event_type <> 'error'"), "user_id", "stored_at", 7200.0, "event_id", "leader").select("event_id", "leader")
 
 
+_SHARED_SQL = """(SELECT event_id, user_id, epoch_us(ts) / 1e6 AS at_, value * 2000 AS seconds, CASE WHEN event_id % 3 > 0 THEN value * 400 * (event_id % 10) END AS patience FROM events)"""
+
+
+@query(
+    "shared_calls",
+    f"""WITH RECURSIVE n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY at_, event_id) AS k, coalesce(at_ + patience, 'inf'::DOUBLE) AS gives_up FROM {_SHARED_SQL}),
+    f AS (SELECT event_id, user_id, k, true AS leader, event_id AS call, at_ + seconds AS done, gives_up AS last_, at_ + seconds <= gives_up AS served, least(at_ + seconds, gives_up) AS leaves FROM n WHERE k = 1
+      UNION ALL SELECT n.event_id, n.user_id, n.k, fresh, CASE WHEN fresh THEN n.event_id ELSE f.call END, d, CASE WHEN fresh THEN n.gives_up ELSE greatest(f.last_, n.gives_up) END, d <= n.gives_up, least(d, n.gives_up)
+      FROM f JOIN n ON n.user_id = f.user_id AND n.k = f.k + 1, LATERAL (SELECT n.at_ >= least(f.done, f.last_) AS fresh), LATERAL (SELECT CASE WHEN fresh THEN n.at_ + n.seconds ELSE f.done END AS d))
+    SELECT event_id, leader, call, served, round(leaves, 3) AS leaves_at FROM f""",
+)
+def shared_calls(spark, d):
+    """Requests of a user that start calls or join those in flight, which last as long as they take or as someone waits."""
+    value, i = F.col("value"), F.col("event_id")
+    rows = table(spark, d, "events").select("event_id", "user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), (value * 2000).alias("seconds"), F.when(i % 3 > 0, value * 400 * (i % 10)).alias("patience"))
+    out = calls.shared_calls(rows, "user_id", "at", "event_id", "seconds", "patience")
+    return out.select("event_id", "shared.leader", "shared.call", "shared.served", F.round("shared.leaves_at", 3).alias("leaves_at"))
+
+
+_INVENTORY_SQL = "(SELECT event_id, user_id % 4 AS backend, epoch_us(ts) / 1e6 AS at_, event_type <> 'error' AS ok, floor(epoch_us(ts) / 1e6 / 604800)::BIGINT AS print FROM events)"
+_LOOKS_SQL = f"""n AS (SELECT *, row_number() OVER (PARTITION BY backend ORDER BY at_, event_id) AS k FROM {_INVENTORY_SQL}),
+    f AS (SELECT event_id, backend, k, true AS looked, event_id AS version, ok AS verified, at_ + CASE WHEN ok THEN 900 ELSE 60 END AS until FROM n WHERE k = 1
+      UNION ALL SELECT n.event_id, n.backend, n.k, n.at_ >= f.until, CASE WHEN n.at_ >= f.until THEN n.event_id ELSE f.version END, CASE WHEN n.at_ >= f.until THEN n.ok ELSE f.verified END,
+        CASE WHEN n.at_ >= f.until THEN n.at_ + CASE WHEN n.ok THEN 900 ELSE 60 END ELSE f.until END FROM f JOIN n ON n.backend = f.backend AND n.k = f.k + 1)"""
+
+
+def _inventory_requests(spark, d: str) -> DataFrame:
+    at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    return table(spark, d, "events").select("event_id", (F.col("user_id") % 4).alias("backend"), at.alias("at"), (F.col("event_type") != "error").alias("ok"), F.floor(at / 604800).alias("print"))
+
+
+@query("inventory_looks", f"WITH RECURSIVE {_LOOKS_SQL} SELECT event_id, looked, version, verified FROM f")
+def inventory_looks(spark, d):
+    """Which requests to four backends look at their inventory, and which look each request goes by."""
+    out = calls.inventory_looks(_inventory_requests(spark, d), "backend", "at", "event_id", "ok")
+    return out.select("event_id", "inventory.looked", "inventory.version", "inventory.verified")
+
+
+@query(
+    "inventory_versions",
+    f"""WITH RECURSIVE {_LOOKS_SQL} SELECT n.backend, f.version, n.print AS fingerprint, coalesce(n.print <> lag(n.print) OVER (PARTITION BY n.backend ORDER BY n.at_, n.event_id), false) AS reset
+    FROM f JOIN n ON n.event_id = f.event_id WHERE looked AND verified""",
+)
+def inventory_versions(spark, d):
+    out = calls.inventory_versions(_inventory_requests(spark, d), "backend", "at", "event_id", "ok", "print")
+    return out.select("backend", "version", F.col("print").alias("fingerprint"), "reset")
+
+
+_NODE = "sha256(string_agg({0}, ',' ORDER BY {0}))"
+
+
+@query(
+    "events_digest",
+    f"""WITH h AS (SELECT sha256('{{"event_id":' || event_id || ',"user_id":' || user_id || ',"event_type":"' || event_type || '","props":"' || replace(props, '"', chr(92) || '"') || '"}}') AS d, count(*) AS n FROM events GROUP BY 1),
+    l6 AS (SELECT d[1:6] AS at_, {_NODE.format("(d || ':' || n)")} AS d, sum(n) AS n FROM h GROUP BY 1),
+    l4 AS (SELECT at_[1:4] AS at_, {_NODE.format("(at_ || ':' || d)")} AS d, sum(n) AS n FROM l6 GROUP BY 1),
+    l2 AS (SELECT at_[1:2] AS at_, {_NODE.format("(at_ || ':' || d)")} AS d, sum(n) AS n FROM l4 GROUP BY 1)
+    SELECT sum(n)::BIGINT AS rows, {_NODE.format("(at_ || ':' || d)")} AS digest FROM l2""",
+)
+def events_digest(spark, d):
+    """One digest of all events, whatever their order."""
+    return digest_rows(table(spark, d, "events"), "event_id", "user_id", "event_type", "props")
+
+
 @query("cache_hits", _claims_sql(86400, "event_type = 'view'").replace("n.stored_at < f.until", "n.stored_at <= f.until").replace("n.stored_at >= f.until", "n.stored_at > f.until").replace("SELECT event_id, granted FROM f", "SELECT event_id, NOT granted AS hit FROM f"))
 def cache_hits(spark, d):
     """Which views a cache of one day answers; hits do not renew."""

@@ -101,3 +101,22 @@ def compact_bytes(value: Column) -> Column:
 def digest(*columns: str) -> Column:
     """SHA-256 over all rows' values, in a fixed order: for manifests and policies, which are small."""
     return F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct(*columns)))), 256)
+
+
+LEVELS = (6, 4, 2, 0)  # hexadecimal digits of a row's hash that name its node, from the leaves up
+
+
+def digest_rows(rows: DataFrame, *columns: str) -> DataFrame:
+    """`rows`, `digest`: a SHA-256 over all rows' values that depends neither on their order nor on how they are dealt.
+
+    A tree over the ranges of the rows' hashes: a leaf hashes its rows' hashes in order, each with how often it
+    stands there, a node the digests of its children. A row that repeats is counted before it is shuffled, and a leaf
+    is one of 16 million ranges, so no task holds more than that of a table of any size. Of no rows it is the
+    SHA-256 of the empty text."""
+    one = F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
+    level = rows.select(one.alias("d")).groupBy("d").agg(F.count("*").alias("n"))
+    level = level.select(F.col("d").alias("at"), F.concat_ws(":", "d", F.col("n").cast("string")).alias("d"), "n")
+    for digits in LEVELS:
+        level = level.groupBy(F.substring("at", 1, digits).alias("at")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("d")), ","), 256).alias("d"), F.sum("n").alias("n"))
+        level = level.select("at", F.concat_ws(":", "at", "d").alias("d"), "n") if digits else level
+    return level.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.max("d"), F.sha2(F.lit(""), 256)).alias("digest"))
