@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gleaner.operators import availability, health
+from gleaner.streaming import state
 
 WAITS = {"captcha": 86400, "Suspended: captcha": 86400, "timeout": 120, "proxy down": 120, "odd": 300, None: 300}
 SCHEMA = "event_id int, engine string, at double, kind string, reason string, retry_after double, started_at double, token string, seconds double, config string"
@@ -91,3 +92,31 @@ def test_empty_and_null_keys(spark):
     assert availability.leased(spark.createDataFrame([], SCHEMA)).count() == 0
     rows = [tuple((r | {"engine": None}).values()) for r in logs(5, 40)]
     assert availability.leased(spark.createDataFrame(rows, SCHEMA), config="config").count() == 40
+
+
+def test_stream_equals_a_walk(spark, tmp_path):
+    rows = sorted(logs(11, 300), key=lambda r: (r["at"], r["event_id"]))
+    source = str(tmp_path / "in")
+    for k in range(3):  # three micro-batches, each in any order
+        part = [tuple(r.values()) for r in rows[k * 100 : k * 100 + 100]]
+        random.Random(k).shuffle(part)
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(source)
+        stream = state.availability_stream(spark.readStream.schema(SCHEMA).parquet(source))
+        stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination()
+    want = walk(rows)
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        applied, count, _, retry, until = want[r.event_id]
+        assert (r.applied, r.consecutive_failures, r.retry_at, r.lease_until) == (applied, count, retry, until), r
+
+
+def test_claims_stream_takes_the_last_moment_and_empty_answers(spark, tmp_path):
+    rows = [("k", k, float(t), k % 3 > 0) for k, t in enumerate([0, 5, 10, 20, 21, 31, 41])]
+    frame = spark.createDataFrame(rows, "key string, id int, at double, full boolean")
+    frame.write.parquet(str(tmp_path / "in"))
+    for name, more in (("plain", {}), ("last", {"inclusive": True}), ("kept", {"stored": "full", "inclusive": True})):
+        stream = state.claims_stream(spark.readStream.schema(frame.schema).parquet(str(tmp_path / "in")), "key", "at", 10.0, "id", **more)
+        stream.writeStream.format("memory").queryName(f"claims_{name}").option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start().awaitTermination()
+        want = health.claims(frame, "key", "at", 10.0, "id", **more).orderBy("id").collect()
+        assert [r.granted for r in spark.table(f"claims_{name}").orderBy("id").collect()] == [r.granted for r in want]
