@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from gleaner.functions import quality, text, urls
 from gleaner.operators import availability, cache, calls, content, evaluate, focus, health, html, search
 from gleaner.sources.captured import digest_rows, pretty_json
+from gleaner.sources.fetches import fetched
 from gleaner.sources.tables import table
 
 QUERIES: dict = {}
@@ -742,6 +743,31 @@ def events_digest(spark, d):
     return digest_rows(table(spark, d, "events"), "event_id", "user_id", "event_type", "props")
 
 
+_PAGE_AT = "(1704067200 + page_id % 40 * 1000)::DOUBLE"
+
+
+@query(
+    "captured_fetches",
+    f"""WITH RECURSIVE r AS (SELECT page_id, url AS u, {_PAGE_AT} AS captured_at, CASE WHEN page_id % 4 = 0 THEN 302 ELSE 200 END AS status, CASE WHEN page_id % 4 = 0 THEN CASE WHEN page_id % 8 = 0 THEN '/moved/' || page_id ELSE url END END AS loc, html FROM pages
+      UNION ALL SELECT page_id, regexp_extract(url, '^([^/]*//[^/?#]*)', 1) || '/moved/' || page_id, {_PAGE_AT} - 500, 200, NULL, html FROM pages WHERE page_id % 16 = 0),
+    q AS (SELECT page_id, url AS u, {_PAGE_AT} + page_id % 3 * 100 - 100 AS at_ FROM pages),
+    f AS (SELECT q.page_id, q.u, q.at_, 0 AS hops, (SELECT arg_max(struct_pack(s := status, l := loc, n := strlen(html)), (r.captured_at, r.page_id)) FROM r WHERE r.u = q.u AND r.captured_at <= q.at_) AS x FROM q
+      UNION ALL SELECT page_id, n.u, at_, hops + 1, (SELECT arg_max(struct_pack(s := status, l := loc, n := strlen(html)), (r.captured_at, r.page_id)) FROM r WHERE r.u = n.u AND r.captured_at <= f.at_)
+        FROM f, LATERAL (SELECT CASE WHEN x.l[1] = '/' THEN regexp_extract(f.u, '^([^/]*//[^/?#]*)', 1) || x.l ELSE x.l END AS u) n WHERE x.s = 302 AND hops < 5)
+    SELECT page_id, u AS final_url, hops, x.s AS status, CASE WHEN x IS NULL THEN 'not_captured' WHEN x.s = 302 THEN 'too_many_redirects' WHEN x.n > 6000 THEN 'too_large' END AS error
+    FROM f WHERE x IS NULL OR x.s <> 302 OR hops = 5""",
+)
+def captured_fetches(spark, d):
+    """Requests for pages a little before or after they were captured; some lead elsewhere, some to themselves."""
+    pages, i = table(spark, d, "pages"), F.col("page_id")
+    at = (F.lit(1704067200) + i % 40 * 1000).cast("double")
+    location = F.when(i % 4 == 0, F.when(i % 8 == 0, F.concat(F.lit("/moved/"), i.cast("string"))).otherwise(F.col("url")))
+    held = pages.select("url", at.alias("captured_at"), F.when(i % 4 == 0, 302).otherwise(200).alias("status"), location.alias("location"), F.lit("text/html").alias("content_type"), F.lit(None).cast("long").alias("content_length"), F.col("html").alias("body"))
+    moved = pages.filter(i % 16 == 0).select(F.concat(F.regexp_extract("url", "^([^/]*//[^/?#]*)", 1), F.lit("/moved/"), i.cast("string")).alias("url"), (at - 500).alias("captured_at"), F.lit(200).alias("status"), F.lit(None).cast("string").alias("location"), F.lit("text/html").alias("content_type"), F.lit(None).cast("long").alias("content_length"), F.col("html").alias("body"))
+    asked = pages.select("page_id", "url", (at + i % 3 * 100 - 100).alias("at"))
+    return fetched(asked, held.union(moved), "page_id", 6000).select("page_id", "final_url", "hops", "status", "error")
+
+
 @query("cache_hits", _claims_sql(86400, "event_type = 'view'").replace("n.stored_at < f.until", "n.stored_at <= f.until").replace("n.stored_at >= f.until", "n.stored_at > f.until").replace("SELECT event_id, granted FROM f", "SELECT event_id, NOT granted AS hit FROM f"))
 def cache_hits(spark, d):
     """Which views a cache of one day answers; hits do not renew."""
