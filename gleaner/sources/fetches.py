@@ -27,14 +27,12 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RESPONSES).json(path)
 
 
-def _as_of(requests: DataFrame, responses: DataFrame, id_col: str) -> DataFrame:
+def _as_of(requests: DataFrame, held: DataFrame, id_col: str) -> DataFrame:
     """requests (at, __url) with the response captured last at or before `at` as `__r`, or null. Both sides are laid in one
     row of moments a URL; a request takes the last response before it, so no pairs are made."""
-    held = F.struct("captured_at", "status", "location", "content_type", "content_length", "body").alias("__r")
     left = requests.withColumns({"__key": canonical_url(F.col("__url")), "__at": F.col("at"), "__late": F.lit(1)})
-    right = responses.select(canonical_url(F.col("url")).alias("__key"), F.col("captured_at").alias("__at"), held, F.lit(0).alias("__late")).filter("__key is not null")
-    rows = right.unionByName(left, allowMissingColumns=True)
     before = W.partitionBy("__key").orderBy("__at", "__late", F.col(id_col)).rowsBetween(W.unboundedPreceding, 0)
+    rows = held.unionByName(left, allowMissingColumns=True)
     rows = rows.withColumn("__r", F.when(F.col("__key").isNotNull(), F.last("__r", ignorenulls=True).over(before)))
     return rows.filter("__late = 1").drop("__key", "__at", "__late")
 
@@ -46,9 +44,12 @@ def fetched(requests: DataFrame, responses: DataFrame, id_col: str = "request_id
     not_captured, too_many_redirects, or too_large for a declared or real length over `max_bytes` (the body is then
     null). URLs are one if their canonical forms are; one that has none is not captured."""
     rows = requests.withColumns({"__url": F.col("url"), "__hops": F.lit(0), "__goes": F.lit(True)})
+    answer = F.struct("captured_at", "status", "location", "content_type", "content_length", "body").alias("__r")
+    held = responses.select(canonical_url(F.col("url")).alias("__key"), F.col("captured_at").alias("__at"), answer, F.lit(0).alias("__late")).filter("__key is not null")
+    held, _ = staged(held)
     done: list[DataFrame] = []
     for hop in range(follow + 1):
-        rows, _ = staged(_as_of(rows.drop("__r"), responses, id_col))  # read twice: what ends here, and what is led on
+        rows, _ = staged(_as_of(rows.drop("__r"), held, id_col))  # read twice: what ends here, and what is led on
         leads = F.coalesce(F.col("__r.status").isin(301, 302, 303, 307, 308) & (F.col("__r.location") != ""), F.lit(False))
         done.append(rows.filter(~leads) if hop < follow else rows.withColumn("__goes", ~leads))
         rows = rows.filter(leads)
