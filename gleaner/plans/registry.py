@@ -373,12 +373,29 @@ def html_text(spark, d):
     return _documents_of_pages(spark, d).select("page_id", "document.text", "document.published_at", "document.published_at_source", "document.attribution")
 
 
-@query("html_quality")
+# Pages as they come, and as an app shell, as a script alone, as a challenge, and without a body element.
+_SHELL = '<body><div id="root"></div><noscript>Please enable JavaScript to view this page.</noscript><script>run()</script></body></html>'
+_STATUS_REASON = "CASE WHEN status IN (401, 403, 429) THEN 'http_' || status END"
+
+
+@query(
+    "html_quality",
+    f"""SELECT page_id, array_to_string(list_filter([CASE page_id % 5 WHEN 1 THEN 'javascript_required' END, CASE page_id % 5 WHEN 1 THEN 'empty_app_shell' WHEN 2 THEN 'script_only_page' WHEN 4 THEN 'script_only_page' END,
+      CASE page_id % 5 WHEN 3 THEN 'browser_check_interstitial' END, {_STATUS_REASON}], lambda x: x IS NOT NULL), '|') AS browser_reasons,
+      array_to_string(list_filter([CASE WHEN status >= 400 THEN 'http_' || status END, CASE page_id % 5 WHEN 3 THEN 'bot_challenge' END], lambda x: x IS NOT NULL), '|') AS diagnostics
+    FROM (SELECT page_id, {pick_sql(STATUSES, 'page_id')} AS status FROM pages)""",
+)
 def html_quality(spark, d):
-    """Whether a page needs rendering, and its diagnostics."""
-    doc = F.col("document")
-    rows = _documents_of_pages(spark, d).withColumn("q", quality.html_quality(doc["probe"], doc["title"], doc["text"], pick(STATUSES, F.col("page_id"), "int")))
-    return rows.select("page_id", "q.browser_reasons", "q.diagnostics")
+    """Whether a page needs rendering, and its diagnostics, for pages in five forms."""
+    source, i, doc = F.col("html"), F.col("page_id") % 5, F.col("document")
+    body = r"(?s)<body>.*$"
+    source = (
+        F.when(i == 1, F.regexp_replace(source, body, _SHELL)).when(i == 2, F.regexp_replace(source, body, "<body><script>run()</script></body></html>"))
+        .when(i == 3, F.regexp_replace(source, "<title>[^<]*</title>", "<title>Just a moment...</title>")).when(i == 4, F.replace(source, F.lit("<body>"), F.lit(""))).otherwise(source)
+    )
+    rows = html.with_document(table(spark, d, "pages").withColumn("html", source))
+    rows = rows.withColumn("q", quality.html_quality(doc["probe"], doc["title"], doc["text"], pick(STATUSES, F.col("page_id"), "int")))
+    return rows.select("page_id", F.array_join("q.browser_reasons", "|").alias("browser_reasons"), F.array_join("q.diagnostics", "|").alias("diagnostics"))
 
 
 # --- Rules -----------------------------------------------------------------------------------------
@@ -438,7 +455,12 @@ def page_status(spark, d):
     return _cases(spark, d).select("page_id", quality.page_status(F.col("status"), F.col("warnings")).alias("page_status"))
 
 
-@query("page_routing")
+@query(
+    "page_routing",
+    f"""SELECT page_id, needs AS needs_rendering, regexp_matches(content, '[\\p{{L}}\\p{{N}}]') AND NOT (needs OR reasons <> '' OR {_prefix_sql(['suspected_error_page:', *quality.UNCACHEABLE_WARNINGS])}) AS cacheable, needs AND page_id % 3 > 0 AS rendered
+    FROM (SELECT *, signals <> '' OR contains(reasons, 'bot_challenge') OR {_prefix_sql(['browser_recommended:', 'possibly_incomplete:'])} AS needs
+      FROM (SELECT page_id, {pick_sql(CONTENTS, 'page_id // 12')} AS content, {pick_sql(WARNINGS, 'page_id')} AS warnings FROM pages) JOIN ({_diagnostics_sql()}) USING (page_id) JOIN ({_signals_sql()}) USING (page_id))""",
+)
 def page_routing(spark, d):
     """Cacheability, and which of two readings of a page is kept."""
     rows = _cases(spark, d)
