@@ -2,7 +2,8 @@
 
 A text is cut into sentences, each is normalised, and those known from license texts get their
 identifier; a sentence that is not known is tried line by line. The identifiers in order, with a blank for each run of other sentences, form a line of
-marks. Rules are ordered identifier sequences; the first rule that matches at a place names the
+marks. A sentence that says that something is under a license, by any of the license's NAMES, is that license's name
+sentence. Rules are ordered identifier sequences; the first rule that matches at a place names the
 license, so a whole text wins over its first sentence. Whole texts are read; a document without
 any of the CUES, one of which stands in every known sentence, is not cut up.
 
@@ -80,6 +81,31 @@ SENTENCES = {
     "mpl2.contributor": ["contributor means each individual or legal entity that creates contributes to the creation of or owns covered software"],
 }
 
+# What licenses are called, by the identifier of their name sentence. A sentence that says that something is
+# under one of them counts as that sentence, whatever is under it and however that is put.
+NAMES = {
+    "mit.name": ["mit license", "mit", "mit licence", "mit expat license"],
+    "isc.name": ["isc license"],
+    "apache.name": ["apache license version 2 0", "apache license 2 0", "apache license v2 0", "apache 2 0 license", "apache 2 0", "apache license v2"],
+    "bsd.name": ["bsd license"],
+    "bsd2.name": ["bsd 2 clause license", "2 clause bsd license", "simplified bsd license"],
+    "bsd3.name": ["bsd 3 clause license", "3 clause bsd license", "new bsd license", "modified bsd license"],
+    "gpl3.name": ["gnu general public license version 3", "gnu general public license version 3 0", "gnu general public license v3", "gnu general public license v3 0", "gnu gpl version 3", "gnu gpl v3", "gnu gplv3", "gpl version 3", "gpl v3", "gpl 3 0", "gplv3", "gplv3 license"],
+    "gpl2.name": ["gnu general public license version 2", "gnu general public license version 2 0", "gnu general public license v2", "gnu general public license v2 0", "gnu gpl version 2", "gnu gpl v2", "gnu gplv2", "gpl version 2", "gpl v2", "gpl 2 0", "gplv2", "gplv2 license"],
+    "lgpl.name": ["gnu lesser general public license version 3", "gnu lesser general public license v3", "gnu lesser general public license version 2 1", "gnu lesser general public license v2 1", "gnu lgpl v3", "gnu lgpl v2 1", "lgpl v3", "lgpl v2 1", "lgplv3"],
+    "agpl.name": ["gnu affero general public license version 3", "gnu affero general public license v3", "gnu agpl v3", "agpl v3", "agplv3"],
+    "mpl.name": ["mozilla public license version 2 0", "mozilla public license 2 0", "mozilla public license v2 0", "mpl 2 0"],
+    "ccby.name": ["cc by 4 0", "cc by 4 0 license", "creative commons attribution 4 0 international license", "creative commons attribution 4 0 license"],
+    "ccbysa.name": ["cc by sa 4 0", "cc by sa 4 0 license", "creative commons attribution sharealike 4 0 international license"],
+    "ccbync.name": ["cc by nc 4 0", "cc by nc 4 0 license", "creative commons attribution noncommercial 4 0 international license"],
+    "cc0.name": ["cc0 1 0", "cc0 1 0 universal license"],
+}
+UNDER = (
+    r"^(?:(?:this|the|our) (?:project|software|program|work|code|source code|file|package|library|repository|module|document|app|application|tool|plugin|data|dataset) is |it is |all (?:source )?code is )?"
+    r"(?:released|licensed|distributed|published|provided|available|made available) (?:to you )?under (?:the )?(?:terms (?:and conditions )?of )?(?:the )?"
+)
+UNDER_NAME = UNDER + r"(.*?)(?: the license)?$"
+
 # Ordered rules, the longest first: license, status and the identifiers in order.
 RULES = [
     ("Apache-2.0", "text", ("apache.title", "apache.license")),
@@ -140,7 +166,8 @@ RULES = [
     ("proprietary", "name", ("reserved",)),
 ]
 # One of these stands in every known sentence.
-CUES = ("creative commons", "cc0 1 0 universal", "covered code", "covered software", "licen", "permission", "copyright", "warrant", "redistribut", "unencumbered", "rights reserved", "endorse or promote")
+CUES = ("creative commons", "cc0 1 0 universal", "covered code", "covered software", "licen", "permission", "copyright", "warrant", "redistribut", "unencumbered", "rights reserved", "endorse or promote",
+        "released under", "distributed under", "published under", "provided under", "available under", "available to you under", "released to you under", "distributed to you under", "provided to you under", "published to you under")
 
 SENTENCE_END = r"[.!?]+[ \t\r\n]+|\n[ \t\r]*\n[ \t\r\n]*"
 # Layouts of published headers that would cut or join known sentences, and what they are read as: a line of comment
@@ -161,10 +188,17 @@ def normalised(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(sentence), r"[^a-z0-9]+", " "))
 
 
+def _known() -> list[tuple[str, str]]:
+    """(normalised sentence, mark), and (under <name>, mark) for the licenses' names."""
+    out = {s: " " + MARK[name] for name, all_ in NAMES.items() for s in (f"under {x}" for x in all_)}
+    return list((out | {s: " " + MARK[name] for name, all_ in SENTENCES.items() for s in all_}).items())
+
+
 def marks(text: Column) -> Column:
     """The identifiers of a text's sentences in order; runs of other sentences are one blank."""
-    known = F.create_map(*(F.lit(x) for name, all_ in SENTENCES.items() for s in all_ for x in (s, " " + MARK[name])))
-    of = lambda x: F.try_element_at(known, normalised(x))
+    known = F.create_map(*(F.lit(x) for pair in _known() for x in pair))
+    name = lambda n: F.when(n.rlike(UNDER), F.concat(F.lit("under "), F.regexp_extract(n, UNDER_NAME, 1)))
+    of = lambda x: F.coalesce(F.try_element_at(known, normalised(x)), F.try_element_at(known, name(normalised(x))))
     by_line = lambda x: F.array_join(F.transform(F.filter(F.split(x, "\n"), lambda y: normalised(y) != ""), lambda y: F.coalesce(of(y), F.lit(GAP))), "")
     for pattern, plain in LAYOUTS:
         text = F.regexp_replace(text, pattern, plain)
@@ -191,7 +225,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 def scan_sql() -> str:
     """DuckDB SQL of scan(documents), but for texts with LAYOUTS."""
-    known = ", ".join(f"('{s}', ' {MARK[name]}')" for name, all_ in SENTENCES.items() for s in all_)
+    known = ", ".join(f"('{s}', '{mark}')" for s, mark in _known())
+    key = lambda n: f"CASE WHEN {n} NOT IN (SELECT sentence FROM known) AND regexp_matches({n}, '{UNDER}') THEN 'under ' || regexp_extract({n}, '{UNDER_NAME}', 1) ELSE {n} END"
     by = {}
     for license_, status, ids in RULES:
         by.setdefault("".join(f" {MARK[s]}" for s in ids), (license_, status, len(ids)))
@@ -201,11 +236,11 @@ def scan_sql() -> str:
 WITH known(sentence, mark) AS (VALUES {known}), rules(marks, license, status, sentences) AS (VALUES {rules}),
 parts AS (SELECT row_number() OVER () AS doc, doc_id, string_split_regex(text, '{SENTENCE_END}') AS p FROM documents),
 cut AS (SELECT doc, doc_id, unnest(p) AS s, unnest(range(len(p))) AS place FROM parts),
-sentences AS (SELECT doc, doc_id, place, s, {norm.format('s')} AS n FROM cut),
+sentences AS (SELECT doc, doc_id, place, s, {key(norm.format('s'))} AS n FROM cut),
 tried AS (SELECT doc, doc_id, place, unnest(string_split(s, chr(10))) AS y, unnest(range(len(string_split(s, chr(10))))) AS sub FROM sentences WHERE n NOT IN (SELECT sentence FROM known)),
 clean AS (
   SELECT doc, doc_id, place, 0 AS sub, mark FROM sentences JOIN known ON n = sentence
-  UNION ALL SELECT doc, doc_id, place, sub, coalesce(mark, '{GAP}') FROM tried LEFT JOIN known ON {norm.format('y')} = sentence WHERE {norm.format('y')} <> ''
+  UNION ALL SELECT doc, doc_id, place, sub, coalesce(mark, '{GAP}') FROM tried LEFT JOIN known ON {key(norm.format('y'))} = sentence WHERE {norm.format('y')} <> ''
 ),
 lines AS (
   SELECT doc, doc_id, regexp_replace(string_agg(mark, '' ORDER BY place, sub), '({GAP})+', '{GAP}', 'g') AS marks FROM clean GROUP BY doc, doc_id

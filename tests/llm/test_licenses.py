@@ -129,3 +129,21 @@ def test_each_rule_holds_a_cue():
 
     for _, _, ids in licenses.RULES:
         assert any(re.search(licenses.CUE_PATTERN, x) for name in ids for x in licenses.SENTENCES[name])
+
+
+@pytest.mark.parametrize(
+    "text, found",
+    [
+        ("Released under the terms of the GNU GPL v3.", ["GPL-3.0"]),
+        ("This project is licensed under the MIT License.", ["MIT"]),
+        ('Licensed under the MIT license (the "License").', ["MIT"]),
+        ("The software is distributed under the terms and conditions of the Apache License, Version 2.0. More follows.", ["Apache-2.0"]),
+        ("Some words.\nIt is available under CC BY-SA 4.0\nAnd more words", ["CC-BY-SA-4.0"]),
+        ("It is available under the counter.", []),
+        ("We are licensed under the MIT License of another kind.", []),
+        ("Prices are released under the MIT rule.", []),
+    ],
+)
+def test_names_however_they_are_put(spark, text, found):
+    rows = licenses.scan(docs(spark, [(1, text)])).orderBy("license_no").collect()
+    assert [(r.license, r.status) for r in rows] == [(x, "name") for x in found]
