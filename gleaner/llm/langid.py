@@ -5,8 +5,8 @@ than letters as one space: sub-linear term counts times inverse document frequen
 length one. The document frequencies are counted in Spark over every document that may be learned
 from. The weights are fitted with follow-the-regularised-leader (per-coordinate steps, L1 and L2
 penalties) on a sample of at most MAX_FIT rows, drawn by a hash; this bound is the `max_fit`
-parameter. What reaches the driver of a sampled row is its counts, at most BUCKETS of them, never
-its text. Of more than MAX_CLASSES labels the most frequent are learned (`max_classes`): a model is
+parameter. They are fitted in one task, which gets the counts of the sampled rows' n-grams, at most
+BUCKETS a row; the driver gets the model. Of more than MAX_CLASSES labels the most frequent are learned (`max_classes`): a model is
 as large as its classes. A quarter of the sample is kept from the fit to calibrate the temperature of the
 softmax. Prediction reads whole texts and nothing else.
 
@@ -166,6 +166,22 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], names=["lang", "at", "n"])
 
 
+def _fitted(idf: np.ndarray):
+    """The rows of the sample, in order, -> the model: it is fitted in a task, so the driver holds the model alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = []
+        for batch in batches:
+            for label, at, n in zip(*(c.to_pylist() for c in batch.columns)):
+                rows.append(((np.frombuffer(at, "<u2").astype(np.int64), np.frombuffer(n, "<u4").astype(np.int64)), label))
+        if rows:
+            m = fit(rows, idf)
+            cols = [pa.array([m.classes], pa.list_(pa.string())), pa.array([m.weights.astype("<f8").tobytes()], pa.binary()), pa.array([m.bias.astype("<f8").tobytes()], pa.binary()), pa.array([m.temperature])]
+            yield pa.RecordBatch.from_arrays(cols, names=["classes", "weights", "bias", "temperature"])
+
+    return run
+
+
 def train(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str = "lang", max_fit: int = MAX_FIT, max_classes: int = MAX_CLASSES) -> Model:
     """A model from the rows of docs where `learn` holds and the label is not null."""
     bounded_batches(docs.sparkSession)
@@ -188,7 +204,11 @@ def train(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str
         return fit([], idf)
     sample = picked.filter(F.col("place") <= last).select("text", "lang").mapInArrow(_counted, "lang string, at binary, n binary")
     sample = sample.orderBy(F.xxhash64("at", "n"), "lang").limit(max_fit)  # equal texts share a place
-    return fit([((np.frombuffer(r["at"], "<u2").astype(np.int64), np.frombuffer(r["n"], "<u4").astype(np.int64)), r.lang) for r in sample.toLocalIterator()], idf)
+    made = sample.mapInArrow(_fitted(idf), "classes array<string>, weights binary, bias binary, temperature double").first()  # of one task, as it follows a limit
+    if made is None:
+        return fit([], idf)
+    bias = np.frombuffer(made.bias, "<f8")
+    return Model(made.classes, idf, np.frombuffer(made.weights, "<f8").reshape(BUCKETS, len(bias)), bias, made.temperature)
 
 
 def _predict(shared):
