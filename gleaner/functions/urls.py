@@ -79,7 +79,7 @@ def sound_authority(url: Column) -> Column:
     """Whether host and port can be read: both brackets or none, about an address and nothing else, and a port in range."""
     bare = F.regexp_replace(authority(url), r"^.*@", "")
     brackets = ~bare.rlike(r"[\[\]]") | bare.rlike(r"^\[([0-9A-Fa-f:.]*:[0-9A-Fa-f:.]*(%[^\]]*)?|v[0-9A-Fa-f]+\.[^\]]+)\](:[^:\]]*)?$")
-    given = F.regexp_extract(bare, r"^(?:\[[^\]]*\]|[^:]*):(.*)$", 1)
+    given = F.regexp_extract(F.regexp_replace(bare, r"^\[[^\]]*\]", ""), "^[^:]*:(.*)$", 1)
     in_range = (given == "") | (given.rlike("^[0-9]+$") & (F.coalesce(given.try_cast("decimal(38,0)"), F.lit(99999)) <= 65535))
     return brackets & in_range
 

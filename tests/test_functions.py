@@ -23,6 +23,8 @@ CANONICAL = {
     "HTTPS://Example.COM:443/products/?utm_source=test&b=2&a=1#details": "https://example.com/products/?utm_source=test&b=2&a=1",
     "http://Example.com": "http://example.com/", "http://example.com:80?x=1": "http://example.com/?x=1", "http://example.com:8080/a#b": "http://example.com:8080/a",
     "https://[2001:DB8::1]:443/x": "https://[2001:db8::1]/x", "http://me:pw@example.com/": None, "http://example.com/?": "http://example.com/", "no url": None, " https://a.b/c d": "https://a.b/c d",
+    "https://[2001:db8::1]/": "https://[2001:db8::1]/", "http://a.example:65535/": "http://a.example:65535/", "http://a.example:65536/": None, "http://a.example:99999999999999999999/": None, "http://a:x/": None,
+    "http://[::1/": None, "http://a[b]/": None, "http://a:/p": "http://a/p",
 }
 
 
