@@ -178,7 +178,7 @@ rule("extra_findings", "conversations", "conv_id, turn", "array_to_string(list_s
      lambda c: joined(evaluate.extra_findings(_map(F.slice("w", 1, 4)), _map(F.slice("w", 3, 4)))))
 _ONE_LINE = lambda x: f"trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
 rule("finding_evidence", "conversations", "conv_id, turn", f"(((turn % 5 = 0) OR ({_ONE_LINE('q')} <> '' AND turn % 7 > 0 AND contains(t, {_ONE_LINE('q')}))) AND (turn % 3 > 0 OR (turn % 5 > 0 AND contains({_ONE_LINE('q')}, {_ONE_LINE('h')}))))::VARCHAR",
-     {"turn": "turn", "q": tuple(f"lower(trim({x}))" for x in ("array_join(slice(split(text, ' '), 2, 4), ' ')", "array_to_string(string_split(text, ' ')[2:5], ' ')")), "t": ("lower(array_join(filter(split(text, '\\\\s+'), x -> x <> ''), ' '))", "lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))"), "h": tuple(f"lower({x})" for x in ("split(text, ' ')[cast(2 - turn % 2 as int)]", "string_split(text, ' ')[3 - turn % 2]"))},
+     {"turn": "turn", "q": tuple(f"lower(trim({x}))" for x in ("array_join(slice(split(text, ' '), 2, 4), ' ')", "array_to_string(string_split(text, ' ')[2:5], ' ')")), "t": ("lower(array_join(filter(split(text, '\\\\s+'), x -> x <> ''), ' '))", "lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))"), "h": tuple(f"lower({x})" for x in ("get(split(text, ' '), cast(2 - turn % 2 as int))", "string_split(text, ' ')[3 - turn % 2]"))},
      lambda c: evaluate.evidence_ok(F.when(c("turn") % 5 > 0, F.array(F.struct(F.lit("u").alias("url"), c("q").alias("quote")))).otherwise(F.array().cast("array<struct<url:string,quote:string>>")),
                                     F.create_map(F.when(c("turn") % 7 > 0, "u").otherwise("v"), F.array(c("t"))), F.when(c("turn") % 3 == 0, F.create_map(F.lit("u"), c("h"))).otherwise(F.create_map().cast("map<string,string>"))))
 _CALLS = {
