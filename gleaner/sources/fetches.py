@@ -5,6 +5,7 @@ any size is read in parallel. What a request gets is what was captured last befo
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,29 +28,32 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RESPONSES).json(path)
 
 
-def _as_of(requests: DataFrame, held: DataFrame, id_col: str) -> DataFrame:
+def _as_of(requests: DataFrame, held: DataFrame, id_col: str, identity: Callable[[Column], Column]) -> DataFrame:
     """requests (at, __url) with the response captured last at or before `at` as `__r`, or null. Both sides are laid in one
     row of moments a URL; a request takes the last response before it, so no pairs are made."""
-    left = requests.withColumns({"__key": canonical_url(F.col("__url")), "__at": F.col("at"), "__late": F.lit(1)})
-    before = W.partitionBy("__key").orderBy("__at", "__late", F.col(id_col)).rowsBetween(W.unboundedPreceding, 0)
+    left = requests.withColumns({"__key": identity(F.col("__url")), "__at": F.col("at"), "__late": F.lit(1)})
+    before = W.partitionBy("__key").orderBy("__at", "__late", "__order", F.col(id_col)).rowsBetween(W.unboundedPreceding, 0)
     rows = held.unionByName(left, allowMissingColumns=True)
     rows = rows.withColumn("__r", F.when(F.col("__key").isNotNull(), F.last("__r", ignorenulls=True).over(before)))
-    return rows.filter("__late = 1").drop("__key", "__at", "__late")
+    return rows.filter("__late = 1").drop("__key", "__at", "__late", "__order")
 
 
-def fetched(requests: DataFrame, responses: DataFrame, id_col: str = "request_id", max_bytes: int = MAX_BYTES, follow: int = MAX_REDIRECTS) -> DataFrame:
+def fetched(requests: DataFrame, responses: DataFrame, id_col: str = "request_id", max_bytes: int = MAX_BYTES, follow: int = MAX_REDIRECTS, identity: Callable[[Column], Column] = canonical_url, response_id: str | None = None) -> DataFrame:
     """requests (id, url, at) with final_url, hops, status, content_type, body and error.
 
     A response with a location and a status of 301, 302, 303, 307 or 308 leads on, at most `follow` times. error:
     not_captured, too_many_redirects, or too_large for a declared or real length over `max_bytes` (the body is then
-    null). URLs are one if their canonical forms are; one that has none is not captured."""
+    null). URLs are one if they have the same `identity`, their canonical forms if nothing else is said; one that has none
+    is not captured. Of responses of one moment the one with the largest `response_id` counts, or the one with the
+    largest values if they have no id."""
     rows = requests.withColumns({"__url": F.col("url"), "__hops": F.lit(0), "__goes": F.lit(True)})
     answer = F.struct("captured_at", "status", "location", "content_type", "content_length", "body").alias("__r")
-    held = responses.select(canonical_url(F.col("url")).alias("__key"), F.col("captured_at").alias("__at"), answer, F.lit(0).alias("__late")).filter("__key is not null")
+    order = F.col(response_id) if response_id else F.struct("status", "location", "content_type", "content_length", "body")
+    held = responses.select(identity(F.col("url")).alias("__key"), F.col("captured_at").alias("__at"), answer, F.lit(0).alias("__late"), order.alias("__order")).filter("__key is not null")
     held, _ = staged(held)
     done: list[DataFrame] = []
     for hop in range(follow + 1):
-        rows, _ = staged(_as_of(rows.drop("__r"), held, id_col))  # read twice: what ends here, and what is led on
+        rows, _ = staged(_as_of(rows.drop("__r"), held, id_col, identity))  # read twice: what ends here, and what is led on
         leads = F.coalesce(F.col("__r.status").isin(301, 302, 303, 307, 308) & (F.col("__r.location") != ""), F.lit(False))
         done.append(rows.filter(~leads) if hop < follow else rows.withColumn("__goes", ~leads))
         rows = rows.filter(leads)
