@@ -8,8 +8,6 @@ from when the engine may be tried, so they are folded between two observations o
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -35,16 +33,16 @@ class Scan:
         rows = self.rows.withColumns({f"__in_{n}": c for n, (_, c) in wanted.items()})
         rows, path = staged(rows)
         self.forget()
-        self.path, groups, place = path, [*part, "__bucket"], F.struct(*self.order)
-        keys = [f"__key{k}" for k in range(len(groups))]
-        inside = W.partitionBy(*groups).orderBy(*self.order).rowsBetween(W.unboundedPreceding, -1 if exclusive else 0)
-        before = W.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(W.unboundedPreceding, -1)
-        totals = rows.groupBy(*(F.col(c).alias(k) for c, k in zip(groups, keys))).agg(*(WHOLE[kind](F.col(f"__in_{n}"), place).alias(f"__of_{n}") for n, (kind, _) in wanted.items()))
-        totals = totals.select(*keys, *(OVER[kind](f"__of_{n}").over(before).alias(f"__to_{n}") for n, (kind, _) in wanted.items()))
+        self.path, place = path, F.struct(*self.order)
+        rows = rows.withColumn("__group", F.struct(*part, "__bucket"))  # equal where nulls are, so the join takes rows as the window has dealt them
+        inside = W.partitionBy("__group").orderBy(*self.order).rowsBetween(W.unboundedPreceding, -1 if exclusive else 0)
+        before = W.partitionBy(*(F.col("__of")[c] for c in part)).orderBy(F.col("__of.__bucket")).rowsBetween(W.unboundedPreceding, -1)
+        totals = rows.groupBy(F.col("__group").alias("__of")).agg(*(WHOLE[kind](F.col(f"__in_{n}"), place).alias(f"__of_{n}") for n, (kind, _) in wanted.items()))
+        totals = totals.select("__of", *(OVER[kind](f"__of_{n}").over(before).alias(f"__to_{n}") for n, (kind, _) in wanted.items()))
         rows = rows.withColumns({f"__at_{n}": OVER[kind](f"__in_{n}").over(inside) for n, (kind, _) in wanted.items()})
-        rows = rows.join(totals, reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(k)) for c, k in zip(groups, keys))), "left")
+        rows = rows.join(totals, F.col("__group") == F.col("__of"), "left")
         rows = rows.withColumns({n: BOTH[kind](F.col(f"__to_{n}"), F.col(f"__at_{n}")) for n, (kind, _) in wanted.items()})
-        self.rows = rows.drop(*keys, *(f"__{at}_{n}" for n in wanted for at in ("in", "at", "to")))
+        self.rows = rows.drop("__group", "__of", *(f"__{at}_{n}" for n in wanted for at in ("in", "at", "to")))
 
     def put(self, **columns: Column) -> None:
         self.rows = self.rows.withColumns(columns)
@@ -69,7 +67,7 @@ def observed(log: DataFrame, key: str = "engine", at: str = "at", id_col: str =
 
     Equals `health.transitions` on logs without late successes and changes of configuration. A null or empty reason
     is a failure for no known cause; ties go by id; an empty log gives no rows."""
-    return _observed(log, key, at, id_col, config, width).rows.drop("__bucket", "__island", "__n", "__first", "__expiry")
+    return _observed(log, key, at, id_col, config, width).rows.drop("__bucket", "__island", "__stretch", "__n", "__first", "__expiry")
 
 
 def _observed(log: DataFrame, key: str, at: str, id_col: str, config: str | None, width: float) -> Scan:
@@ -89,7 +87,7 @@ def _observed(log: DataFrame, key: str, at: str, id_col: str, config: str | None
         late = F.coalesce(worked & (F.col("__failure") > F.col("started_at")), F.lit(False))
     scan.put(accepted=F.when(F.col("failed").isNotNull(), ~late), suspension_report=failed & F.contains(F.lower(F.coalesce("reason", F.lit(""))), F.lit("suspended")))
     scan.rows = scan.rows.drop("__failure")
-    scan.running([key, "epoch"], __island=("sum", (worked & F.col("accepted")).cast("long")))
+    scan.running([key, "epoch"], __island=("sum", (worked & F.col("accepted")).cast("long")), __stretch=("sum", F.coalesce("accepted", F.lit(False)).cast("long")))
     scan.running([key, "epoch", "__island"], __n=("sum", (failed & ~F.col("suspension_report")).cast("long")), __first=("first", F.when(failed, F.col("suspension_report"))))
     scan.put(consecutive_failures=F.when(worked & F.col("accepted"), 0).otherwise(F.col("__n") + F.coalesce(F.col("__first"), F.lit(False)).cast("long")))
     delay = back_off(F.col("reason"), F.col("consecutive_failures"), F.col("__island") > 0, F.col("retry_after") if "retry_after" in log.columns else None)
@@ -130,6 +128,5 @@ def leased(log: DataFrame, key: str = "engine", at: str = "at", id_col: str = "e
     may be tried. Other kinds take no effect."""
     failed = F.when(F.col("kind") == "failed", True).when(F.col("kind") == "succeeded", False)
     scan = _observed(log.withColumn("failed", failed), key, at, id_col, config, width)
-    scan.running([key, "epoch"], __stretch=("sum", F.coalesce("accepted", F.lit(False)).cast("long")))
     rows = scan.rows.withColumn("__stretch", F.struct("epoch", "__stretch")).drop("__bucket", "__island", "__n", "__first", "__expiry")
     return fold(rows, key, [at, id_col], lambda held, row: lease_step(held, row, at), "lease", LEASE, "__stretch").drop("__stretch", "failed")
