@@ -11,7 +11,10 @@
    are cut at gaps over MAX_GAP words; those of one seed only are dropped.
 4. Alignment: chained spans are cut out of the texts and aligned word by word; a passage is a stretch
    that scores best, of at least `min_words` words of which `min_same` are equal.
-5. Passages of a document that overlap are one. The class of a passage is the smallest id that its
+5. The rest: two seeds in the reach of a chain are a key. Documents with a key in common are matched, all with all in cells, if
+   they are not of one class with both seeds in passages found; only pairs that can share a passage there leave a task. Steps
+   3 and 4 follow again, so two documents with a passage of two seeds at least are of one class, whoever holds the seeds first.
+6. Passages of a document that overlap are one. The class of a passage is the smallest id that its
    document reaches over the pairs found.
 
 Exact copies need no treatment of their own: each is chained to the first and to the one before it.
@@ -44,6 +47,9 @@ MAX_GAP = 64
 EDGE = 64  # words added on both sides of a chain before it is aligned
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 MIX = np.uint64(0x9E3779B97F4A7C15)
+CELL = 1 << 10
+AROUND = 2 * K + MAX_GAP + 4  # words on both sides of two seeds that are looked at
+MATCH = "doc long, at int, other_doc long, other_at int"
 
 
 def word_hashes(text: bytes) -> np.ndarray:
@@ -142,7 +148,114 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = doc[a] != doc[b]
         a, b = a[keep], b[keep]
         if len(a):
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (doc[a], at[a].astype(np.int32), doc[b], at[b].astype(np.int32))], names=["doc", "at", "other_doc", "other_at"])
+            cols = (seed[a], doc[a], at[a].astype(np.int32), doc[b], at[b].astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["seed", "doc", "at", "other_doc", "other_at"])
+
+
+def _near_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of documents with their shared seeds in order (at, seed, open, inside): two seeds that can follow each other in a chain, one of
+    them open."""
+    for batch in (whole.slice(k, 256) for whole in batches for k in range(0, whole.num_rows, 256)):
+        lists = batch.column("list")
+        at, seed, open_, inside = (lists.flatten().field(k).to_numpy(zero_copy_only=False) for k in range(4))
+        sizes = np.diff(lists.offsets.to_numpy())
+        row = np.repeat(np.arange(batch.num_rows), sizes)
+        doc, label = (batch.column(c).to_numpy()[row] for c in ("doc", "label"))
+        for shift in range(1, min(K + MAX_GAP, len(at) - 1) + 1):
+            a = np.flatnonzero((row[shift:] == row[:-shift]) & (at[shift:] - at[:-shift] <= K + MAX_GAP))
+            if not len(a):
+                break
+            b = a + shift
+            some = open_[a] | open_[b]
+            a, b = a[some], b[some]
+            with np.errstate(over="ignore"):
+                key = (seed[a].view(np.uint64) * MIX) ^ seed[b].view(np.uint64)
+                key = ((key ^ (key >> np.uint64(29))) * MIX).view(np.int64)
+            cols = (key, doc[a], label[a], at[a], at[b], inside[a] & inside[b])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "doc", "label", "at", "next", "inside"])
+
+
+def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of documents with their near seeds: a row each, with the words around as 16-bit hashes (0: none), from AROUND words before."""
+    wide = 2 * AROUND + 2 * K + MAX_GAP
+    for batch in (whole.slice(k, 64) for whole in batches for k in range(0, whole.num_rows, 64)):
+        lists = batch.column("list")
+        rows, sizes = lists.flatten(), np.diff(lists.offsets.to_numpy())
+        at, spans, k = rows.field("at").to_pylist(), [], 0
+        for x, n in zip(batch.column("text").cast(pa.binary()).to_pylist(), sizes.tolist()):
+            words = np.zeros(AROUND, np.uint16), np.maximum(word_hashes(x).astype(np.uint16), 1), np.zeros(wide, np.uint16)
+            words = np.concatenate(words)
+            spans += [words[a : a + wide].tobytes() for a in at[k : k + n]]
+            k += n
+        doc = batch.column("doc").to_numpy()[np.repeat(np.arange(batch.num_rows), sizes)]
+        names = [f.name for f in rows.type]
+        yield pa.RecordBatch.from_arrays([pa.array(doc), *(rows.field(c) for c in names), pa.array(spans, pa.binary())], names=["doc", *names, "words"])
+
+
+def _worth(same: np.ndarray, core: int, min_words: int, min_same: float) -> np.ndarray:
+    """Whether two texts, equal on a diagonal as in each row of `same`, can share a passage around two seeds in `core` words from
+    AROUND on: they are alike over min_words words, or have another run of K equal words there to chain."""
+    end = AROUND + core
+    before = np.where(same[:, :AROUND].all(1), AROUND, same[:, AROUND - 1 :: -1].argmin(1))
+    after = np.where(same[:, end:].all(1), same.shape[1] - end, same[:, end:].argmin(1))
+    run = same[:, : same.shape[1] - K + 1].copy()
+    for k in range(1, K):
+        run &= same[:, k : same.shape[1] - K + 1 + k]
+    at = np.arange(run.shape[1])
+    other = (run & ((at < AROUND - before[:, None]) | (at + K > (end + after)[:, None]))).any(1)
+    rest = np.flatnonzero(~other & (same.sum(1) >= min(min_words, same.shape[1]) * min_same - 1e-9))
+    if len(rest):
+        if min_words >= same.shape[1]:
+            other[rest] = True
+        else:
+            total = np.zeros((len(rest), same.shape[1] + 1))
+            np.cumsum(np.where(same[rest], 1.0, -min_same / (1 - min_same)), axis=1, out=total[:, 1:])
+            low = np.minimum.accumulate(total, axis=1)
+            other[rest] = (total[:, min_words:] - low[:, : total.shape[1] - min_words]).max(1) > -1e-9
+    return other
+
+
+def _meeting(min_words: int, min_same: float):
+    """Matches of the rows of each cell (key, i, j): those of side 0 with those of side 1. Cells come sorted."""
+
+    def cell(side, doc, label, at, after, inside, out, words) -> Iterator[tuple[np.ndarray, ...]]:
+        n = int(np.searchsorted(side, 1))
+        gap = after - at
+        for a in range(n):
+            b = n + np.flatnonzero((doc[n:] != doc[a]) & (~out[n:] | (doc[n:] < doc[a])) & ~(inside[a] & inside[n:] & (label[n:] == label[a])))
+            even = b[gap[b] == gap[a]]
+            if len(even):
+                good = _worth((words[even] == words[a]) & (words[a] != 0), int(gap[a]) + K, min_words, min_same)
+                b = np.concatenate((b[gap[b] != gap[a]], even[good]))
+            if len(b):
+                for x in (at, after):
+                    first = doc[b] < doc[a]
+                    yield np.where(first, doc[a], doc[b]), np.where(first, x[a], x[b]), np.where(first, doc[b], doc[a]), np.where(first, x[b], x[a])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in _ended(batches):
+            if batch is not None:
+                cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "i", "j", "side", "doc", "label", "at", "next", "inside", "out")]
+                cols.append(np.frombuffer(b"".join(batch.column("words").to_pylist()), np.uint16).reshape(batch.num_rows, -1) if batch.num_rows else np.empty((0, 2 * AROUND + 2 * K + MAX_GAP), np.uint16))
+                held = cols if held is None else [np.concatenate(c) for c in zip(held, cols)]
+            if held is None or not len(held[0]):
+                continue
+            key, i, j = held[:3]
+            cuts = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+            bounds = [0, *cuts.tolist(), *([len(key)] if batch is None else [])]
+            found = [m for a, b in zip(bounds, bounds[1:]) for m in cell(*(c[a:b] for c in held[3:]))]
+            held = [c[bounds[-1] :] for c in held]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names=["doc", "at", "other_doc", "other_at"])
+
+    return run
+
+
+def _ended(batches: Iterator) -> Iterator:
+    """The batches, and None behind them."""
+    yield from batches
+    yield None
 
 
 class Fenwick:
@@ -340,11 +453,26 @@ def shared_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     rows = docs.select(q(id_col).cast("long").alias("doc"), q(text_col).alias("text")).filter("doc is not null")
     rows = rows.groupBy("doc").agg(F.min("text").alias("text")) if _repeats(rows) else rows
-    found = written(rows.mapInArrow(_seeds_of(min_words), "seed long, doc long, at int, other_doc long, other_at int"), "seeds")
+    found = written(rows.mapInArrow(_seeds_of(min_words), f"seed long, {MATCH}"), "seeds")
     parts = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     firsts = found.filter("other_doc is null").select("seed", "doc", "at").repartition(parts, "seed").sortWithinPartitions("seed", "doc")
-    across = firsts.mapInArrow(_across, "doc long, at int, other_doc long, other_at int")
-    matches = found.filter("other_doc is not null").select("doc", "at", "other_doc", "other_at").union(across)
+    across = written(firsts.mapInArrow(_across, f"seed long, {MATCH}"), "matches-across")
+    matches = found.filter("other_doc is not null").union(across)
+    spans = _compared(matches.drop("seed"), rows, parts, min_words, min_same)
+    classes = _classes(spans)
+    spans = spans.union(_compared(_rest(matches, spans, classes, rows, parts, min_words, min_same), rows, parts, min_words, min_same))
+    label = _classes(spans)
+    merged = _merged(spans.select("of", "start", "end").distinct())
+    merged = merged.join(label, merged.of == label.node)
+    return merged.select(F.col("of").alias("doc_id"), F.col("start").alias("start_word"), F.col("end").alias("end_word"), F.col("label").alias("class_id"))
+
+
+def _classes(spans: DataFrame) -> DataFrame:
+    return written(components(spans.select(F.col("doc").alias("a"), F.col("other").alias("b"))), "passage-classes")
+
+
+def _compared(matches: DataFrame, rows: DataFrame, parts: int, min_words: int, min_same: float) -> DataFrame:
+    """(of, doc, other, start, end): the passages of `of` that the matches of doc and other lead to."""
     matches = matches.select("doc", "other_doc", "at", "other_at").repartition(parts, "doc", "other_doc").sortWithinPartitions("doc", "other_doc")
     chained = written(matches.mapInArrow(_chained, "doc long, other long, no int, xs array<int>, ys array<int>, ns array<int>"), "chains")
 
@@ -355,12 +483,43 @@ def shared_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     both = chained.join(cut.filter("side = 0").select("doc", "other", "no", F.col("words").alias("x")), ["doc", "other", "no"])
     both = both.join(cut.filter("side = 1").select("doc", "other", "no", F.col("words").alias("y")), ["doc", "other", "no"])
     both = both.select("doc", "other", "xs", "ys", "ns", "x", "y", lo("xs").alias("x0"), lo("ys").alias("y0"))
-    spans = written(both.mapInArrow(_aligned(min_words, min_same), "of long, doc long, other long, start int, end int"), "spans")
-
-    label = written(components(spans.select(F.col("doc").alias("a"), F.col("other").alias("b"))), "passage-classes")
-    merged = _merged(spans.select("of", "start", "end").distinct())
-    merged = merged.join(label, merged.of == label.node)
-    return merged.select(F.col("of").alias("doc_id"), F.col("start").alias("start_word"), F.col("end").alias("end_word"), F.col("label").alias("class_id"))
+    return written(both.mapInArrow(_aligned(min_words, min_same), "of long, doc long, other long, start int, end int"), "spans")
+
+
+def _rest(matches: DataFrame, spans: DataFrame, classes: DataFrame, text: DataFrame, parts: int, min_words: int, min_same: float, cell: int | None = None) -> DataFrame:
+    """Matches of every two documents that share two seeds in the reach of a chain, but for those whose documents are of one
+    class already and hold both seeds in passages found.
+
+    Each row of a shared seed is in a match. A seed is open unless all its rows are of one class and in passages; of two seeds near
+    each other, one open, rows outside the largest such group meet all others, in cells of about `cell` rows a side."""
+    cell = cell or CELL
+    rows = matches.select("seed", "doc", "at").union(matches.select("seed", F.col("other_doc").alias("doc"), F.col("other_at").alias("at"))).distinct()
+    held = _merged(spans.select("of", "start", "end").distinct()).groupBy("of").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    held = held.join(classes, held.of == classes.node).select(F.col("of").alias("doc"), "spans", "label")
+    rows = rows.join(held, "doc", "left")
+    inside = F.coalesce(F.exists("spans", lambda s: (s["start"] <= F.col("at")) & (F.col("at") + K <= s["end"])), F.lit(False))
+    rows = written(rows.select("seed", "doc", "at", F.coalesce("label", "doc").alias("label"), inside.alias("inside")), "shared-seeds")
+    open_ = rows.groupBy("seed").agg((~F.min("inside") | (F.min("label") < F.max("label"))).alias("open"))
+    rows = rows.join(open_, "seed").groupBy("doc", "label").agg(F.array_sort(F.collect_list(F.struct("at", "seed", "open", "inside"))).alias("list"))
+    rows = rows.filter(F.exists("list", lambda r: r["open"]) & (F.size("list") > 1))
+    near = written(rows.mapInArrow(_near_seeds, "key long, doc long, label long, at int, next int, inside boolean"), "near-seeds")
+    groups = near.groupBy("key", "label", "inside").agg(F.count("*").alias("rows"))
+    top = F.max(F.struct(F.when(F.col("inside"), F.col("rows")).otherwise(0).alias("rows"), "label"))
+    keys = groups.groupBy("key").agg(F.sum("rows").alias("all"), top.alias("top")).filter("all > 1 and all > top.rows")
+    keys = written(keys.select("key", "all", F.col("top.rows").alias("most"), F.when(F.col("top.rows") > 0, F.col("top.label")).alias("top")), "near-seed-keys")
+    met = near.join(keys, "key").withColumn("out", ~(F.col("inside") & F.coalesce(F.col("label") == F.col("top"), F.lit(False))))
+    met = met.withColumns({"is": F.ceil((F.col("all") - F.col("most")) / cell).cast("int"), "js": F.ceil(F.col("all") / cell).cast("int")})
+    row = ["key", "label", "at", "next", "inside", "out", "is", "js"]
+    lists = written(met.groupBy("doc").agg(F.collect_list(F.struct(*row)).alias("list")), "open-near-seeds")
+    text = text.join(lists.select("doc"), "doc", "left_semi").join(lists, "doc").select("doc", "text", "list")
+    met = written(text.mapInArrow(_contexts, "doc long, key long, label long, at int, next int, inside boolean, out boolean, is int, js int, words binary"), "contexts")
+    over = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    deal = lambda c: F.pmod(F.xxhash64("doc"), F.col(c)).cast("int")
+    row = ["key", "i", "j", "side", "doc", "label", "at", "next", "inside", "out", "words"]
+    left = met.filter("out").withColumns({"side": F.lit(0), "i": deal("is")}).withColumn("j", over("js")).select(row)
+    right = met.withColumns({"side": F.lit(1), "j": deal("js")}).withColumn("i", over("is")).select(row)
+    cells = left.union(right).repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
+    return cells.mapInArrow(_meeting(min_words, min_same), MATCH).distinct()
 
 
 def _repeats(rows: DataFrame) -> bool:
