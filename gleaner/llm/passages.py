@@ -11,9 +11,10 @@
    are cut at gaps over MAX_GAP words; those of one seed only are dropped.
 4. Alignment: chained spans are cut out of the texts and aligned word by word; a passage is a stretch
    that scores best, of at least `min_words` words of which `min_same` are equal.
-5. The rest: two seeds in the reach of a chain are a key. Documents with a key in common are matched, all with all in cells, if
-   they are not of one class with both seeds in passages found; only pairs that can share a passage there leave a task. Steps
-   3 and 4 follow again, so two documents with a passage of two seeds at least are of one class, whoever holds the seeds first.
+5. The rest: two seeds in the reach of a chain are a key. Documents with a key in common meet in cells, all with all, if they are
+   not of one class with both seeds in passages found; they are aligned there, and a pair leaves its task only if it shares a
+   passage around the seeds, and only while that joins groups of the cell or, where k-mers repeat, makes a passage longer. Steps 3
+   and 4 follow again.
 6. Passages of a document that overlap are one. The class of a passage is the smallest id that its
    document reaches over the pairs found.
 
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import q, written
+from gleaner.llm.common import forget, q, written
 from gleaner.llm.components import components
 
 K = 6
@@ -49,6 +50,7 @@ PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 MIX = np.uint64(0x9E3779B97F4A7C15)
 CELL = 1 << 10
 AROUND = 2 * K + MAX_GAP + 4  # words on both sides of two seeds that are looked at
+OWN = 2 * (K + WINDOW - 1)  # equal words in a row that hold two seeds
 MATCH = "doc long, at int, other_doc long, other_at int"
 
 
@@ -215,20 +217,143 @@ def _worth(same: np.ndarray, core: int, min_words: int, min_same: float) -> np.n
     return other
 
 
+def _best(same: np.ndarray, min_words: int, min_same: float) -> tuple[np.ndarray, np.ndarray]:
+    """As `stretches` finds them, the first stretch of at least min_words words of each row of `same`: (start, end), (0, 0) for none."""
+    start, end = np.zeros((2, len(same)), np.int64)
+    gain, todo, at = np.where(same, 1.0, -min_same / (1 - min_same)), np.arange(len(same)), np.arange(same.shape[1] + 1)
+    while len(todo):
+        total = np.zeros((len(todo), same.shape[1] + 1))
+        np.cumsum(gain, axis=1, out=total[:, 1:])
+        low = np.minimum.accumulate(total, axis=1)
+        e = (total - low).argmax(1)
+        none = e == 0
+        b = same.shape[1] - ((total == low[np.arange(len(e)), e][:, None]) & (at <= e[:, None]))[:, ::-1].argmax(1)
+        long = e - b >= min_words
+        start[todo[long]], end[todo[long]] = b[long], e[long]
+        left = ~long & ~none
+        gain, b, e, todo = gain[left], b[left], e[left], todo[left]
+        gain[(at[:-1] >= b[:, None]) & (at[:-1] < e[:, None])] = -1e6  # what is left lies before or behind it
+        many = (gain > 0).sum(1) >= min_words * min_same - 1e-9
+        gain, todo = gain[many], todo[many]
+    return start, end
+
+
+def _runs(same: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Whether a row has OWN equal words in a row within its stretch, so that the stretch has two seeds of its own."""
+    at = np.arange(same.shape[1])
+    equal = same & (at >= start[:, None]) & (at < end[:, None])
+    count = np.zeros((len(same), same.shape[1] + 1), np.int32)
+    np.cumsum(equal, axis=1, out=count[:, 1:])
+    return (count[:, OWN:] - count[:, :-OWN] == OWN).any(1) if same.shape[1] >= OWN else np.zeros(len(same), bool)
+
+
+def _repeating(words: np.ndarray) -> np.ndarray:
+    """Which rows hold a k-mer twice: what extends a passage there may have no seed of its own, as a k-mer counts at its first place."""
+    mers = np.zeros((len(words), words.shape[1] - K + 1), np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(K):
+            mers = mers * MIX + words[:, k : words.shape[1] - K + 1 + k]
+    none = np.minimum.reduce([words[:, k : words.shape[1] - K + 1 + k] for k in range(K)]) == 0
+    mers[none] = np.broadcast_to(np.arange(mers.shape[1], dtype=np.uint64), mers.shape)[none]
+    mers.sort(axis=1)
+    return (mers[:, 1:] == mers[:, :-1]).any(1)
+
+
+def _even(same: np.ndarray, core: int, min_words: int, min_same: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of two texts equal on a diagonal as in each row of `same`, which has EDGE words on both sides of the `core` words of two seeds: (kind,
+    spans). A kind is 0 for no passage, 1 for one beside a seed, 2 for one that holds both; 3 or 4 for the same if its own seeds tell of it;
+    spans are its start and end in either text, from the first seed on."""
+    kind, spans = np.zeros(len(same), np.int8), np.zeros((len(same), 4), np.int64)
+    some = np.flatnonzero(same.sum(1) >= min_words * min_same - 1e-9)
+    start, end = _best(same[some], min_words, min_same)
+    both = (start <= EDGE) & (end >= EDGE + core)
+    kind[some] = np.where(end == 0, 0, np.where(both, 2, 1) + 2 * _runs(same[some], start, end))
+    spans[some] = np.stack((start, end, start, end), 1) - EDGE
+    return kind, spans
+
+
+def _uneven(x: np.ndarray, gap: int, ys: np.ndarray, gaps: np.ndarray, min_words: int, min_same: float) -> tuple[np.ndarray, np.ndarray]:
+    """The same as `_even` where the seeds lie on two diagonals, the words between aligned by a longest common subsequence."""
+    kinds, spans = np.zeros(len(ys), np.int8), np.zeros((len(ys), 4), np.int64)
+    before = (ys[:, AROUND - EDGE : AROUND] == x[AROUND - EDGE : AROUND]) & (x[AROUND - EDGE : AROUND] != 0)
+    behind = np.arange(EDGE) + AROUND + K
+    after = (ys[np.arange(len(ys))[:, None], behind + gaps[:, None]] == x[behind + gap]) & (x[behind + gap] != 0)
+    gain = lambda same: np.where(same, 1.0, -min_same / (1 - min_same))
+    reach = lambda same: EDGE - np.concatenate((np.zeros((len(same), 1)), np.cumsum(gain(same), axis=1)), axis=1)[:, ::-1].argmax(1)
+    # with all words between equal no stretch over both seeds is longer; one beside them has its own best
+    most = reach(before[:, ::-1]) + reach(after) + np.maximum(gap, gaps) + K
+    apart = (gap >= K) & (gaps >= K)  # seeds that overlap on two diagonals never make a chain
+    for k in np.flatnonzero(apart & ((most >= min_words) | (before.sum(1) >= min_words * min_same) | (after.sum(1) >= min_words * min_same))).tolist():
+        core_x, core_y = x[AROUND + K : AROUND + gap], ys[k, AROUND + K : AROUND + gaps[k]]
+        seed, found = np.ones(K, bool), []
+        for side, (one, two, core) in enumerate(((core_x, core_y, gap + K), (core_y, core_x, int(gaps[k]) + K))):
+            same = np.concatenate((before[k], seed, _gap(one, two), seed, after[k]))[None]
+            start, end = _best(same, min_words, min_same)
+            if end[0]:
+                spans[k, 2 * side : 2 * side + 2] = start[0] - EDGE, end[0] - EDGE
+                found.append((start[0] <= EDGE and end[0] >= EDGE + core, _runs(same, start, end)[0]))
+        if found:
+            kinds[k] = (2 if len(found) == 2 and all(f[0] for f in found) else 1) + 2 * all(f[1] for f in found)
+    return kinds, spans
+
+
 def _meeting(min_words: int, min_same: float):
-    """Matches of the rows of each cell (key, i, j): those of side 0 with those of side 1. Cells come sorted."""
+    """Matches of the rows of each cell (key, i, j): those of side 0 with those of side 1, if they share a passage there. Rows that passages
+    of both seeds join are of one group. In a group a pair is left out where both seeds are covered and no k-mer repeats, as what
+    makes a passage longer has seeds of its own then, or else where it covers no more words of either text. Cells come sorted."""
 
     def cell(side, doc, label, at, after, inside, out, words) -> Iterator[tuple[np.ndarray, ...]]:
         n = int(np.searchsorted(side, 1))
         gap = after - at
+        docs, row, who = np.unique(doc, return_index=True, return_inverse=True)
+        group, again = np.arange(len(docs)), _repeating(words[row])
+        for x in np.unique(label[inside]):
+            held = who[inside & (label == x)]
+            group[held] = held[0]
+        covered = np.zeros((len(docs), 2 * EDGE + 2 * K + MAX_GAP), bool)
+
+        def kinds(a: int, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            kind, spans, even = np.zeros(len(b), np.int8), np.zeros((len(b), 4), np.int64), gap[b] == gap[a]
+            core, dense = int(gap[a]) + K, np.zeros(len(b), bool)
+            good = np.flatnonzero(even)
+            if len(good):
+                same = (words[b[good]] == words[a]) & (words[a] != 0)
+                dense[good] = same[:, AROUND : AROUND + core].all(1) & (gap[a] > WINDOW)
+                worth = _worth(same, core, min_words, min_same)
+                kind[good[worth]], spans[good[worth]] = _even(same[worth, AROUND - EDGE : AROUND + core + EDGE], core, min_words, min_same)
+            if not even.all():
+                kind[~even], spans[~even] = _uneven(words[a], int(gap[a]), words[b[~even]], gap[b[~even]], min_words, min_same)
+            return kind, spans, dense
+
         for a in range(n):
-            b = n + np.flatnonzero((doc[n:] != doc[a]) & (~out[n:] | (doc[n:] < doc[a])) & ~(inside[a] & inside[n:] & (label[n:] == label[a])))
-            even = b[gap[b] == gap[a]]
-            if len(even):
-                good = _worth((words[even] == words[a]) & (words[a] != 0), int(gap[a]) + K, min_words, min_same)
-                b = np.concatenate((b[gap[b] != gap[a]], even[good]))
-            if len(b):
-                for x in (at, after):
+            todo, me = n + np.flatnonzero((doc[n:] != doc[a]) & (~out[n:] | (doc[n:] < doc[a])) & ~(inside[a] & inside[n:] & (label[n:] == label[a]))), who[a]
+            for rest in (False, True):  # one row of each group first, then all that are left
+                b = todo = todo[again[me] | again[who[todo]] | (group[who[todo]] != group[me])]
+                if not rest:
+                    now = np.unique(group[who[todo]], return_index=True)[1]
+                    b, todo = todo[now], np.delete(todo, now)
+                if not len(b):
+                    continue
+                kind, spans, dense = kinds(a, b)
+                linked = dense | (GAP_COST * (gap[b] + gap[a] - 2 * K) < K)
+                told = []
+                for k in np.flatnonzero(kind).tolist():
+                    you, rep = who[b[k]], again[me] or again[who[b[k]]]
+                    sure, own = linked[k] and kind[k] in (2, 4), kind[k] > 2
+                    if not rep and not sure and own:
+                        continue
+                    mine, yours = (slice(EDGE + spans[k, c], EDGE + spans[k, c + 1]) for c in (0, 2))
+                    new = not (covered[me, mine].all() and covered[you, yours].all())
+                    if sure and group[me] == group[you] and not (rep and new) or linked[k] and not sure and not new:
+                        continue
+                    if rep or not dense[k]:  # else both have a seed between these, which tells the same
+                        told.append(k)
+                    if linked[k]:
+                        covered[me, mine] = covered[you, yours] = True
+                    if sure:
+                        group[group == group[you]] = group[me]
+                b = b[told]
+                for x in (at, after) if len(b) else ():
                     first = doc[b] < doc[a]
                     yield np.where(first, doc[a], doc[b]), np.where(first, x[a], x[b]), np.where(first, doc[b], doc[a]), np.where(first, x[b], x[a])
 
@@ -460,7 +585,9 @@ def shared_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     matches = found.filter("other_doc is not null").union(across)
     spans = _compared(matches.drop("seed"), rows, parts, min_words, min_same)
     classes = _classes(spans)
-    spans = spans.union(_compared(_rest(matches, spans, classes, rows, parts, min_words, min_same), rows, parts, min_words, min_same))
+    rest = _rest(matches, spans, classes, rows, parts, min_words, min_same)
+    forget(found, across)
+    spans = spans.union(_compared(rest, rows, parts, min_words, min_same))
     label = _classes(spans)
     merged = _merged(spans.select("of", "start", "end").distinct())
     merged = merged.join(label, merged.of == label.node)
@@ -483,7 +610,9 @@ def _compared(matches: DataFrame, rows: DataFrame, parts: int, min_words: int, m
     both = chained.join(cut.filter("side = 0").select("doc", "other", "no", F.col("words").alias("x")), ["doc", "other", "no"])
     both = both.join(cut.filter("side = 1").select("doc", "other", "no", F.col("words").alias("y")), ["doc", "other", "no"])
     both = both.select("doc", "other", "xs", "ys", "ns", "x", "y", lo("xs").alias("x0"), lo("ys").alias("y0"))
-    return written(both.mapInArrow(_aligned(min_words, min_same), "of long, doc long, other long, start int, end int"), "spans")
+    out = written(both.mapInArrow(_aligned(min_words, min_same), "of long, doc long, other long, start int, end int"), "spans")
+    forget(chained, cut)
+    return out
 
 
 def _rest(matches: DataFrame, spans: DataFrame, classes: DataFrame, text: DataFrame, parts: int, min_words: int, min_same: float, cell: int | None = None) -> DataFrame:
@@ -498,11 +627,12 @@ def _rest(matches: DataFrame, spans: DataFrame, classes: DataFrame, text: DataFr
     held = held.join(classes, held.of == classes.node).select(F.col("of").alias("doc"), "spans", "label")
     rows = rows.join(held, "doc", "left")
     inside = F.coalesce(F.exists("spans", lambda s: (s["start"] <= F.col("at")) & (F.col("at") + K <= s["end"])), F.lit(False))
-    rows = written(rows.select("seed", "doc", "at", F.coalesce("label", "doc").alias("label"), inside.alias("inside")), "shared-seeds")
+    rows = shared = written(rows.select("seed", "doc", "at", F.coalesce("label", "doc").alias("label"), inside.alias("inside")), "shared-seeds")
     open_ = rows.groupBy("seed").agg((~F.min("inside") | (F.min("label") < F.max("label"))).alias("open"))
     rows = rows.join(open_, "seed").groupBy("doc", "label").agg(F.array_sort(F.collect_list(F.struct("at", "seed", "open", "inside"))).alias("list"))
     rows = rows.filter(F.exists("list", lambda r: r["open"]) & (F.size("list") > 1))
     near = written(rows.mapInArrow(_near_seeds, "key long, doc long, label long, at int, next int, inside boolean"), "near-seeds")
+    forget(shared)
     groups = near.groupBy("key", "label", "inside").agg(F.count("*").alias("rows"))
     top = F.max(F.struct(F.when(F.col("inside"), F.col("rows")).otherwise(0).alias("rows"), "label"))
     keys = groups.groupBy("key").agg(F.sum("rows").alias("all"), top.alias("top")).filter("all > 1 and all > top.rows")
@@ -511,15 +641,19 @@ def _rest(matches: DataFrame, spans: DataFrame, classes: DataFrame, text: DataFr
     met = met.withColumns({"is": F.ceil((F.col("all") - F.col("most")) / cell).cast("int"), "js": F.ceil(F.col("all") / cell).cast("int")})
     row = ["key", "label", "at", "next", "inside", "out", "is", "js"]
     lists = written(met.groupBy("doc").agg(F.collect_list(F.struct(*row)).alias("list")), "open-near-seeds")
+    forget(near, keys)
     text = text.join(lists.select("doc"), "doc", "left_semi").join(lists, "doc").select("doc", "text", "list")
     met = written(text.mapInArrow(_contexts, "doc long, key long, label long, at int, next int, inside boolean, out boolean, is int, js int, words binary"), "contexts")
+    forget(lists)
     over = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     deal = lambda c: F.pmod(F.xxhash64("doc"), F.col(c)).cast("int")
     row = ["key", "i", "j", "side", "doc", "label", "at", "next", "inside", "out", "words"]
     left = met.filter("out").withColumns({"side": F.lit(0), "i": deal("is")}).withColumn("j", over("js")).select(row)
     right = met.withColumns({"side": F.lit(1), "j": deal("js")}).withColumn("i", over("is")).select(row)
-    cells = left.union(right).repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
-    return cells.mapInArrow(_meeting(min_words, min_same), MATCH).distinct()
+    cells = left.union(right).repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "side", "doc")
+    out = written(cells.mapInArrow(_meeting(min_words, min_same), MATCH).distinct(), "rest-matches")
+    forget(met)
+    return out
 
 
 def _repeats(rows: DataFrame) -> bool:

@@ -131,3 +131,39 @@ def test_worth_drops_no_pair_that_can_share_a_passage():
     kept = passages._worth(same, 20, 50, 0.8)
     assert 0 < kept.sum() < 400
     assert all(k or not passages.stretches(x, 50, 0.8) for k, x in zip(kept, same))
+
+
+def meet(texts, seeds_at):
+    """The matches of one cell whose rows are texts of 16-bit words, each with two seeds at these places."""
+    import pyarrow as pa
+
+    wide, cols = 2 * passages.AROUND + 2 * passages.K + passages.MAX_GAP, defaultdict(list)
+    for side in (0, 1):
+        for doc, (words, (at, after)) in enumerate(zip(texts, seeds_at)):
+            padded = np.concatenate((np.zeros(passages.AROUND, np.uint16), np.array(words, np.uint16), np.zeros(wide, np.uint16)))
+            for name, value in (("key", 1), ("i", 0), ("j", 0), ("side", side), ("doc", doc), ("label", doc), ("at", at), ("next", after), ("inside", False), ("out", True), ("words", padded[at : at + wide].tobytes())):
+                cols[name].append(value)
+    batch = pa.RecordBatch.from_arrays([pa.array(v) for v in cols.values()], names=list(cols))
+    return [tuple(r.values()) for out in passages._meeting(50, 0.8)(iter([batch])) for r in out.to_pylist()]
+
+
+@pytest.mark.parametrize("equal, found", [(60, 39), (48, 0)])
+def test_a_cell_gives_rows_with_its_documents_not_their_square(equal, found):
+    """op5_passages: 40 documents that share a run of words give a row of pairs, or none where the run is no passage."""
+    rng = np.random.default_rng(5)
+    run = rng.integers(1, 60_000, equal)
+    starts = rng.integers(20, 90, 40)
+    texts = [np.concatenate((rng.integers(1, 60_000, s), run, rng.integers(1, 60_000, 50))) for s in starts]
+    got = meet(texts, [(s + 20, s + 28) for s in starts])
+    assert len(got) == 2 * found
+    joined = {0}
+    for a, _, b, _ in sorted(got):
+        joined |= {a, b}
+    assert joined == set(range(40 if found else 1))
+
+
+def test_a_cell_tells_of_longer_passages_of_repeated_words():
+    """op5_passages: a word repeated has one seed, so each longer run of it that two texts share is told."""
+    texts = [[k + 2, *range(100, 108), *[7] * n, k + 3] for k, n in enumerate((60, 50, 60))]
+    got = meet(texts, [(1, 9)] * 3)
+    assert {(a, b) for a, _, b, _ in got} == {(1, 0), (2, 0)}
