@@ -616,8 +616,8 @@ def _compared(matches: DataFrame, rows: DataFrame, parts: int, min_words: int, m
 
 
 def _rest(matches: DataFrame, spans: DataFrame, classes: DataFrame, text: DataFrame, parts: int, min_words: int, min_same: float, cell: int | None = None) -> DataFrame:
-    """Matches of every two documents that share two seeds in the reach of a chain, but for those whose documents are of one
-    class already and hold both seeds in passages found.
+    """Matches of documents that share two seeds in the reach of a chain and a passage around them (see `_meeting`), but for those
+    whose documents are of one class already and hold both seeds in passages found.
 
     Each row of a shared seed is in a match. A seed is open unless all its rows are of one class and in passages; of two seeds near
     each other, one open, rows outside the largest such group meet all others, in cells of about `cell` rows a side."""
