@@ -33,7 +33,7 @@ import warnings
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import forget, fresh, q, without, written
+from gleaner.llm.common import few_tasks, forget, fresh, q, without, written
 
 DIMENSIONS = ("source", "lang", "topic")
 NONE = "(none)"
@@ -64,17 +64,17 @@ def topic_of(text: Column) -> Column:
 def rake(cells: DataFrame, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> tuple[DataFrame, float]:
     """(cells with w raked to goal_source, goal_lang and goal_topic, the largest distance of a sum from its goal)."""
     cells = written(cells.withColumn("w", F.col("tokens").cast("double")), "raked")
-    residual = float("inf")
+    rows, residual = cells.count(), float("inf")
     for k in range(1, rounds + 1):
         for d in DIMENSIONS:  # written each time: a plan that joins a table to its own sums doubles with every step
-            total = cells.groupBy(F.col(d).alias("of")).agg(F.sum("w").alias("total"))
+            total = few_tasks(cells.groupBy(F.col(d).alias("of")).agg(F.sum("w").alias("total")), rows)
             now = cells.join(total, F.col(d) == F.col("of")).drop("of")
             now = now.withColumn("w", F.when(F.col("total") > 0, F.col("w") * F.col(f"goal_{d}") / F.col("total")).otherwise(F.lit(0.0))).drop("total")
-            before, cells = cells, written(now, "raked")
+            before, cells = cells, written(few_tasks(now, rows), "raked")
             forget(before)
         if k % BLOCK and k < rounds:
             continue
-        missed = [cells.groupBy(d).agg(F.abs(F.sum("w") - F.max(f"goal_{d}")).alias("gap")).select("gap") for d in DIMENSIONS]
+        missed = [few_tasks(cells.groupBy(d).agg(F.abs(F.sum("w") - F.max(f"goal_{d}")).alias("gap")).select("gap"), rows) for d in DIMENSIONS]
         last, residual = residual, missed[0].union(missed[1]).union(missed[2]).agg(F.max("gap")).first()[0] or 0.0
         if residual <= tolerance or residual > 0.9 * last:
             break
@@ -83,12 +83,14 @@ def rake(cells: DataFrame, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -
 
 def chances(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, rounds: int = ROUNDS, temper: float = TEMPER, budget: float = BUDGET) -> DataFrame:
     """(source, lang, topic, tokens, weight, chance) from cells (source, lang, topic, tokens)."""
+    rows = cells.count()
     for d in DIMENSIONS:
         if targets and d in targets:
             shares = F.create_map(*(F.lit(x) for kv in targets[d].items() for x in kv)) if targets[d] else F.lit(None).cast("map<string,double>")
             cells = cells.withColumn(f"goal_{d}", F.coalesce(shares[F.col(d)].cast("double"), F.lit(0.0)))
         else:
-            own = written(cells.groupBy(F.col(d).alias("of")).agg(F.pow(F.sum("tokens").cast("double"), F.lit(temper)).alias("own")), "shares")
+            own = cells.groupBy(F.col(d).alias("of")).agg(F.pow(F.sum("tokens").cast("double"), F.lit(temper)).alias("own"))
+            own = written(few_tasks(own, rows), "shares")
             all_ = own.agg(F.sum("own")).first()[0] or 1.0
             cells = cells.join(own, F.col(d) == F.col("of")).withColumn(f"goal_{d}", F.col("own") / F.lit(all_)).drop("of", "own")
     cells, residual = rake(cells, rounds)

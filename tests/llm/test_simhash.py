@@ -100,3 +100,24 @@ def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(100, 200)] + [(5, 3), (3, 4), (9, 9)], "a long, b long")
     got = {r.node: r.label for r in components(edges).collect()}
     assert got == {**{k: 100 for k in range(100, 201)}, 3: 3, 4: 3, 5: 3}
+
+
+def test_few_edges_run_in_few_tasks(spark):
+    keys = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    try:
+        got = components(spark.createDataFrame([(1, 2), (2, 3), (7, 9), (9, 8), (5, 5)], "a long, b long"))
+        assert got.rdd.getNumPartitions() <= 4  # 80 before: a task a shuffle partition and side
+        assert sorted(map(tuple, got.collect())) == [(1, 1), (2, 1), (3, 1), (7, 7), (8, 7), (9, 7)]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_pairs_of_a_cell_are_made_once(spark):
+    pairs = spark.createDataFrame([(1, 2, 0.9), (1, 3, 0.8), (2, 3, 0.95)], "a long, b long, like double").mapInArrow(lambda b: b, "a long, b long, like double")
+    got = simhash._likest(pairs, 1, "like")
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert sorted(map(tuple, got.collect())) == [(1, 2), (2, 3)]
