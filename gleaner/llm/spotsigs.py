@@ -186,8 +186,11 @@ def similar_groups(prints: DataFrame, least: float = LEAST, sigs_col: str = "sig
     times, buckets fall into parts of about FAN rows, and each class is compared with the TRIES classes that it meets most often
     as hubs of its parts; a hub is of the group that has most rows there. At last, in buckets that still hold several groups, all rows outside the largest group are compared
     with all rows of other groups, in cells of at most `cell` rows a side."""
-    cell = cell or CELL
-    classes = _set_classes(prints, sigs_col)
+    return _groups(_set_classes(prints, sigs_col), least, cell or CELL)
+
+
+def _groups(classes: DataFrame, least: float, cell: int) -> DataFrame:
+    """The same of written classes, which are deleted."""
     t = least - 1e-9
     prefix = _prefixes(classes, t)
     at = prefix.select("class", "n", "sig", "pos", "short", F.col("part").alias("of"), F.explode(F.array(F.col("part") - 1, F.col("part"))).alias("part"))
@@ -242,9 +245,13 @@ def _other_groups(now: DataFrame, hubs: DataFrame, cell: int) -> DataFrame:
 
 def with_groups(rows: DataFrame, least: float = LEAST, id_col: str = "doc_id", sigs_col: str = "sigs") -> DataFrame:
     """rows less the signatures, with class_id (a hash of them) and group_id: the smallest id that a row reaches over links of
-    at least `least`, its own included; null in a group without ids."""
-    label = similar_groups(rows, least, sigs_col).withColumnRenamed("class", "class_id")
-    rows = rows.withColumn("class_id", F.xxhash64(sigs_col)).drop(sigs_col)
+    at least `least`, its own included; null in a group without ids. While groups are found, the signatures are kept once a class
+    and no longer with the rows."""
+    full = written(rows, "fingerprints")
+    classes = _set_classes(full, sigs_col)
+    rows = written(full.withColumn("class_id", F.xxhash64(sigs_col)).drop(sigs_col), "rows-of-classes")
+    forget(full)
+    label = _groups(classes, least, CELL).withColumnRenamed("class", "class_id")
     of = rows.groupBy("class_id").agg(F.min(q(id_col)).alias("first")).join(label, "class_id", "left")
     of = written(of.withColumn("label", F.coalesce("label", "class_id")), "class-labels")
     keep = written(of.groupBy("label").agg(F.min("first").alias("group_id")), "group-ids")

@@ -1,4 +1,5 @@
 import hashlib
+import os
 import random
 import re
 from itertools import combinations
@@ -6,6 +7,7 @@ from itertools import combinations
 import pytest
 import regex
 from gleaner.llm import spotsigs
+from gleaner.llm.common import shared_dir
 from gleaner.llm.queries import op7_spotsigs
 from pyspark.sql import functions as F
 
@@ -139,3 +141,14 @@ def test_empty_table(spark, tmp_path):
 
 def test_anchor_list_is_plain():
     assert all(re.fullmatch(r"\w+", w) for w in spotsigs.ANCHORS)
+
+
+def test_signatures_are_kept_once(spark):
+    """While groups are found the rows have no signatures with them; the classes have."""
+    rows = docs(spark, corpus(30)).select("doc_id", spotsigs.signatures(F.col("text")).alias("sigs"))
+    top = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}".removeprefix("file://")
+    before = set(os.listdir(top)) if os.path.isdir(top) else set()
+    out = spotsigs.with_groups(rows)
+    left = {x[:-33] for x in set(os.listdir(top)) - before}
+    assert "rows-of-classes" in left and not left & {"fingerprints", "signature-classes"}
+    assert out.count() == 30 and out.columns == ["class_id", "doc_id", "group_id"]
