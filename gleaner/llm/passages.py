@@ -582,11 +582,13 @@ def shared_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     parts = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     firsts = found.filter("other_doc is null").select("seed", "doc", "at").repartition(parts, "seed").sortWithinPartitions("seed", "doc")
     across = written(firsts.mapInArrow(_across, f"seed long, {MATCH}"), "matches-across")
-    matches = found.filter("other_doc is not null").union(across)
+    within = written(found.filter("other_doc is not null"), "matches-within")
+    forget(found)  # most seeds are of one document only
+    matches = within.union(across)
     spans = _compared(matches.drop("seed"), rows, parts, min_words, min_same)
     classes = _classes(spans)
     rest = _rest(matches, spans, classes, rows, parts, min_words, min_same)
-    forget(found, across)
+    forget(within, across)
     spans = spans.union(_compared(rest, rows, parts, min_words, min_same))
     label = _classes(spans)
     merged = _merged(spans.select("of", "start", "end").distinct())

@@ -167,3 +167,19 @@ def test_a_cell_tells_of_longer_passages_of_repeated_words():
     texts = [[k + 2, *range(100, 108), *[7] * n, k + 3] for k, n in enumerate((60, 50, 60))]
     got = meet(texts, [(1, 9)] * 3)
     assert {(a, b) for a, _, b, _ in got} == {(1, 0), (2, 0)}
+
+
+def test_seeds_of_one_document_are_not_kept(spark, monkeypatch):
+    """Behind the matches nothing needs the table of all seeds, the largest of the job."""
+    import os
+
+    from gleaner.llm.common import shared_dir
+
+    top = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}".removeprefix("file://")
+    left, compared = [], passages._compared
+    monkeypatch.setattr(passages, "_compared", lambda *a: left.append({x[:-33] for x in os.listdir(top)}) or compared(*a))
+    same = " ".join(f"same{k}" for k in range(70))
+    rows = [(1, f"one two {same}"), (2, f"{same} three"), (3, " ".join(f"other{k}" for k in range(80)))]
+    got = passages.shared_passages(docs(spark, rows)).collect()
+    assert sorted((r.doc_id, r.start_word, r.end_word, r.class_id) for r in got) == [(1, 2, 72, 1), (2, 0, 70, 1)]
+    assert len(left) == 2 and not any("seeds" in x for x in left)
