@@ -77,6 +77,12 @@ def page_diagnostics(title: Column, content: Column, status: Column) -> Column:
     return F.array_distinct(F.array_compact(F.array(F.when(status >= 400, F.concat(F.lit("http_"), status.cast("string"))), F.when(challenge, F.lit("bot_challenge")), kind)))
 
 
+def error_titles(title: Column) -> Column:
+    """Signs of an error page that its title alone gives; of no title, none."""
+    head = compact(F.coalesce(title, F.lit("")))
+    return F.array_compact(F.array(F.when(head.rlike(ci(SOFT_NOT_FOUND)), F.lit("soft_404")), F.when(head.rlike(ci(SERVER_ERROR)), F.lit("server_error"))))
+
+
 def rendering_signals(content: Column) -> Column:
     """Signs that a text is what a page shows before its scripts run."""
     whole = compact(content)
