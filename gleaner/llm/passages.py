@@ -283,17 +283,21 @@ def _uneven(x: np.ndarray, gap: int, ys: np.ndarray, gaps: np.ndarray, min_words
     # with all words between equal no stretch over both seeds is longer; one beside them has its own best
     most = reach(before[:, ::-1]) + reach(after) + np.maximum(gap, gaps) + K
     apart = (gap >= K) & (gaps >= K)  # seeds that overlap on two diagonals never make a chain
-    for k in np.flatnonzero(apart & ((most >= min_words) | (before.sum(1) >= min_words * min_same) | (after.sum(1) >= min_words * min_same))).tolist():
-        core_x, core_y = x[AROUND + K : AROUND + gap], ys[k, AROUND + K : AROUND + gaps[k]]
-        seed, found = np.ones(K, bool), []
-        for side, (one, two, core) in enumerate(((core_x, core_y, gap + K), (core_y, core_x, int(gaps[k]) + K))):
-            same = np.concatenate((before[k], seed, _gap(one, two), seed, after[k]))[None]
+    rows = np.flatnonzero(apart & ((most >= min_words) | (before.sum(1) >= min_words * min_same) | (after.sum(1) >= min_words * min_same)))
+    core_x, seed = x[AROUND + K : AROUND + gap], np.ones(K, bool)
+    cores = {k: ys[k, AROUND + K : AROUND + gaps[k]] for k in rows.tolist()}
+    some, both, own = np.zeros(len(ys), bool), np.ones(len(ys), bool), np.ones(len(ys), bool)
+    for side, wide in enumerate((np.full(len(ys), gap), gaps)):
+        for core in np.unique(wide[rows]).tolist():  # rows of one length go together
+            at = rows[wide[rows] == core]
+            same = np.stack([np.concatenate((before[k], seed, _gap(cores[k], core_x) if side else _gap(core_x, cores[k]), seed, after[k])) for k in at.tolist()])
             start, end = _best(same, min_words, min_same)
-            if end[0]:
-                spans[k, 2 * side : 2 * side + 2] = start[0] - EDGE, end[0] - EDGE
-                found.append((start[0] <= EDGE and end[0] >= EDGE + core, _runs(same, start, end)[0]))
-        if found:
-            kinds[k] = (2 if len(found) == 2 and all(f[0] for f in found) else 1) + 2 * all(f[1] for f in found)
+            held = end > 0
+            spans[at[held], 2 * side], spans[at[held], 2 * side + 1] = start[held] - EDGE, end[held] - EDGE
+            some[at] |= held
+            both[at] &= held & (start <= EDGE) & (end >= EDGE + core + K)
+            own[at] &= ~held | _runs(same, start, end)
+    kinds[rows] = np.where(some[rows], np.where(both[rows], 2, 1) + 2 * own[rows], 0)
     return kinds, spans
 
 
@@ -500,15 +504,21 @@ def _gap(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """For each word of x, whether a longest common subsequence with y has it."""
     if len(x) == len(y):
         return x == y
-    size = np.zeros((len(x) + 1, len(y) + 1), np.int32)
-    for i in range(len(x)):
-        row = np.maximum(size[i, 1:], size[i, :-1] + (x[i] == y))
-        size[i + 1, 1:] = np.maximum.accumulate(row)
-    same, i, j = np.zeros(len(x), bool), len(x), len(y)
+    same, places = np.zeros(len(x), bool), {}
+    for j, word in enumerate(y.tolist()):
+        places[word] = places.get(word, 0) | 1 << j
+    every = (1 << len(y)) - 1
+    steps, rest = [0], every  # for each start of x, a bit for each start of y whose last word makes the subsequence longer
+    for word in x.tolist():
+        met = rest & places.get(word, 0)
+        rest = ((rest + met) | (rest - met)) & every
+        steps.append(every ^ rest)
+    i, j = len(x), len(y)
     while i and j:
-        if size[i, j] == size[i - 1, j]:
+        start = (1 << j) - 1
+        if (steps[i] & start).bit_count() == (steps[i - 1] & start).bit_count():
             i -= 1
-        elif size[i, j] == size[i, j - 1]:
+        elif not steps[i] >> (j - 1) & 1:
             j -= 1
         else:
             i, j = i - 1, j - 1
